@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from placemill.llm import exact_dedup, mixing, token_count
+from placemill.llm import exact_dedup, mixing, packing, token_count
 
 QUERIES = {
     "op3_weighted_fair_queueing": mixing,
     "op5_whole_token_shortcut": token_count,
+    "op7_best_two_fit": packing,
     "op8_exact_dedup": exact_dedup,
 }
 
