@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from placemill.llm import exact_dedup, mixing, packing, token_count
+from placemill.llm import exact_dedup, mixing, packing, quality, token_count
 
 QUERIES = {
+    "op2_decision_list": quality,
     "op3_weighted_fair_queueing": mixing,
     "op5_whole_token_shortcut": token_count,
     "op7_best_two_fit": packing,
