@@ -16,12 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of its own only where none is named, as in tests."""
+    context = spark.sparkContext
+    at = context._jsc.sc().getCheckpointDir()
+    if at.isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        at = context._jsc.sc().getCheckpointDir()
+    return at.get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the folder of spark.checkpoint.dir and read again, so that lost executors repeat nothing before it."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))  # the latter only where none is named, as in tests
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
