@@ -50,8 +50,8 @@ def ranked(df: DataFrame, order: list[Column], add: Column | None = None, name:
     )
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, component) for the ids in links (a, b): the smallest id reachable; ids without links are left to the caller.
+def components(links: DataFrame) -> DataFrame:
+    """(id, component) for the ids in links (a, b) that reach a smaller one: the smallest; all others are left to the caller.
 
     Alternates large-star and small-star steps; minima are taken map-side, joins on a hub
     are left to AQE to split, each round is cut, and nothing grows with the square of a component.

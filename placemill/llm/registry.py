@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placemill.llm import exact_dedup, mixing, packing, quality, substring_dedup, token_count
+from placemill.llm import exact_dedup, jaccard_join, mixing, packing, quality, substring_dedup, token_count
 
 QUERIES = {
     "op2_decision_list": quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_whole_token_shortcut": token_count,
     "op7_best_two_fit": packing,
     "op8_exact_dedup": exact_dedup,
+    "op9_adaptive_prefix_join": jaccard_join,
     "op10_fingerprint_index": substring_dedup,
 }
 
