@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from placemill.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality, substring_dedup, token_count
+from placemill.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, page_text, quality, substring_dedup, token_count
 
 QUERIES = {
     "op2_decision_list": quality,
     "op3_weighted_fair_queueing": mixing,
+    "op4_page_differencing": page_text,
     "op5_whole_token_shortcut": token_count,
     "op6_suffix_array_runs": line_dedup,
     "op7_best_two_fit": packing,
