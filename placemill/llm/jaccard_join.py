@@ -291,6 +291,13 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     return full.select(*columns).union(rest.select(*columns))
 
 
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs with only the smallest id of each component, all columns kept; rows without an id stay."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    lost = jaccard_components(docs, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
+    return docs.join(lost, F.col("doc_id").cast("long") == F.col("_lost"), "left_anti").select(*columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

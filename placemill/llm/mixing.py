@@ -107,6 +107,19 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     return mix(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")), **options)
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: docs (doc_id, source, text and more) with each row as often as the mix takes it, all columns kept.
+
+    Rows that repeat an id and a size are repeated alike, by the most copies that one of them got.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    taken = mix_documents(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.expr("taken div size").cast("int").alias("_n"))
+    copies = taken.groupBy("_id", "_size").agg(F.max("_n").alias("_n"))
+    sized = docs.withColumn("_words", word_count(F.col("text")))
+    out = sized.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select(*columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents")).drop("source")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from placemill.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, page_text, quality, substring_dedup, token_count
+from placemill.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, page_text, quality, substring_dedup, token_count
 
 QUERIES = {
+    "op1_evidence_fusion": language_id,
     "op2_decision_list": quality,
     "op3_weighted_fair_queueing": mixing,
     "op4_page_differencing": page_text,
