@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from placemill.llm import jaccard_join, line_dedup, mixing, packing, quality
 from placemill.llm.common import shared_folder, table
@@ -21,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs of lines; one that is nothing but such copies goes."""
-    return line_dedup.line_dedup(docs, drop_emptied=True)
+    return line_dedup.line_dedup(docs, drop_emptied=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
