@@ -94,11 +94,12 @@ def text_evidence(rows: DataFrame, langs: list[str], logs: np.ndarray) -> DataFr
         for batch in batches:
             out = np.zeros((len(names), batch.num_rows))
             for first, gram, offsets in _trigrams(batch.column(len(KEYS))):
-                ends = np.maximum(offsets[:-1], offsets[1:] - 2)
-                n = ends - offsets[:-1]
+                begins = np.minimum(offsets[:-1], len(gram))
+                ends = np.maximum(begins, offsets[1:] - 2)  # a text of n bytes has n - 2 trigrams
+                n = ends - begins
                 for k in range(len(names)):
                     run = np.concatenate(([0.0], np.cumsum(table_[k][gram], dtype=np.float64)))
-                    out[k, first : first + len(n)] = (run[ends] - run[offsets[:-1]]) * np.minimum(1.0, DISCOUNT / np.maximum(n, 1))
+                    out[k, first : first + len(n)] = (run[ends] - run[begins]) * np.minimum(1.0, DISCOUNT / np.maximum(n, 1))
             out -= out.max(axis=0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(KEYS)], *[pa.array(x) for x in out]], [*KEYS, *names])
 
