@@ -3,13 +3,15 @@
 A window is `WINDOW` consecutive words of one document.  Every word under a window whose words also start in a document with a
 smaller id is removed; windows are judged on the input.  Batches come in order of their ids; for each one
 
-1. every window gives its fingerprint, the least hash of the SUB-word runs in it (equal windows have equal fingerprints, and
+1. its texts are kept in a table bucketed by id, so that no later step shuffles them again;
+2. every window gives its fingerprint, the least hash of the SUB-word runs in it (equal windows have equal fingerprints, and
    neighbours mostly share one, so a text has about a fifth as many as windows);
-2. the batch's fingerprints are written as a run: sorted, unique, immutable, with the first document and whether different texts
-   have it; the run is merge-joined with the runs of the past;
-3. windows under a fingerprint that different texts have are verified by a 128-bit hash of all their words against each other
-   and against the runs of historical windows (a fingerprint that had one owner until now adds that owner's windows first);
-4. the batch's windows become a run of their own, and when there are more than FAN runs they are compacted into one.
+3. the batch's fingerprints become a run: bucketed and sorted, unique, immutable, with one text that has it and whether others do;
+   runs of the past are merge-joined with it, bucket by bucket, without a shuffle;
+4. windows under a fingerprint that different texts have are verified by a 128-bit hash of all their words (a fingerprint that one
+   text of the past had alone until now adds that text's windows first), and become a run of their own, which the runs of
+   historical windows are merge-joined with in the same way;
+5. when there are more than FAN runs of a kind they are compacted into one.
 
 Texts of a batch that are equal are looked at once: all windows of the later copies occur earlier.  Null and empty texts have no words.
 Rows without an id come last: they lose nothing and no one loses by them.  Rows of one id never take from each other.  An empty
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ from placemill.llm.words import slices
 WINDOW, SUB = 13, 5
 #: Runs of a kind beyond which they are compacted.
 FAN = 4
-#: Batches that `query` deals the table into.
-BATCHES = 3
+#: Batches that the whole table is dealt into.
+BATCHES = 4
 
 
 def _windows(w, window: int, sub: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,22 +59,21 @@ def _windows(w, window: int, sub: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def fingerprints(docs: DataFrame, window: int, sub: int) -> DataFrame:
-    """(fp, doc_id, k1), once a document, from docs (doc_id, k1, text)."""
+    """(fp, k1), once a text, from docs (k1, text)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for w in slices(batch.column(2)):
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for w in slices(batch.column(1)):
                 at, fp, _, _ = _windows(w, window, sub)
                 row = w.row[at]
                 order = np.lexsort((fp, row))
                 fp, row = fp[order], row[order]
                 new = np.ones(len(fp), dtype=bool)
                 new[1:] = (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])
-                row = row[new] + w.first
-                yield pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(keys[row], pa.int64())], ["fp", "doc_id", "k1"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), pa.array(keys[row[new] + w.first], pa.int64())], ["fp", "k1"])
 
-    return docs.select("doc_id", "k1", "text").mapInArrow(emit, "fp long, doc_id long, k1 long")
+    return docs.select("k1", "text").mapInArrow(emit, "fp long, k1 long")
 
 
 def windows(docs: DataFrame, window: int, sub: int) -> DataFrame:
@@ -128,94 +130,118 @@ def stripped(docs: DataFrame, window: int, with_text: bool = False) -> DataFrame
 
 
 class FingerprintIndex:
-    """Runs of fingerprints (fp, owner, owner_key, shared) and of windows (h1, h2, first) in a folder that all executors share."""
+    """Bucketed tables: fingerprints (fp, owner, shared), windows (h1, h2, first), texts (doc_id, k1, k2, text) and which id stands for a text."""
+
+    KEYS = {"fp": ["fp"], "window": ["h1", "h2"], "texts": ["doc_id", "k1"], "reps": ["k1"]}
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = WINDOW, sub: int = SUB):
-        self.spark, self.window, self.sub = spark, window, sub
-        self.folder = folder or f"{shared_folder(spark)}/fingerprints-{uuid.uuid4().hex}"
-        self.runs: dict[str, list[str]] = {"fp": [], "window": []}
-        self.written = 0
+    def __init__(self, spark: SparkSession, window: int = WINDOW, sub: int = SUB, fan: int = FAN):
+        self.spark, self.window, self.sub, self.fan = spark, window, sub, fan
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.written = f"fingerprints_{uuid.uuid4().hex}", 0
+        self.runs: dict[str, list[str]] = {k: [] for k in self.KEYS}
 
-    def _write(self, df: DataFrame, name: str, order: list[str] | None = None) -> str:
-        path = f"{self.folder}/{name}-{self.written}"
+    def _store(self, df: DataFrame, kind: str) -> str:
+        """df as an immutable bucketed table; what is grouped by the kind's keys already is not shuffled again."""
+        name = f"{self.name}_{kind}_{self.written}"
         self.written += 1
-        (df.sortWithinPartitions(*order) if order else df).write.parquet(path)
-        return path
-
-    def _past(self, kind: str) -> DataFrame | None:
-        """The runs of a kind merged: a row a key, the first owner and whether any run has it as shared."""
-        if not self.runs[kind]:
-            return None
-        runs = self.spark.read.parquet(*self.runs[kind])
-        if kind == "window":
-            return runs.groupBy("h1", "h2").agg(F.min("first").alias("first"))
-        more = (F.max("shared") | (F.count("*") > 1)).alias("shared")
-        return runs.groupBy("fp").agg(F.min(F.struct("owner", "owner_key")).alias("_o"), more).select("fp", "_o.owner", "_o.owner_key", "shared")
-
-    def _append(self, kind: str, path: str) -> None:
-        self.runs[kind].append(path)
-        if len(self.runs[kind]) > FAN:
-            merged = self._past(kind)
-            self.runs[kind] = [self._write(merged, f"{kind}-compacted", ["fp"] if kind == "fp" else ["h1", "h2"])]
-
-    def add(self, docs: DataFrame, history: DataFrame | None = None, with_text: bool = False) -> DataFrame:
-        """What is left of docs (doc_id, text), whose ids are all larger than those of history (the documents added before)."""
-        keyed = _keyed(docs)
-        known = keyed.filter("doc_id IS NOT NULL")
-        keys = known.select("doc_id", "k1", "k2")
-        first = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        copies = self._read(keys.join(first, ["k1", "k2"]).filter("rep < doc_id").select("doc_id", "k1").distinct(), "copies")
+        keys = self.KEYS.get(kind)
+        writer = df.write.format("parquet").option("compression", "zstd")
+        (writer.bucketBy(self.buckets, *keys).sortBy(*keys) if keys else writer).saveAsTable(name)
+        return name
+
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+
+    def close(self) -> None:
+        for kind, names in self.runs.items():
+            self._drop(*names)
+            self.runs[kind] = []
+
+    def _append(self, kind: str, name: str) -> None:
+        self.runs[kind].append(name)
+        if kind in ("fp", "window") and len(self.runs[kind]) > self.fan:
+            every = self._union([self.spark.table(n).select(*(["fp", "owner", "shared"] if kind == "fp" else ["h1", "h2", "first"])) for n in self.runs[kind]])
+            if kind == "fp":
+                merged = every.groupBy("fp").agg(F.min("owner").alias("owner"), (F.bool_or("shared") | (F.count("*") > 1)).alias("shared"))
+            else:
+                merged = every.groupBy("h1", "h2").agg(F.min("first").alias("first"))
+            old, self.runs[kind] = self.runs[kind], [self._store(merged, kind)]
+            self._drop(*old)
+
+    @staticmethod
+    def _union(frames: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, frames)
+
+    def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
+        """What is left of docs (doc_id, text), whose ids are all larger than those added before."""
+        spark = self.spark
+        past = {k: [spark.table(n) for n in v] for k, v in self.runs.items()}
+        keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        keyed = keyed.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit("other"), F.col("text")))
+        texts_name = self._store(keyed.repartition(self.buckets, "doc_id", "k1"), "texts")
+        texts = spark.table(texts_name)
+        known = texts.filter("doc_id IS NOT NULL")
+        first = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+        grouped_name = self._store(first, "grouped")
+        first = spark.table(grouped_name)
+        reps_name = self._store(first.select("k1", F.col("rep").alias("doc_id")), "reps")
+        reps = spark.table(reps_name)
+        copies = known.select("doc_id", "k1", "k2").join(first.filter("n > 1"), ["k1", "k2"]).filter("rep < doc_id").select("doc_id", "k1").distinct()
+
         rows = fingerprints(known, self.window, self.sub)
-        own_path = self._write(
-            rows.groupBy("fp").agg(F.min(F.struct("doc_id", "k1")).alias("_o"), F.min("k1").alias("lo"), F.max("k1").alias("hi"))
-            .select("fp", F.col("_o.doc_id").alias("owner"), F.col("_o.k1").alias("owner_key"), (F.col("lo") != F.col("hi")).alias("shared")),
-            "fp", ["fp"],
-        )
-        own, past = self.spark.read.parquet(own_path), self._past("fp")
-        shared = own.filter("shared").select("fp")
-        if past is not None:
-            hits = self._read(past.join(own.select("fp"), "fp"), "hits")
+        own_name = self._store(rows.groupBy("fp").agg(F.min("k1").alias("owner"), F.max("k1").alias("_last")).select("fp", "owner", (F.col("owner") != F.col("_last")).alias("shared")), "fp")
+        own, used = spark.table(own_name), [grouped_name]
+        shared, hits = own.filter("shared").select("fp"), None
+        if past["fp"]:
+            hits_name = self._store(self._union([run.join(own.select("fp"), "fp") for run in past["fp"]]), "hits")
+            used.append(hits_name)
+            hits = spark.table(hits_name)
             shared = shared.union(hits.select("fp")).distinct()
-        wanted = rows.join(shared, "fp", "left_semi").groupBy("doc_id", "k1").agg(F.collect_set("fp").alias("fps")).join(copies, ["doc_id", "k1"], "left_anti")
-        found = windows(known.join(wanted, ["doc_id", "k1"]), self.window, self.sub)
-        at = self._read(found, "windows")
+        wanted = rows.join(shared, "fp", "left_semi").groupBy("k1").agg(F.collect_set("fp").alias("fps"))
+        at_name = self._store(windows(known.join(wanted.join(reps, "k1"), ["doc_id", "k1"]), self.window, self.sub), "at")
+        used.append(at_name)
+        at = spark.table(at_name)
+
         sides = at.select("h1", "h2", F.col("doc_id").alias("first"))
-        if past is not None:
-            owners = hits.filter("not shared").groupBy(F.col("owner").alias("doc_id"), F.col("owner_key").alias("k1")).agg(F.collect_set("fp").alias("fps"))
-            added = windows(_keyed(history).join(owners, ["doc_id", "k1"]), self.window, self.sub)
-            sides = sides.union(added.select("h1", "h2", "doc_id"))
-        run = self._write(sides.groupBy("h1", "h2").agg(F.min("first").alias("first")), "window", ["h1", "h2"])
-        self._append("window", run)
-        self._append("fp", own_path)
-        late = at.join(self._past("window"), ["h1", "h2"]).filter("first < doc_id")
+        if hits is not None:
+            # fingerprints that only one text of the past had: its windows under them are not in the index yet
+            alone = hits.groupBy("fp").agg(F.min("owner").alias("k1"), (F.bool_or("shared") | (F.count("*") > 1)).alias("shared")).filter("not shared")
+            owners = alone.groupBy("k1").agg(F.collect_set("fp").alias("fps"))
+            placed = [owners.join(r, "k1") for r in past["reps"]]
+            added = [windows(t.join(o, ["doc_id", "k1"]), self.window, self.sub) for t, o in zip(past["texts"], placed, strict=True)]
+            sides = self._union([sides, *[a.select("h1", "h2", F.col("doc_id").alias("first")) for a in added]])
+        run_name = self._store(sides.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("*").alias("n")), "window")
+        run = spark.table(run_name)
+        twice = [run.filter("n > 1").select("h1", "h2", "first")]
+        twice += [p.select("h1", "h2", "first").join(run.select("h1", "h2"), ["h1", "h2"]) for p in past["window"]]
+        firsts = self._union(twice).groupBy("h1", "h2").agg(F.min("first").alias("first"))
+        late = at.join(firsts, ["h1", "h2"]).filter("first < doc_id")
         starts = late.groupBy("doc_id", "k1").agg(F.collect_set("pos").alias("starts"))
-        marks = starts.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "k1", F.lit(None).cast("array<bigint>").alias("starts"), F.lit(True).alias("copy")))
-        return stripped(keyed.join(marks, ["doc_id", "k1"], "left"), self.window, with_text)
-
-    def _read(self, df: DataFrame, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._write(df, name))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit("other"), F.col("text")))
+        marks = starts.withColumn("copy", F.lit(False)).unionByName(copies.withColumns({"starts": F.lit(None).cast("array<bigint>"), "copy": F.lit(True)}))
+        left = stripped(texts.join(marks, ["doc_id", "k1"], "left"), self.window, with_text)
+        path = f"{shared_folder(spark)}/{self.name}_left_{self.written}"
+        left.write.parquet(path)
+        for kind, name in (("texts", texts_name), ("reps", reps_name), ("fp", own_name), ("window", run_name)):
+            self._append(kind, name)
+        self._drop(*used)
+        spark.sparkContext._jvm.System.gc()  # shuffle files of the batch go only when the driver collects its garbage
+        return spark.read.parquet(path)
 
 
-def substring_dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, sub: int = SUB, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, sub: int = SUB, with_text: bool = False, fan: int = FAN) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), a row for each row of docs, which are added in `batches` ranges of ids."""
-    spark = docs.sparkSession
-    index = FingerprintIndex(spark, window=window, sub=sub)
-    cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
+    index = FingerprintIndex(docs.sparkSession, window, sub, fan)
+    ids = docs.select(F.col("doc_id").cast("double").alias("doc_id"))
+    cuts = sorted(set(ids.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     out, below = [], F.lit(False)
     for k in range(len(cuts) + 1):
         inside = ~below if k == len(cuts) else ~below & (F.col("doc_id") <= cuts[k])
-        part = docs.filter(F.coalesce(inside, F.lit(k == len(cuts))))
-        left = index.add(part, docs.filter(below) if k else None, with_text)
-        out.append(index._write(left, "left"))
-        spark.sparkContext._jvm.System.gc()  # shuffle files of the batch go only when the driver collects its garbage
+        out.append(index.add(docs.filter(F.coalesce(inside, F.lit(k == len(cuts)))), with_text))
         if k < len(cuts):
             below = F.coalesce(F.col("doc_id") <= cuts[k], F.lit(False))
-    return spark.read.parquet(*out)
+    index.close()
+    return reduce(DataFrame.unionByName, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
