@@ -25,7 +25,8 @@ BUSINESS_TAGS: dict[str, list[str] | None] = {
     "shop": None,
 }
 SETTLEMENTS = ["city", "town", "village", "suburb", "neighbourhood", "hamlet"]
-NOT_BUSINESSES = ["highway", "place", "boundary", "landuse", "natural", "waterway", "railway", "route", "public_transport", "power", "barrier", "man_made"]
+NOT_BUSINESSES = ["highway", "place", "boundary", "landuse", "natural", "waterway", "railway", "barrier", "man_made", "power", "route", "aeroway"]
+TOWN_KINDS = ["place", "boundary", "landuse"]
 CATEGORY_OF_TAG = {
     "restaurant": ["amenity:restaurant", "amenity:fast_food", "amenity:food_court", "amenity:bar", "amenity:pub"],
     "cafe": ["amenity:cafe", "amenity:ice_cream", "shop:bakery", "shop:pastry"],
@@ -45,7 +46,7 @@ OBJECT_TYPES = {"N": "node", "W": "way", "R": "relation"}
 STATUSES = ["published", "pending", "rejected", "reported_not_working"]
 KINDS = ["confirm", "not_working", "new_submission"]
 BENEFIT_TYPES = ["fighter_card", "vacation_voucher"]
-PROVIDER_REF = r"^(osm:(node|way|relation)/\d{1,20}|gmaps:(ftid/0x[0-9a-f]+:0x[0-9a-f]+|cid/\d{1,20}|place/[\w-]{10,128}|mid/g/\w{4,32}))$"
+PROVIDER_REF = r"^(osm:(node|way|relation)/\d{1,20}|gmaps:(ftid/0x[0-9a-f]{1,16}:0x[0-9a-f]{1,16}|cid/\d{1,20}|place/[\w-]{10,128}|mid/g/\w{4,32}))$"
 
 
 def category_of(key: Column, value: Column) -> Column:
@@ -88,7 +89,7 @@ def points_of_interest(objects: DataFrame) -> DataFrame:
     """Businesses of objects, one for each (name, place to 5 decimals), the first by type and id."""
     lat, lon = _point()
     settlement = (F.col("type") == "node") & F.coalesce(_tag("place").isin(*SETTLEMENTS), F.lit(False)) & _tag("name").isNotNull()
-    found = objects.filter(~settlement).withColumns({"category": business_tag(F.col("tags")), "name": _tag("name", "name:he", "name:en", "brand"), "lat": lat, "lon": lon})
+    found = objects.filter(~settlement).withColumns({"category": business_tag(F.col("tags")), "name": _tag("name"), "lat": lat, "lon": lon})
     found = found.filter("category IS NOT NULL AND name IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
     one = Window.partitionBy("name", F.bround("lat", 5), F.bround("lon", 5)).orderBy("type", "id")
     return found.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(
@@ -109,8 +110,8 @@ def remote_candidates(hits: DataFrame, deny: bool = True) -> DataFrame:
 
 def resolved_towns(hits: DataFrame) -> DataFrame:
     """The first hit of each town inside the bounds that is a settlement, structured queries before free ones."""
-    ok = geo.in_bounds(F.col("lat"), F.col("lng"), geo.TOWN_BOUNDS) & F.col("category").isin("place", "boundary")
-    best = F.min_by(F.struct("lat", "lng", "matched"), F.struct("phase", "hit"))
+    ok = geo.in_bounds(F.col("lat"), F.col("lng"), geo.TOWN_BOUNDS) & F.col("category").isin(*TOWN_KINDS)
+    best = F.min_by(F.struct(F.bround("lat", 6).alias("lat"), F.bround("lng", 6).alias("lng"), F.substring("matched", 1, 120).alias("matched")), F.struct("phase", "hit"))
     return hits.filter(ok).groupBy("town").agg(best.alias("b")).select("town", "b.*")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -147,28 +148,27 @@ def _listing(body: str | None, feature: str | None) -> dict | None:
     if not body or not feature:
         return None
     try:
-        stack = [json.loads(body[body.index("\n") + 1 :] if body.startswith(")]}'") else body)]
+        stack = [json.loads(re.sub(r"^\)\]\}'\s*", "", body))]
     except ValueError:
         return None
     while stack:
         node = stack.pop()
         if not isinstance(node, list):
             continue
-        if len(node) > 11 and node[10] == feature and isinstance(node[9], list) and len(node[9]) > 3:
-            lat, lng = node[9][2], node[9][3]
-            if isinstance(lat, int | float) and isinstance(lng, int | float):
-                address = node[39] if len(node) > 39 and isinstance(node[39], str) else None
-                city = node[166] if len(node) > 166 and isinstance(node[166], str) else None
-                return {"lat": float(lat), "lng": float(lng), "name": node[11] if isinstance(node[11], str) else None, "address": address, "city": city}
+        if len(node) > 10 and isinstance(node[10], str) and node[10].lower() == feature.lower() and isinstance(node[9], list) and len(node[9]) > 3:
+            lat, lng = node[9][2:4]
+            if all(isinstance(x, int | float) and not isinstance(x, bool) for x in (lat, lng)):
+                said = [re.sub(INVISIBLE, "", node[k]).strip()[:200] if len(node) > k and isinstance(node[k], str) else "" for k in (39, 166)]
+                return {"lat": float(lat), "lng": float(lng), "address": said[0] or None, "city": said[1] or None}
         stack.extend(reversed(node))
     return None
 
 
-LISTING = T.StructType([T.StructField(n, t) for n, t in (("lat", T.DoubleType()), ("lng", T.DoubleType()), ("name", T.StringType()), ("address", T.StringType()), ("city", T.StringType()))])
+LISTING = T.StructType([T.StructField(n, t) for n, t in (("lat", T.DoubleType()), ("lng", T.DoubleType()), ("address", T.StringType()), ("city", T.StringType()))])
 
 
 def listing_of(body: Column, feature: Column) -> Column:
-    kind = pa.struct([("lat", pa.float64()), ("lng", pa.float64()), ("name", pa.string()), ("address", pa.string()), ("city", pa.string())])
+    kind = pa.struct([("lat", pa.float64()), ("lng", pa.float64()), ("address", pa.string()), ("city", pa.string())])
 
     def run(bodies: pa.Array, features: pa.Array) -> pa.Array:
         return pa.array([_listing(b, f) for b, f in zip(bodies.to_pylist(), features.to_pylist(), strict=True)], kind)

@@ -143,7 +143,7 @@ def published_count(places: DataFrame) -> DataFrame:
 
 def hero_counts(places: DataFrame) -> DataFrame:
     voucher_only = F.col("benefit_vacation_voucher") & ~F.col("benefit_fighter_card")
-    return places.filter(visible() & has_point()).agg(F.count("*").alias("total"), F.count_if(voucher_only).alias("voucher_only"), F.count_if("benefit_fighter_card").alias("fighter"))
+    return places.filter(visible() & has_point()).agg(F.count("*").alias("total"), F.count_if(voucher_only).alias("voucher_only"), F.count_if(~voucher_only).alias("fighter"))
 
 
 def precision_histogram(places: DataFrame) -> DataFrame:
@@ -180,11 +180,9 @@ def near_matches(probes: DataFrame, places: DataFrame, radius_m: float = 75, lea
 
 
 def row_rail() -> Column:
-    """What a row's edge says, the gravest first."""
-    return (
-        F.when(F.col("status") == "reported_not_working", "reported").when(F.col("status") == "pending", "pending")
-        .when(F.col("benefit_fighter_card") & F.col("benefit_vacation_voucher"), "both").when(F.col("benefit_fighter_card"), "fighter").otherwise("voucher")
-    )
+    """What a row's edge says: dead, or its benefits."""
+    both = F.col("benefit_fighter_card") & F.col("benefit_vacation_voucher")
+    return F.when(F.col("status") == "reported_not_working", "dead").when(both, "both").when(F.col("benefit_vacation_voucher"), "voucher").otherwise("fighter")
 
 
 def geojson(places: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ SAME_NAME, MIN_CONFIDENCE = 88, 0.6
 MATCH_CONFIDENCE, MIN_SORT, MIN_CORE, CITY_KM, CANDIDATES, MIN_CITY_POIS = 0.87, 75.0, 80.0, 25.0, 12, 3
 SETTLEMENT_RANK = ["city", "town", "village", "suburb", "neighbourhood", "hamlet"]
 LOCATE_REASONS = ["no_osm_match", "low_match_confidence", "not_located", "not_geocoded", "no_google_result", "city_unresolved"]
-RETRYABLE = ["no_osm_match", "low_match_confidence", "city_unresolved"]
+RETRYABLE = ["no_osm_match", "low_match_confidence", "not_located", "not_geocoded"]
 
 
 def build_records(occurrences: DataFrame, answers: DataFrame) -> DataFrame:

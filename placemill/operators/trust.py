@@ -100,7 +100,7 @@ def badges(places: DataFrame, as_of: str) -> DataFrame:
     """(id, unverified, single_source, fresh, stale, badge): the badge is the gravest that applies."""
     at, now = F.col("last_confirmed_at"), F.lit(as_of).cast("timestamp")
     single, fresh, stale = dates.is_single_source(F.col("source"), F.col("confirm_count")), dates.is_fresh(at, now), dates.is_stale(at, now)
-    badge = F.when(F.col("status") == "reported_not_working", "reported").when(single, "single_source").when(fresh, "fresh").when(stale, "stale").when(at.isNull(), "unverified").otherwise("")
+    badge = F.when(F.col("status") == "reported_not_working", "reported").when(F.col("status") == "pending", "pending").when(single, "single_source").when(stale, "stale").when(fresh, "fresh").otherwise("")
     return places.select("id", at.isNull().alias("unverified"), single.alias("single_source"), fresh.alias("fresh"), stale.alias("stale"), badge.alias("badge"))
 
 

@@ -97,7 +97,7 @@ def published_count(spark, sf_dir):
     return reads.published_count(places(spark, sf_dir))
 
 
-@query(f"""{WITH_PLACES} SELECT count(*) AS total, count(*) FILTER (benefit_vacation_voucher AND NOT benefit_fighter_card) AS voucher_only, count(*) FILTER (benefit_fighter_card) AS fighter
+@query(f"""{WITH_PLACES} SELECT count(*) AS total, count(*) FILTER (benefit_vacation_voucher AND NOT benefit_fighter_card) AS voucher_only, count(*) FILTER (NOT benefit_vacation_voucher OR benefit_fighter_card) AS fighter
     FROM places WHERE {VISIBLE_SQL} AND lat IS NOT NULL""")
 def hero_counts(spark, sf_dir):
     return reads.hero_counts(places(spark, sf_dir))
@@ -163,8 +163,8 @@ def map_clusters(spark, sf_dir):
     return reads.map_clusters(places(spark, sf_dir), 8).select("cell_x", "cell_y", "n", "step")
 
 
-@query(f"""{WITH_PLACES} SELECT id, CASE WHEN status = 'reported_not_working' THEN 'reported' WHEN status = 'pending' THEN 'pending' WHEN benefit_fighter_card AND benefit_vacation_voucher THEN 'both'
-    WHEN benefit_fighter_card THEN 'fighter' ELSE 'voucher' END AS rail FROM places""")
+@query(f"""{WITH_PLACES} SELECT id, CASE WHEN status = 'reported_not_working' THEN 'dead' WHEN benefit_fighter_card AND benefit_vacation_voucher THEN 'both'
+    WHEN benefit_vacation_voucher THEN 'voucher' ELSE 'fighter' END AS rail FROM places""")
 def row_rails(spark, sf_dir):
     return places(spark, sf_dir).select("id", reads.row_rail().alias("rail"))
 
@@ -234,8 +234,8 @@ def trust_state(spark, sf_dir):
 @query(f"""{WITH_REPORTS}, t AS (SELECT place_id, max(created_at) AS last_at FROM reports WHERE kind <> 'not_working' GROUP BY place_id),
     j AS (SELECT p.id, status, (source = 'user_submission' AND confirm_count <= 1) AS alone, last_at, TIMESTAMP '2024-02-20 00:00:00' - last_at AS age FROM places p LEFT JOIN t ON t.place_id = p.id)
     SELECT id, last_at IS NULL AS unverified, alone AS single_source, coalesce(age <= INTERVAL 30 DAY, false) AS fresh, coalesce(age > INTERVAL 183 DAY, false) AS stale,
-           CASE WHEN status = 'reported_not_working' THEN 'reported' WHEN alone THEN 'single_source' WHEN age <= INTERVAL 30 DAY THEN 'fresh' WHEN age > INTERVAL 183 DAY THEN 'stale'
-                WHEN last_at IS NULL THEN 'unverified' ELSE '' END AS badge FROM j""")
+           CASE WHEN status = 'reported_not_working' THEN 'reported' WHEN status = 'pending' THEN 'pending' WHEN alone THEN 'single_source' WHEN age > INTERVAL 183 DAY THEN 'stale'
+                WHEN age <= INTERVAL 30 DAY THEN 'fresh' ELSE '' END AS badge FROM j""")
 def freshness_badges(spark, sf_dir):
     last = reports(spark, sf_dir).filter(trust.is_vouch()).groupBy(F.col("place_id").alias("id")).agg(F.max(F.col("created_at").cast("timestamp")).alias("last_confirmed_at"))
     return trust.badges(places(spark, sf_dir).join(last, "id", "left"), "2024-02-20 00:00:00")

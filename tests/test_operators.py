@@ -175,9 +175,9 @@ def test_pages_and_listings(spark):
     region = "APP_INITIALIZATION_STATE=[[[90000.5,35.25,31.75],"
     frame = spark.createDataFrame([(0, marker), (1, camera), (2, region)], "id long, t string").select("id", links.parse_page(F.col("t")).alias("p"))
     assert {r["id"]: r["p"] and tuple(r["p"]) for r in frame.collect()} == {0: (31.8, 35.3, "Shop"), 1: (31.75, 35.25, None), 2: None}
-    body = ")]}'\n" + '[[null,[0,0,0,0,0,0,0,0,0,[0,0,31.5,35.5],"0x1:0x2","Shop"]]]'
+    body = ")]}'\n" + '[[null,[0,0,0,0,0,0,0,0,0,[0,0,31.5,35.5],"0X1:0x2","Shop"]]]'
     got = spark.createDataFrame([(body,)], "b string").select(links.listing_of(F.col("b"), F.lit("0x1:0x2")).alias("hit"), links.listing_of(F.col("b"), F.lit("0x1:0x3")).alias("miss"), links.feature_cid(F.lit("0x1:0xff")).alias("cid")).first()
-    assert tuple(got["hit"])[:3] == (31.5, 35.5, "Shop") and got["miss"] is None and got["cid"] == "255"
+    assert tuple(got["hit"]) == (31.5, 35.5, None, None) and got["miss"] is None and got["cid"] == "255"
 
 
 # resolution and ingest
