@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Store:
+    """Tables bucketed by a key in the warehouse: joins and groupings by that key read them without a shuffle."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.held = spark, f"{name}_{uuid.uuid4().hex}", []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def put(self, df: DataFrame, *keys: str) -> DataFrame:
+        name = f"{self.name}_{len(self.held)}"
+        self.held.append(name)
+        writer = df.write.format("parquet").option("compression", "zstd")
+        (writer.bucketBy(self.buckets, *keys).sortBy(*keys) if keys else writer).saveAsTable(name)
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        for name in self.held:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of the files of shuffles that no frame refers to: Spark does so only when the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def ranked(df: DataFrame, order: list[Column], add: Column | None = None, name: str = "rank", parts: int | None = None) -> DataFrame:
     """df with a global running number (or running sum of `add`, inclusive) in the given order, without one task for all rows.
 

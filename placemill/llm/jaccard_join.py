@@ -10,8 +10,10 @@ A document's set is its distinct shingles of SHINGLE words (A-Z lower-cased); wi
 3. A round of cheap links (each set against one hub per shingle, for its first few shingles) contracts families of near copies, so
    the join proper only emits pairs of different families, never all pairs of a group.  The lists of frequent shingles are dealt
    out in blocks of pairs of buckets.
-4. Candidates that the sizes, the places of their shared shingles or the histogram of their hashes rule out are dropped (all three
-   are bounds, not estimates); the rest is verified on the texts' shingles.
+4. Candidates that the sizes, the places of their shared shingles or the histograms of their hashes rule out are dropped (all three
+   are bounds, not estimates), under a frequent shingle before the pair is made; the rest is verified on the texts' shingles.
+
+Rows that repeat an id are one document, that of the least text.  Null and empty texts have no words; rows without an id link with nothing.
 
 The number of frequent shingles that the executors get is bounded (FREQUENT); which ones they are only decides the speed.
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm.common import components, cut, table
+from placemill.llm.common import Store, components, cut, table, tidy
 from placemill.llm.words import mix, slices
 
 SHINGLE, PERCENT = 4, 85
@@ -40,6 +42,9 @@ BINS = 128
 #: First shingles of a set for which it is compared with a hub.
 HUBS = 4
 
+#: Pairs of one document beyond which its text is dealt to several tasks.
+HOT = 1000
+
 DOC_SCHEMA = "doc_id long, h1 long, h2 long, n_shingles long"
 
 
@@ -105,16 +110,38 @@ def frequent(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return seen.groupBy("t").agg(F.sum("n").alias("df")).filter(F.col("df") >= MANY).orderBy(F.desc("df"), "t").limit(FREQUENT)
 
 
-def prefixes(docs: DataFrame, often: list[tuple[int, int]], size: int, percent: int, bins: int = BINS) -> DataFrame:
-    """(doc_id, h1, h2, n_shingles, l, prefix, bins) of docs (doc_id, text)."""
+def hashes(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, h1, h2, n_shingles) of docs (doc_id, text)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(s1, s2, len(s)) for _, s, s1, s2 in _sets(batch.column(1), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _signed([x[0] for x in out]), _signed([x[1] for x in out]), pa.array([x[2] for x in out], pa.int64())], ["doc_id", "h1", "h2", "n_shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(emit, DOC_SCHEMA)
+
+
+def _histogram(s: np.ndarray, bins: int = BINS) -> bytes:
+    """How many hashes fall into each bin; 255 stands for as many or more."""
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % bins, minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def _most_shared(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps of sets with histograms x and y (rows); n where two bins are too full to tell."""
+    least = np.minimum(x, y)
+    return np.where((least == 255).any(axis=-1), n, least.sum(axis=-1, dtype=np.int64))
+
+
+def prefixes(docs: DataFrame, often: list[tuple[int, int]], size: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, l, prefix, bins) of docs (doc_id, text)."""
     listed = sorted((t & (2**64 - 1), df) for t, df in often)
     last = docs.sparkSession.sparkContext.broadcast((np.array([t for t, _ in listed], dtype=np.uint64), np.array([n for _, n in listed], dtype=np.int64)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, df = last.value
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), [[] for _ in range(7)]
-            for row, s, s1, s2 in _sets(batch.column(1), size):
+            ids, out = batch.column(0).to_pylist(), [[] for _ in range(5)]
+            for row, s, _, _ in _sets(batch.column(1), size):
                 n, length = len(s), 1
                 order, cost = s, None
                 if n and len(heavy):
@@ -126,21 +153,20 @@ def prefixes(docs: DataFrame, often: list[tuple[int, int]], size: int, percent:
                 base = n - _need(n, percent)
                 if cost is not None:  # longer prefixes for those with many candidates
                     length = int(min(LONGEST, n, 1 + cost[: base + 1].sum() // COST))
-                counts = np.bincount((s >> np.uint64(40)).astype(np.int64) % bins, minlength=bins) if n else np.zeros(bins, dtype=np.int64)
-                for c, v in zip(out, (ids[row], s1, s2, n, length, order[: min(n, base + length)].view(np.int64), counts.astype("<u4").tobytes()), strict=True):
+                for c, v in zip(out, (ids[row], n, length, order[: min(n, base + length)].view(np.int64), _histogram(s)), strict=True):
                     c.append(v)
                 if len(out[0]) >= 2000:
                     yield record(out)
-                    out = [[] for _ in range(7)]
+                    out = [[] for _ in range(5)]
             if out[0]:
                 yield record(out)
 
     def record(out: list[list]) -> pa.RecordBatch:
-        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in out[5]]))).astype(np.int32), np.concatenate([*out[5], np.zeros(0, dtype=np.int64)]).astype(np.int64))
-        arrays = [pa.array(out[0], pa.int64()), _signed(out[1]), _signed(out[2]), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), lists, pa.array(out[6], pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "h1", "h2", "n_shingles", "l", "prefix", "bins"])
+        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in out[3]]))).astype(np.int32), np.concatenate([*out[3], np.zeros(0, dtype=np.int64)]).astype(np.int64))
+        arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), lists, pa.array(out[4], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "l", "prefix", "bins"])
 
-    return docs.select("doc_id", "text").mapInArrow(emit, DOC_SCHEMA + ", l int, prefix array<long>, bins binary")
+    return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, n_shingles long, l int, prefix array<long>, bins binary")
 
 
 def _blocked(entries: DataFrame, often: DataFrame) -> DataFrame:
@@ -148,7 +174,8 @@ def _blocked(entries: DataFrame, often: DataFrame) -> DataFrame:
     n = F.coalesce(F.ceil(F.col("df") / BLOCK).cast("int"), F.lit(1))
     dealt = entries.join(F.broadcast(often), "t", "left").withColumn("n", n).withColumn("bucket", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    return dealt.withColumn("other", other).select("t", F.least("bucket", "other").alias("ba"), F.greatest("bucket", "other").alias("bb"), "doc", "n_doc", "pos", "l", "family", "bucket")
+    bins = F.when(F.col("df").isNotNull(), F.col("bins")).alias("bins")  # only frequent shingles have long lists
+    return dealt.withColumn("other", other).select("t", F.least("bucket", "other").alias("ba"), F.greatest("bucket", "other").alias("bb"), "doc", "n_doc", "pos", "l", "family", "bucket", bins)
 
 
 def _pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -163,11 +190,12 @@ def _pairs(entries: DataFrame, percent: int) -> DataFrame:
             begin = np.flatnonzero(key_new)
             end = np.append(begin[1:], len(t))
             out_a, out_b, out_l = [], [], []
-            size = 0
+            size, bins = 0, frame.column(9)
             for i, j in zip(begin, end, strict=True):
                 if j - i < 2 or (family[i:j] == family[i]).all():
                     continue
                 nn, rest = n[i:j], n[i:j] - pos[i:j]
+                shape = np.frombuffer(b"".join(bins.slice(i, j - i).to_pylist()), dtype=np.uint8).reshape(j - i, -1) if bins[i].is_valid else None
                 for x in range(j - i - 1):  # sizes ascend: partners from x on, up to the size that can still link
                     to = int(np.searchsorted(nn, 100 * nn[x] // percent, side="right"))
                     if to <= x + 1:
@@ -181,6 +209,8 @@ def _pairs(entries: DataFrame, percent: int) -> DataFrame:
                     # both prefixes reach this shingle at the lesser of the two l
                     ok &= (pos[i + x] < nn[x] - -(-percent * nn[x] // 100) + both) & (pos[i + x + 1 : i + to] < nn[y] - -(-percent * nn[y] // 100) + both)
                     hit = np.flatnonzero(ok)
+                    if len(hit) and shape is not None:
+                        hit = hit[_most_shared(shape[x], shape[x + 1 + hit], nn[x]) >= need[hit]]
                     if len(hit):
                         other = doc[i + x + 1 + hit]
                         out_a.append(np.minimum(other, doc[i + x]))
@@ -224,14 +254,27 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u4").reshape(batch.num_rows, -1) for k in (2, 3))
-            most, total = np.minimum(x, y).sum(axis=1, dtype=np.int64), x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
-            keep = pa.array(100 * most >= percent * (total - most))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            m, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
+            most = np.minimum(_most_shared(x, y, np.minimum(m, n)), np.minimum(m, n))
+            keep = pa.array(100 * most >= percent * (m + n - most))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    own = reps.select("doc_id", "bins")
-    both = pairs.join(own.toDF("a", "bins_a"), "a").join(own.toDF("b", "bins_b"), "b")
-    return both.select("a", "b", "bins_a", "bins_b").mapInArrow(bound, "a long, b long")
+    own = reps.select("doc_id", "bins", "n_shingles")
+    both = pairs.join(own.toDF("a", "bins_a", "n_a"), "a").join(own.toDF("b", "bins_b", "n_b"), "b")
+    return both.select("a", "b", "bins_a", "bins_b", "n_a", "n_b").mapInArrow(bound, "a long, b long")
+
+
+def _with_text(pairs: DataFrame, key: str, texts: DataFrame) -> DataFrame:
+    """pairs with the text of their `key`; a document of very many pairs is dealt with them to several tasks."""
+    named = texts.select(F.col("doc_id").alias(key), F.col("text").alias(f"text_{key}"))
+    hot = cut(pairs.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("salts")))
+    if hot.isEmpty():
+        return pairs.join(named, key)
+    salted = pairs.join(hot, key).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.col("salts")).cast("int")).drop("salts")
+    copies = named.join(hot, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    spread = salted.join(copies, [key, "salt"]).drop("salt")
+    return pairs.join(hot.select(key), key, "left_anti").join(named, key).unionByName(spread)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -247,37 +290,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 keep[r] = 100 * both >= percent * (len(o) + len(s) - both) and both > 0
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
 
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    both = _with_text(_with_text(pairs, "a", texts), "b", texts)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
 def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their hashes, classes, links between classes) of docs (doc_id, text)."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     often = cut(frequent(rows, size, percent))
-    all_docs = cut(prefixes(rows, [tuple(r) for r in often.collect()], size, percent))
+    all_docs = cut(hashes(rows, size))
     classes = cut(all_docs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
-    reps = all_docs.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    reps = cut(reps.select("doc_id", "n_shingles", "l", "prefix", "bins"))
-    texts = rows.filter("doc_id IS NOT NULL")
+    store = Store(spark, "jaccard")
+    own = rows.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = store.put(own, "doc_id")
+    tidy(spark)
+    reps = store.put(prefixes(texts, [tuple(r) for r in often.collect()], size, percent), "doc_id")
 
     # families: each set against the smallest document under each of its first shingles
     heads = reps.select(F.col("doc_id").alias("doc"), F.explode(F.slice("prefix", 1, HUBS)).alias("t"))
     hubs = heads.groupBy("t").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     near = heads.join(hubs, "t").filter("doc > hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    near = cut(_verified(_possible(near, reps, percent), texts, size, percent))
+    near = cut(_verified(cut(_possible(near, reps, percent)), texts, size, percent))
     family = near.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("one"))
     up = family.join(family.toDF("one", "two"), "one", "left").select("doc", F.coalesce("two", "one").alias("family"))
     up = up.union(near.select(F.col("a").alias("doc"), F.col("a").alias("family")).distinct()).groupBy("doc").agg(F.min("family").alias("family"))
 
     # the join proper, between families
     named = reps.join(up.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id"))
-    entries = named.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n_doc"), F.col("l").cast("long").alias("l"), "family", F.posexplode("prefix").alias("pos", "t"))
+    entries = named.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n_doc"), F.col("l").cast("long").alias("l"), "family", "bins", F.posexplode("prefix").alias("pos", "t"))
     dealt = _blocked(entries, often)
     key = ["t", "ba", "bb"]
     met = _pairs(dealt.withColumn("pos", F.col("pos").cast("long")).repartition(*key).sortWithinPartitions(*key, "n_doc"), percent)
     found = _verified(cut(_possible(met, reps, percent)), texts, size, percent)
-    return all_docs.select("doc_id", "h1", "h2", "n_shingles"), classes, cut(near.union(found).distinct())
+    linked = cut(near.union(found).distinct())
+    store.close()
+    tidy(spark)
+    return all_docs, classes, linked
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
