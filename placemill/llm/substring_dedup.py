@@ -37,7 +37,7 @@ WINDOW, SUB = 13, 5
 #: Runs of a kind beyond which they are compacted.
 FAN = 4
 #: Batches that the whole table is dealt into.
-BATCHES = 4
+BATCHES = 3
 
 
 def _windows(w, window: int, sub: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +215,9 @@ class FingerprintIndex:
         run = spark.table(run_name)
         twice = [run.filter("n > 1").select("h1", "h2", "first")]
         twice += [p.select("h1", "h2", "first").join(run.select("h1", "h2"), ["h1", "h2"]) for p in past["window"]]
-        firsts = self._union(twice).groupBy("h1", "h2").agg(F.min("first").alias("first"))
+        firsts_name = self._store(self._union(twice).groupBy("h1", "h2").agg(F.min("first").alias("first")), "firsts")  # so that the join below is one that Spark can split
+        used.append(firsts_name)
+        firsts = spark.table(firsts_name)
         late = at.join(firsts, ["h1", "h2"]).filter("first < doc_id")
         starts = late.groupBy("doc_id", "k1").agg(F.collect_set("pos").alias("starts"))
         marks = starts.withColumn("copy", F.lit(False)).unionByName(copies.withColumns({"starts": F.lit(None).cast("array<bigint>"), "copy": F.lit(True)}))
