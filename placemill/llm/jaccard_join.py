@@ -7,7 +7,7 @@ A document's set is its distinct shingles of SHINGLE words (A-Z lower-cased); wi
 2. Shingles have one global order: frequent ones last, then by hash.  Two sets that link share, for any l, at least l of the first
    n - ceil(PERCENT n / 100) + l shingles of both.  Each document picks its own l: its prefix grows while the estimated number of
    candidates under its frequent shingles is large, and a pair has to share as many as the lesser of its two l.
-3. A round of cheap links (each set against one hub per shingle, for its first few shingles) contracts families of near copies, so
+3. A round of cheap links (each set against one hub per shingle, for the few of the least hashes) contracts families of near copies, so
    the join proper only emits pairs of different families, never all pairs of a group.  The lists of frequent shingles are dealt
    out in blocks of pairs of buckets.
 4. Candidates that the sizes, the places of their shared shingles or the histograms of their hashes rule out are dropped (all three
@@ -31,15 +31,15 @@ from placemill.llm.common import Store, components, cut, table, tidy
 from placemill.llm.words import mix, slices
 
 SHINGLE, PERCENT = 4, 85
-#: Frequent shingles that are put last: those in at least MANY prefixes, the most frequent ones, no more than FREQUENT.
-MANY, FREQUENT = 64, 100_000
+#: Frequent shingles that are put last: those in at least MANY documents, the most frequent ones, no more than FREQUENT.
+MANY, FREQUENT = 16, 400_000
 #: Documents under a frequent shingle that one task compares with one another.
 BLOCK = 2000
 #: Candidates under a document's frequent shingles that make its l one larger, and the largest l.
 COST, LONGEST = 200, 6
 #: Bins of the histogram of a set's hashes.
 BINS = 128
-#: First shingles of a set for which it is compared with a hub.
+#: Shingles of a set, those of the least hashes, for which it is compared with a hub.
 HUBS = 4
 
 #: Pairs of one document beyond which its text is dealt to several tasks.
@@ -85,8 +85,11 @@ def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.uint64).view(np.int64))
 
 
-def frequent(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(t, df): shingles in many documents' plain prefixes, with an estimate of how many, from all documents."""
+def frequent(docs: DataFrame, size: int) -> DataFrame:
+    """(t, df): shingles of many documents, with an estimate of how many, from all shingles of all documents.
+
+    A task leaves out what it sees once among some millions, so the estimate is low for what is rare; it only orders shingles.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -98,8 +101,8 @@ def frequent(docs: DataFrame, size: int, percent: int) -> DataFrame:
         total = 0
         for batch in batches:
             for _, s, _, _ in _sets(batch.column(0), size):
-                held.append(s[: len(s) - _need(len(s), percent) + 1])
-                total += len(held[-1])
+                held.append(s)
+                total += len(s)
             if total > 4_000_000:
                 yield out()
                 held, total = [], 0
@@ -132,15 +135,16 @@ def _most_shared(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where((least == 255).any(axis=-1), n, least.sum(axis=-1, dtype=np.int64))
 
 
-def prefixes(docs: DataFrame, often: list[tuple[int, int]], size: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, l, prefix, bins) of docs (doc_id, text)."""
-    listed = sorted((t & (2**64 - 1), df) for t, df in often)
-    last = docs.sparkSession.sparkContext.broadcast((np.array([t for t, _ in listed], dtype=np.uint64), np.array([n for _, n in listed], dtype=np.int64)))
+def prefixes(docs: DataFrame, often: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, l, prefix, bins, heads) of docs (doc_id, text); heads: the HUBS least hashes, whatever their frequency."""
+    found = often.toPandas()  # no more than FREQUENT rows
+    t, n = found["t"].to_numpy(dtype=np.int64).view(np.uint64), found["df"].to_numpy(dtype=np.int64)
+    last = docs.sparkSession.sparkContext.broadcast((t[np.argsort(t)], n[np.argsort(t)]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, df = last.value
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), [[] for _ in range(5)]
+            ids, out = batch.column(0).to_pylist(), [[] for _ in range(6)]
             for row, s, _, _ in _sets(batch.column(1), size):
                 n, length = len(s), 1
                 order, cost = s, None
@@ -153,20 +157,22 @@ def prefixes(docs: DataFrame, often: list[tuple[int, int]], size: int, percent:
                 base = n - _need(n, percent)
                 if cost is not None:  # longer prefixes for those with many candidates
                     length = int(min(LONGEST, n, 1 + cost[: base + 1].sum() // COST))
-                for c, v in zip(out, (ids[row], n, length, order[: min(n, base + length)].view(np.int64), _histogram(s)), strict=True):
+                for c, v in zip(out, (ids[row], n, length, order[: min(n, base + length)].view(np.int64), _histogram(s), s[:HUBS].view(np.int64)), strict=True):
                     c.append(v)
                 if len(out[0]) >= 2000:
                     yield record(out)
-                    out = [[] for _ in range(5)]
+                    out = [[] for _ in range(6)]
             if out[0]:
                 yield record(out)
 
     def record(out: list[list]) -> pa.RecordBatch:
-        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in out[3]]))).astype(np.int32), np.concatenate([*out[3], np.zeros(0, dtype=np.int64)]).astype(np.int64))
-        arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), lists, pa.array(out[4], pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "l", "prefix", "bins"])
+        prefix, heads = (
+            pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in c]))).astype(np.int32), np.concatenate([*c, np.zeros(0, dtype=np.int64)]).astype(np.int64)) for c in (out[3], out[5])
+        )
+        arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), prefix, pa.array(out[4], pa.binary()), heads]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "l", "prefix", "bins", "heads"])
 
-    return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, n_shingles long, l int, prefix array<long>, bins binary")
+    return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, n_shingles long, l int, prefix array<long>, bins binary, heads array<long>")
 
 
 def _blocked(entries: DataFrame, often: DataFrame) -> DataFrame:
@@ -298,17 +304,17 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple
     """(documents with their hashes, classes, links between classes) of docs (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    often = cut(frequent(rows, size, percent))
+    often = cut(frequent(rows, size))
     all_docs = cut(hashes(rows, size))
     classes = cut(all_docs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
     store = Store(spark, "jaccard")
     own = rows.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = store.put(own, "doc_id")
     tidy(spark)
-    reps = store.put(prefixes(texts, [tuple(r) for r in often.collect()], size, percent), "doc_id")
+    reps = store.put(prefixes(texts, often, size, percent), "doc_id")
 
     # families: each set against the smallest document under each of its first shingles
-    heads = reps.select(F.col("doc_id").alias("doc"), F.explode(F.slice("prefix", 1, HUBS)).alias("t"))
+    heads = reps.select(F.col("doc_id").alias("doc"), F.explode("heads").alias("t"))
     hubs = heads.groupBy("t").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     near = heads.join(hubs, "t").filter("doc > hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     near = cut(_verified(cut(_possible(near, reps, percent)), texts, size, percent))
