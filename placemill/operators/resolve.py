@@ -154,13 +154,25 @@ def judged(candidates: DataFrame, least: float = MATCH_CONFIDENCE, radius_km: fl
     """
     scored = candidates.withColumn("set_score", set_ratio(F.col("query"), F.col("name"))).filter(F.col("set_score") >= least * 100)
     if limit is not None:
-        best = Window.partitionBy("place").orderBy(F.desc("set_score"), "hit")
-        scored = scored.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= limit).drop("_n")
+        scored = _first(scored, "place", limit, F.desc("set_score"), F.col("hit"))
+    return _nearest(_same_words(scored), radius_km)
+
+
+def _first(rows: DataFrame, by: str, limit: int, *order: Column) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= limit).drop("_n")
+
+
+def _same_words(scored: DataFrame) -> DataFrame:
+    """Those of (query, name, set_score) whose order of words and distinctive words agree, with sort_score."""
     scored = scored.withColumn("sort_score", sort_ratio(F.col("query"), F.col("name"))).filter(F.col("sort_score") >= MIN_SORT)
     scored = scored.withColumns({"core": text.distinctive_of(F.col("query")), "other": text.distinctive_of(F.col("name"))})
     alike = F.greatest(set_ratio(F.col("core"), F.col("other")), set_ratio(text.skeleton_of(F.col("core")), text.skeleton_of(F.col("other"))))
     core = F.when((F.col("core") == "") & (F.col("other") == ""), 100.0).when((F.col("core") == "") | (F.col("other") == ""), 0.0).otherwise(alike)
-    scored = scored.filter(core >= MIN_CORE)
+    return scored.filter(core >= MIN_CORE).drop("core", "other")
+
+
+def _nearest(scored: DataFrame, radius_km: float) -> DataFrame:
+    """(place, poi, match_confidence): the best of each place's that is not too far from the city."""
     far = geo.haversine_km(F.col("centre_lat"), F.col("centre_lon"), F.col("lat"), F.col("lon")) > radius_km
     scored = scored.filter(~F.coalesce(far, F.lit(False))).withColumn("confidence", (F.col("set_score") * 0.6 + F.col("sort_score") * 0.4) / 100)
     pick = F.min_by(F.struct("poi", "confidence"), F.struct(-F.col("confidence"), -F.col("set_score"), "hit"))
@@ -170,19 +182,23 @@ def judged(candidates: DataFrame, least: float = MATCH_CONFIDENCE, radius_km: fl
 def locate(places: DataFrame, pois: DataFrame, localities: DataFrame, least: float = MATCH_CONFIDENCE, radius_km: float = CITY_KM) -> DataFrame:
     """(place, poi, lat, lng, address_he, osm_category, match_confidence, reason) for places (place, name_he, city).
 
-    Candidates come from an equi-join on words and trigrams' keys: names that share a word, or whose words all differ but whose
-    rare trigrams meet, so no name is compared with all others.
+    Candidates come from an equi-join on trigrams, so no name is compared with all others.  It joins distinct queries and distinct names:
+    the scores and the order of a query's candidates depend on nothing else, so each pair of texts is scored once, and of the points
+    that share a name only the first of the order, as many as a query has candidates, can be among them.
     """
     asked = places.withColumns({"query": text.canon(F.col("name_he")), "city_key": text.canon(F.col("city"))})
     asked = asked.join(localities.select(F.col("key").alias("city_key"), F.col("lat").alias("centre_lat"), F.col("lon").alias("centre_lon")), "city_key", "left")
     unresolved = (F.col("city_key") != "") & F.col("centre_lat").isNull()
     open_ = asked.filter((F.col("query") != "") & ~unresolved)
-    space = search_space(pois).withColumn("hit", F.xxhash64("poi", "name"))
-    # a set score of the cutoff needs a common word or most trigrams in common: both show as a common trigram
-    keys = open_.select("place", "query", F.explode(trigrams(F.col("query"))).alias("t")).join(space.select("poi", "name", "hit", F.explode(trigrams(F.col("name"))).alias("t")), "t")
-    met = keys.groupBy("place", "query", "poi", "name", "hit").agg(F.count("*").alias("common")).filter(F.col("common") >= 2).drop("common")
-    met = met.join(open_.select("place", "centre_lat", "centre_lon"), "place").join(pois.select("poi", "lat", "lon"), "poi")
-    found = judged(met, least, radius_km).join(pois, "poi")
+    space = search_space(pois).distinct().withColumn("hit", F.xxhash64("poi", "name"))
+    # a set score of the cutoff needs a common word or most trigrams in common: both show as common trigrams
+    queries, names = open_.select("query").distinct(), space.select("name").distinct()
+    keys = queries.select("query", F.explode(trigrams(F.col("query"))).alias("t")).join(names.select("name", F.explode(trigrams(F.col("name"))).alias("t")), "t")
+    met = keys.groupBy("query", "name").agg(F.count("*").alias("common")).filter(F.col("common") >= 2).drop("common")
+    scored = met.withColumn("set_score", set_ratio(F.col("query"), F.col("name"))).filter(F.col("set_score") >= least * 100)
+    scored = _first(scored.join(_first(space, "name", CANDIDATES, F.col("hit")), "name"), "query", CANDIDATES, F.desc("set_score"), F.col("hit"))
+    scored = _same_words(scored).join(pois.select("poi", "lat", "lon"), "poi").join(open_.select("place", "query", "centre_lat", "centre_lon"), "query")
+    found = _nearest(scored, radius_km).join(pois, "poi")
     street = F.nullif(F.concat_ws(" ", F.nullif("street", F.lit("")), F.nullif("housenumber", F.lit(""))), F.lit(""))
     found = found.select("place", "poi", "lat", F.col("lon").alias("lng"), street.alias("_street"), F.nullif("city", F.lit("")).alias("_town"), F.col("category").alias("osm_category"), F.round("match_confidence", 3).alias("match_confidence"), "match_confidence")
     found = found.toDF("place", "poi", "lat", "lng", "_street", "_town", "osm_category", "match_confidence", "_exact")

@@ -482,8 +482,8 @@ def _located(spark, sf_dir) -> DataFrame:
     """Every place under its name with a word more or less, in its city, against the points of interest."""
     asked = places(spark, sf_dir).select(F.col("id").alias("place"), F.when(F.col("id") % 3 == 0, F.concat("name_he", F.lit(" hotel"))).otherwise(F.col("name_he")).alias("name_he"),
         F.when(F.col("id") % 11 == 0, F.lit("nowhere")).when(F.col("id") % 4 != 0, F.col("city")).alias("city"))
-    few = _pois(spark, sf_dir).filter(F.col("poi").cast("long") % 10 == 3)
-    return resolve.locate(asked, few, resolve.city_medians(_pois(spark, sf_dir)))
+    pois = _pois(spark, sf_dir)
+    return resolve.locate(asked, pois, resolve.city_medians(pois))
 
 
 @query()

@@ -217,6 +217,26 @@ def test_locate_guards(spark):
     assert got == {1: ("n1", None), 2: ("n3", None), 3: (None, "city_unresolved"), 4: (None, "no_osm_match"), 5: (None, "no_osm_match")}
 
 
+def test_locate_searches_all_points(spark):
+    from placemill.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    got = {r["place"]: (r["poi"], r["match_confidence"]) for r in catalogue.queries()["locate_places"](spark, d).collect()}
+    pois = catalogue._pois(spark, d)
+    medians = {r["key"]: (r["lat"], r["lon"]) for r in resolve.city_medians(pois).collect()}
+    asked = []
+    for r in catalogue.places(spark, d).select("id", "name_he", "city").collect():
+        name = r["name_he"] + (" hotel" if r["id"] % 3 == 0 else "")
+        city = "nowhere" if r["id"] % 11 == 0 else r["city"].lower().replace("#", " ") if r["id"] % 4 else None
+        if city is None or city in medians:
+            asked.append((r["id"], name, *medians.get(city, (None, None))))
+    asked = spark.createDataFrame(asked, "place long, query string, centre_lat double, centre_lon double")
+    every = asked.crossJoin(resolve.search_space(pois).withColumn("hit", F.xxhash64("poi", "name")).join(pois.select("poi", "lat", "lon"), "poi"))
+    want = {r["place"]: (r["poi"], round(r["match_confidence"], 3)) for r in resolve.judged(every).collect()}
+    assert {k: v for k, v in got.items() if v[0] is not None} == want
+    assert {int(poi) % 10 for poi, _ in want.values()} - {3}
+
+
 def test_upper_median(spark):
     pois = spark.createDataFrame([("A b", float(k), float(-k)) for k in (1, 2, 3, 4)] + [("c", 1.0, 1.0)], "city string, lat double, lon double")
     assert [tuple(r) for r in resolve.city_medians(pois).collect()] == [("a b", 3.0, -2.0)]
