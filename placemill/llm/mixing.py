@@ -74,14 +74,14 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: in
     """sizes (doc_id, source, size) with source_size, target and taken: size times the copies that the mix takes."""
     queued = queue(sizes, weights, most, seed)
     copies = queued.filter("size > 0").withColumn("copy", F.explode(F.array(*[F.lit(e) for e in range(most)])))
-    copies = copies.withColumn("finish", F.col("first") + F.col("copy") * F.col("source_size") / F.col("target")).filter("finish <= 1.5 or copy = 0")
+    copies = copies.withColumn("finish", F.col("first") + F.col("copy") * F.col("source_size") / F.col("target"))
     tick = F.floor(F.least(F.col("finish"), F.lit(2.0)) * (TICKS // 2)).cast("int")
     ticks = cut(copies.groupBy(tick.alias("tick")).agg(F.sum("size").alias("words")))
     budget = sizes.agg(F.sum("size")).first()[0] or 0
     run = ticks.withColumn("to", F.sum("words").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)))  # at most TICKS rows
     last = run.filter(F.col("to") > budget).orderBy("tick").select("tick", (F.col("to") - F.col("words")).alias("before")).first()
     key = ["finish", "shuffled", "doc_id", "copy"]
-    if last is None:
+    if last is None:  # the budget takes all copies
         end = None
     else:  # within the tick in which the budget ends, copies by their order
         inside = ranked(copies.filter(tick == last["tick"]).select(*key, "size"), [F.col(k) for k in key], F.col("size"), "to")
@@ -92,7 +92,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: in
         # the same expressions, in the same order, as those of the ticks
         at = F.floor(F.least(finish, F.lit(2.0)) * (TICKS // 2)).cast("int")
         if last is None:
-            goes = (finish <= 1.5) | F.lit(e == 0)
+            goes = F.lit(True)
         else:
             goes = at < last["tick"]
             if end is not None:

@@ -175,6 +175,22 @@ def test_mix_against_resharing(docs, rows):
     assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in mixing.mix_documents(docs.repartition(7)).collect())
 
 
+def test_mix_ends_at_the_budget_beyond_all_ticks(spark):
+    draw = random.Random(7)
+    sizes = [(k, f"host{k}", 1 + int(draw.lognormvariate(2, 1.5))) for k in range(3000)]
+    got = [tuple(r) for r in mixing.mix(spark.createDataFrame(sizes, "doc_id long, source string, size long")).select("doc_id", "size", "target", "taken").collect()]
+    budget = sum(size for _, _, size in sizes)
+    order = sorted((size / target + e * size / target, hashlib.md5(f"17:{k}".encode()).hexdigest(), k, e, size) for k, size, target, _ in got for e in range(3))
+    want, upto, last = collections.Counter(), 0, 0.0
+    for finish, _, k, _, size in order:
+        upto += size
+        if upto > budget:
+            break
+        want[k] += size
+        last = finish
+    assert last > 1.5 and {k: taken for k, _, _, taken in got if taken} == want
+
+
 def test_mixed_rows_repeat_as_taken(docs, empty):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
