@@ -252,6 +252,15 @@ def test_pages_against_their_articles(spark):
 # 5
 
 
+def test_runs_of_copies_are_compared_beyond_the_run(spark):
+    frame = "<div>Home of all things</div><div>{}</div><div>Imprint of the host</div>"
+    body = "One long report that stands in several copies on this host with many words to it"
+    texts = [*[("/a%d" % k, f"{body}</div><div>copy {k}") for k in range(5)], ("/b", "Quite another text about something else, just as long as the report of the copies is")]
+    pages = spark.createDataFrame([(k, f"http://h.example{path}", frame.format(text)) for k, (path, text) in enumerate(texts)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_text.extract(pages).collect()}
+    assert got == {k: text.replace("</div><div>", "\n") for k, (_, text) in enumerate(texts)}
+
+
 def test_token_counts_against_the_library(docs, rows, empty):
     import sentencepiece
 
