@@ -214,6 +214,14 @@ def test_page_blocks():
     assert page_text.blocks(None) == []
 
 
+def test_named_parts_of_an_article_stay_unless_containers():
+    page = '<article><h2 id="related-work">Related work</h2><p class="notice">Note that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><object>Old text</object>'
+    page += '<div class="related">More to read</div><ul class="share"><li>Send</li></ul></article><p class="notice">We use cookies</p>'
+    found = page_text.blocks(page)
+    assert page_text.main_text(found, None) == "Related work\nNote that x=2 holds.\nOld text"
+    assert [t for t, _, away in found if away] == ["More to read", "Send", "We use cookies"]
+
+
 def test_common_lines_are_longest():
     def longest(a, b):
         m = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
