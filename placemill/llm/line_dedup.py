@@ -1,25 +1,32 @@
 """Line dedup, natively: repeated runs of lines by a suffix array over line ids that is built by prefix doubling.
 
 A document is the sequence of its lines that have a word; blank lines stay where they are and belong to no run.  Round 0 gives each
-suffix the rank of its first line, and each round after it ranks the suffixes by pairs of ranks, half a run apart, so that after
-round k equal ranks are equal runs of 2^k lines: the intervals of the suffix array whose common prefix is at least as long.  Ranks
-are the places of the distinct keys in a distributed sort (each range adds the count of the ranges before), so no task sees all suffixes,
-and suffixes whose rank is unique leave the rounds.  The doubling stops at `min_lines`, where the deletions are decided: a longer
-repeated run is the union of the repeated runs of `min_lines` in it.
+suffix the rank of its first line; each round after it ranks the suffixes by pairs of ranks, half a run apart, so that equal ranks are equal
+runs of one, `min_lines`, twice `min_lines`, four times ... lines.  Ranks are the places of the distinct keys in a distributed sort
+(each range adds the count of the ranges before), so no task sees all suffixes.  Suffixes of one rank are an interval of the suffix array
+whose common prefix is at least as long as the round's runs; those whose rank is unique leave the rounds, which end when the
+longest repeated run is passed.
 
 Of every run of at least `min_lines` lines, or one line of at least `min_words` words, that occurs more than once, the first copy in the order (doc_id,
-place) stays, and the lines of the later ones are deleted, also inside one document.  Null and empty texts have no lines and stay as they
-are; texts that lose nothing keep their bytes.  Rows without an id are left alone.  Rows that repeat an id and a text are one
-document.  An empty table gives an empty result.
+place) stays, and the lines of the later ones are deleted, also inside one document.  A suffix that isn't the first of its interval
+covers its run; the longest interval of a suffix is at least half its longest common prefix with anything earlier, and the
+rest of that prefix is covered by the suffixes inside it, so the runs that overlap in a document add up to the maximal ones.
+
+Null and empty texts have no lines and stay as they are; texts that lose nothing keep their bytes.  Rows without an id are left alone.  Rows that
+repeat an id and a text are one document.  An empty table gives an empty result.  Columns besides doc_id and text are carried along and
+never clash with the operator's own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placemill.llm.common import WORD, cut, ranked, table
+from placemill.llm.common import WORD, as_rows, cut, ranked, table
 
 MIN_LINES, MIN_WORDS = 2, 50
 
@@ -47,50 +54,60 @@ def _rank(groups: DataFrame, keys: list[str]) -> DataFrame:
     return ranked(groups, [F.col(k) for k in keys])
 
 
-def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, key, place) of the lines of docs (doc_id, text) that later copies of repeated runs cover."""
-    at = cut(_positions(docs))
-    # round 0: suffixes by their first line
+def intervals(at: DataFrame, min_lines: int) -> Iterator[tuple[int, DataFrame]]:
+    """(lines, suffixes) of each round: the suffixes (doc_id, key, pos, rank, first) whose run of so many lines occurs more than once.
+
+    first is the place (doc_id, key, pos) of the run's first copy.
+    """
     groups = cut(_rank(_groups(at, ["line"]), ["line"]))
     here = cut(at.join(groups, "line").select("doc_id", "key", "place", "pos", "words", "rank", "first"))
-    own = F.struct("doc_id", "key", "pos") > F.col("first")
-    marks = here.filter(own & (F.col("words") >= min_words)).select("doc_id", "key", F.col("pos").alias("start"), F.lit(1).alias("lines"))
     have, document = 1, Window.partitionBy("doc_id", "key").orderBy("pos")
-    while have < min_lines:
-        step = min(have, min_lines - have)  # the last round lets the halves overlap
-        # the suffix `step` lines on has to be there and to be in a group too
-        ahead = F.when(F.lead("pos", step).over(document) == F.col("pos") + step, F.lead("rank", step).over(document))
-        pairs = here.select("doc_id", "key", "place", "pos", F.col("rank").alias("left"), ahead.alias("right")) if step == 1 else _ahead(here, step)
-        pairs = cut(pairs.filter("right IS NOT NULL"))
-        groups = _groups(pairs, ["left", "right"])
-        groups = _rank(groups, ["left", "right"]) if have + step < min_lines else groups
+    while not here.isEmpty():
+        yield have, here
+        step = min(have, min_lines - have) if have < min_lines else have  # up to `min_lines` the halves may overlap
+        # the suffix `step` lines on has to be among those that are left
+        ahead = F.max("rank").over(document.rangeBetween(step, step))
+        pairs = cut(here.select("doc_id", "key", "pos", F.col("rank").alias("left"), ahead.alias("right")).filter("right IS NOT NULL"))
+        groups = cut(_rank(_groups(pairs, ["left", "right"]), ["left", "right"]))
         here = cut(pairs.join(groups, ["left", "right"]).drop("left", "right"))
         have += step
-    if min_lines > 1:
-        marks = marks.union(here.filter(own).select("doc_id", "key", F.col("pos").alias("start"), F.lit(min_lines).alias("lines")))
-    else:
-        marks = here.filter(own).select("doc_id", "key", F.col("pos").alias("start"), F.lit(1).alias("lines"))
-    covered = marks.select("doc_id", "key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("lines") - 1)).alias("pos")).distinct()
-    return covered.join(at.select("doc_id", "key", "pos", "place"), ["doc_id", "key", "pos"]).select("doc_id", "key", "place")
 
 
-def _ahead(here: DataFrame, step: int) -> DataFrame:
-    """Each suffix with the rank of the one `step` lines on, which needs a join where suffixes between them have left."""
-    on = here.select("doc_id", "key", (F.col("pos") - step).alias("pos"), F.col("rank").alias("right"))
-    return here.select("doc_id", "key", "place", "pos", F.col("rank").alias("left")).join(on, ["doc_id", "key", "pos"])
+def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, key, place, run) of the lines of docs (doc_id, text) that later copies of repeated runs cover; run: the lines of the whole covered run."""
+    later = F.struct("doc_id", "key", "pos") > F.col("first")
+    at = cut(_positions(docs))
+    lines = at.limit(0).select("doc_id", "key", "pos", "place", F.lit(None).cast("long").alias("reach"))
+    marks = []
+    for have, here in intervals(at, min_lines):
+        if have == 1:  # a covered line has an earlier copy by itself
+            lines = here.filter(later).select("doc_id", "key", "pos", "place", F.lit(None).cast("long").alias("reach"))
+        own = here.filter(later if have >= min_lines else later & (F.col("words") >= min_words)) if have in (1, min_lines) or have > min_lines else None
+        if own is not None:
+            marks.append(own.select("doc_id", "key", "pos", F.lit(None).cast("int").alias("place"), (F.col("pos") + have).alias("reach")))
+    # a line is covered where a run that begins at or before it ends after it: one pass over each document
+    document = Window.partitionBy("doc_id", "key")
+    upto = document.orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
+    covered = reduce(DataFrame.unionByName, marks, lines).withColumn("end", F.max("reach").over(upto)).filter("place IS NOT NULL AND end > pos")
+    island = F.col("pos") - F.row_number().over(document.orderBy("pos"))
+    return covered.withColumn("island", island).select("doc_id", "key", "place", F.count("*").over(Window.partitionBy("doc_id", "key", "island")).alias("run"))
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, drop_emptied: bool = False) -> DataFrame:
-    """docs without the repeated lines, all columns kept; drop_emptied: also without documents that lost every word."""
-    columns = docs.columns
-    gone = repeated(docs, min_lines, min_words).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set("place").alias("_gone"))
-    out = docs.withColumn("_own", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
-    kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumn("text", text)
+    """docs without the repeated lines, all columns kept, whatever they are called; drop_emptied: also without documents that lost every word."""
+    gone = repeated(docs.select("doc_id", "text"), min_lines, min_words).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("place")).alias("gone"))
+    rows = docs.select(F.col("doc_id").alias("own"), F.xxhash64("text").alias("own_key"), F.col("text"), as_rows(docs).alias("row"))
+    out = rows.join(gone, (F.col("own") == F.col("doc_id")) & (F.col("own_key") == F.col("key")), "left").drop("doc_id", "key")
+    out = out.withColumn("listed", F.when(F.col("gone").isNotNull(), _lines(F.col("text"))))  # split once, not for each part
+    # what is left between one deleted line and the next
+    listed, n = F.col("listed"), F.size("gone")
+    begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("gone", k - 1) + 1)
+    parts = F.transform(F.sequence(F.lit(0), n), lambda k: F.slice(listed, begin(k) + 1, F.coalesce(F.get("gone", k), F.size(listed)) - begin(k)))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(parts), "\n"))
+    out = out.select(text.alias("left"), "gone", "row")
     if drop_emptied:
-        out = out.filter(F.col("_gone").isNull() | F.regexp_like("text", F.lit(WORD)))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+        out = out.filter(F.col("gone").isNull() | F.regexp_like("left", F.lit(WORD)))
+    return out.select(*[F.col("left").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
