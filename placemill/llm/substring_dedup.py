@@ -4,11 +4,11 @@ A window is `WINDOW` consecutive words of one document.  Every word under a wind
 smaller id is removed; windows are judged on the input.  Batches come in order of their ids; for each one
 
 1. its texts are kept in a table bucketed by id, so that no later step shuffles them again;
-2. every window gives its fingerprint, the least hash of the SUB-word runs in it (equal windows have equal fingerprints, and
+2. every window gives its fingerprint (made and shuffled once, into a table bucketed by fingerprint), the least hash of the SUB-word runs in it (equal windows have equal fingerprints, and
    neighbours mostly share one, so a text has about a fifth as many as windows);
 3. the batch's fingerprints become a run: bucketed and sorted, unique, immutable, with one text that has it and whether others do;
    runs of the past are merge-joined with it, bucket by bucket, without a shuffle;
-4. windows under a fingerprint that different texts have are verified by a 128-bit hash of all their words (a fingerprint that one
+4. windows under a fingerprint that different texts have are verified by two 64-bit hashes over all their words' 64-bit hashes (a fingerprint that one
    text of the past had alone until now adds that text's windows first), and become a run of their own, which the runs of
    historical windows are merge-joined with in the same way;
 5. when there are more than FAN runs of a kind they are compacted into one.
@@ -21,6 +21,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -30,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm.common import shared_folder, table
+from placemill.llm.common import mapped, shared_folder, table
 from placemill.llm.words import slices
 
 WINDOW, SUB = 13, 5
 #: Runs of a kind beyond which they are compacted.
-FAN = 4
-#: Batches that the whole table is dealt into.
-BATCHES = 3
+FAN = 2
+#: Batches that the whole table is dealt into: the third one makes the runs be compacted, and the fourth reads the compacted ones.
+BATCHES = 4
 
 
 def _windows(w, window: int, sub: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, window: int, sub: int) -> DataFrame:
                 new[1:] = (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), pa.array(keys[row[new] + w.first], pa.int64())], ["fp", "k1"])
 
-    return docs.select("k1", "text").mapInArrow(emit, "fp long, k1 long")
+    return mapped(docs.select("k1", "text"), emit, "fp long, k1 long")
 
 
 def windows(docs: DataFrame, window: int, sub: int) -> DataFrame:
@@ -99,7 +100,7 @@ def windows(docs: DataFrame, window: int, sub: int) -> DataFrame:
                     ["h1", "h2", "doc_id", "k1", "pos"],
                 )
 
-    return docs.select("doc_id", "k1", "text", "fps").mapInArrow(emit, "h1 long, h2 long, doc_id long, k1 long, pos long")
+    return mapped(docs.select("doc_id", "k1", "text", "fps"), emit, "h1 long, h2 long, doc_id long, k1 long, pos long")
 
 
 def stripped(docs: DataFrame, window: int, with_text: bool = False) -> DataFrame:
@@ -126,25 +127,54 @@ def stripped(docs: DataFrame, window: int, with_text: bool = False) -> DataFrame
             m = 4 + with_text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:m], kinds, strict=False)], names[:m])
 
-    return docs.select("doc_id", "text", "starts", "copy").mapInArrow(emit, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
+    return mapped(docs.select("doc_id", "text", "starts", "copy"), emit, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
 
 
 class FingerprintIndex:
-    """Bucketed tables: fingerprints (fp, owner, shared), windows (h1, h2, first), texts (doc_id, k1, k2, text) and which id stands for a text."""
+    """Bucketed tables: fingerprints (fp, owner, shared), windows (h1, h2, first), texts (doc_id, k1, k2, text) and which id stands for a text.
 
-    KEYS = {"fp": ["fp"], "window": ["h1", "h2"], "texts": ["doc_id", "k1"], "reps": ["k1"]}
+    The runs live in the warehouse under the index's name; `save` writes the list of them to a folder, and `load` opens them again, also from
+    another application.  Batches have to come in the order of their ids, since what was returned for a batch can't be changed by a later one
+    with smaller ids; a batch with an id that isn't larger than all before is refused.
+    """
+
+    KEYS = {"fp": ["fp"], "window": ["h1", "h2"], "texts": ["doc_id", "k1"], "reps": ["k1"], "rows": ["fp"]}
+    COLUMNS = {"fp": "fp long, owner long, shared boolean", "window": "h1 long, h2 long, first long, n long", "texts": "doc_id long, text string, k1 long, k2 long", "reps": "k1 long, doc_id long"}
 
     def __init__(self, spark: SparkSession, window: int = WINDOW, sub: int = SUB, fan: int = FAN):
         self.spark, self.window, self.sub, self.fan = spark, window, sub, fan
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name, self.written = f"fingerprints_{uuid.uuid4().hex}", 0
-        self.runs: dict[str, list[str]] = {k: [] for k in self.KEYS}
+        self.name, self.written, self.last = f"fingerprints_{uuid.uuid4().hex}", 0, None
+        self.runs: dict[str, list[str]] = {k: [] for k in self.COLUMNS}
+        self.temporary: list[str] = []
+
+    def save(self, path: str) -> None:
+        """Writes the list of runs, one JSON line, to the folder `path`."""
+        folder = self.spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        state = {k: getattr(self, k) for k in ("window", "sub", "fan", "buckets", "name", "written", "last", "runs")} | {"folder": folder}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index that `save` wrote; tables that this session's catalog doesn't know are registered where they lie."""
+        state = json.loads(spark.read.text(path).first()[0])
+        index = cls(spark, state["window"], state["sub"], state["fan"])
+        for k in ("buckets", "name", "written", "last", "runs"):
+            setattr(index, k, state[k])
+        for kind, names in index.runs.items():
+            keys = ", ".join(cls.KEYS[kind])
+            for name in names:
+                if not spark.catalog.tableExists(name):
+                    spark.sql(f"CREATE TABLE {name} ({cls.COLUMNS[kind]}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {index.buckets} BUCKETS LOCATION '{state['folder']}/{name}'")
+        return index
 
     def _store(self, df: DataFrame, kind: str) -> str:
         """df as an immutable bucketed table; what is grouped by the kind's keys already is not shuffled again."""
         name = f"{self.name}_{kind}_{self.written}"
         self.written += 1
         keys = self.KEYS.get(kind)
+        if kind not in self.runs:
+            self.temporary.append(name)
         writer = df.write.format("parquet").option("compression", "zstd")
         (writer.bucketBy(self.buckets, *keys).sortBy(*keys) if keys else writer).saveAsTable(name)
         return name
@@ -153,19 +183,27 @@ class FingerprintIndex:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
 
+    def _tidy(self) -> None:
+        self._drop(*self.temporary)
+        self.temporary = []
+        self.spark.sparkContext._jvm.System.gc()  # shuffle files of the batch go only when the driver collects its garbage
+
     def close(self) -> None:
+        """Drops the index."""
         for kind, names in self.runs.items():
             self._drop(*names)
             self.runs[kind] = []
+        self._tidy()
 
     def _append(self, kind: str, name: str) -> None:
+        """One run more of a kind; when there are more than `fan`, all are compacted into one."""
         self.runs[kind].append(name)
         if kind in ("fp", "window") and len(self.runs[kind]) > self.fan:
-            every = self._union([self.spark.table(n).select(*(["fp", "owner", "shared"] if kind == "fp" else ["h1", "h2", "first"])) for n in self.runs[kind]])
+            every = self._union([self.spark.table(n) for n in self.runs[kind]])
             if kind == "fp":
                 merged = every.groupBy("fp").agg(F.min("owner").alias("owner"), (F.bool_or("shared") | (F.count("*") > 1)).alias("shared"))
             else:
-                merged = every.groupBy("h1", "h2").agg(F.min("first").alias("first"))
+                merged = every.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
             old, self.runs[kind] = self.runs[kind], [self._store(merged, kind)]
             self._drop(*old)
 
@@ -175,33 +213,51 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
         """What is left of docs (doc_id, text), whose ids are all larger than those added before."""
+        try:
+            return self._added(docs, with_text)
+        finally:
+            self._tidy()
+
+    def _added(self, docs: DataFrame, with_text: bool) -> DataFrame:
         spark = self.spark
         past = {k: [spark.table(n) for n in v] for k, v in self.runs.items()}
         keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         keyed = keyed.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit("other"), F.col("text")))
-        texts_name = self._store(keyed.repartition(self.buckets, "doc_id", "k1"), "texts")
-        texts = spark.table(texts_name)
+        span = keyed.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if self.last is not None and span[0] is not None and span[0] <= self.last:
+            raise ValueError(f"id {span[0]} is not larger than {self.last}, which the index has already")
+        new = {"texts": self._store(keyed.repartition(self.buckets, "doc_id", "k1"), "texts")}
+        try:
+            out = self._indexed(new, past, with_text)
+        except BaseException:
+            self._drop(*new.values())
+            raise
+        for kind in ("texts", "reps", "fp", "window"):
+            self._append(kind, new[kind])
+        self.last = self.last if span[1] is None else span[1]
+        return out
+
+    def _indexed(self, new: dict[str, str], past: dict[str, list[DataFrame]], with_text: bool) -> DataFrame:
+        """Writes the runs of a batch whose texts are stored, into `new`, and returns what is left of the texts."""
+        spark = self.spark
+        texts = spark.table(new["texts"])
         known = texts.filter("doc_id IS NOT NULL")
-        first = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-        grouped_name = self._store(first, "grouped")
-        first = spark.table(grouped_name)
-        reps_name = self._store(first.select("k1", F.col("rep").alias("doc_id")), "reps")
-        reps = spark.table(reps_name)
+        first = spark.table(self._store(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "grouped"))
+        new["reps"] = self._store(first.select("k1", F.col("rep").alias("doc_id")), "reps")
+        reps = spark.table(new["reps"])
         copies = known.select("doc_id", "k1", "k2").join(first.filter("n > 1"), ["k1", "k2"]).filter("rep < doc_id").select("doc_id", "k1").distinct()
 
-        rows = fingerprints(known, self.window, self.sub)
-        own_name = self._store(rows.groupBy("fp").agg(F.min("k1").alias("owner"), F.max("k1").alias("_last")).select("fp", "owner", (F.col("owner") != F.col("_last")).alias("shared")), "fp")
-        own, used = spark.table(own_name), [grouped_name]
+        # fingerprints are made and shuffled once: the run and the texts that need a closer look both read the bucketed table
+        rows = spark.table(self._store(fingerprints(known, self.window, self.sub).repartition(self.buckets, "fp"), "rows"))
+        owners = rows.groupBy("fp").agg(F.min("k1").alias("owner"), F.max("k1").alias("_last"))
+        new["fp"] = self._store(owners.select("fp", "owner", (F.col("owner") != F.col("_last")).alias("shared")), "fp")
+        own = spark.table(new["fp"])
         shared, hits = own.filter("shared").select("fp"), None
         if past["fp"]:
-            hits_name = self._store(self._union([run.join(own.select("fp"), "fp") for run in past["fp"]]), "hits")
-            used.append(hits_name)
-            hits = spark.table(hits_name)
+            hits = spark.table(self._store(self._union([run.join(own.select("fp"), "fp") for run in past["fp"]]), "hits"))
             shared = shared.union(hits.select("fp")).distinct()
         wanted = rows.join(shared, "fp", "left_semi").groupBy("k1").agg(F.collect_set("fp").alias("fps"))
-        at_name = self._store(windows(known.join(wanted.join(reps, "k1"), ["doc_id", "k1"]), self.window, self.sub), "at")
-        used.append(at_name)
-        at = spark.table(at_name)
+        at = spark.table(self._store(windows(known.join(wanted.join(reps, "k1"), ["doc_id", "k1"]), self.window, self.sub), "at"))
 
         sides = at.select("h1", "h2", F.col("doc_id").alias("first"))
         if hits is not None:
@@ -211,23 +267,18 @@ class FingerprintIndex:
             placed = [owners.join(r, "k1") for r in past["reps"]]
             added = [windows(t.join(o, ["doc_id", "k1"]), self.window, self.sub) for t, o in zip(past["texts"], placed, strict=True)]
             sides = self._union([sides, *[a.select("h1", "h2", F.col("doc_id").alias("first")) for a in added]])
-        run_name = self._store(sides.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("*").alias("n")), "window")
-        run = spark.table(run_name)
+        new["window"] = self._store(sides.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("*").alias("n")), "window")
+        run = spark.table(new["window"])
         twice = [run.filter("n > 1").select("h1", "h2", "first")]
         twice += [p.select("h1", "h2", "first").join(run.select("h1", "h2"), ["h1", "h2"]) for p in past["window"]]
-        firsts_name = self._store(self._union(twice).groupBy("h1", "h2").agg(F.min("first").alias("first")), "firsts")  # so that the join below is one that Spark can split
-        used.append(firsts_name)
-        firsts = spark.table(firsts_name)
+        # stored, so that the join below is one that Spark can split
+        firsts = spark.table(self._store(self._union(twice).groupBy("h1", "h2").agg(F.min("first").alias("first")), "firsts"))
         late = at.join(firsts, ["h1", "h2"]).filter("first < doc_id")
         starts = late.groupBy("doc_id", "k1").agg(F.collect_set("pos").alias("starts"))
         marks = starts.withColumn("copy", F.lit(False)).unionByName(copies.withColumns({"starts": F.lit(None).cast("array<bigint>"), "copy": F.lit(True)}))
         left = stripped(texts.join(marks, ["doc_id", "k1"], "left"), self.window, with_text)
         path = f"{shared_folder(spark)}/{self.name}_left_{self.written}"
         left.write.parquet(path)
-        for kind, name in (("texts", texts_name), ("reps", reps_name), ("fp", own_name), ("window", run_name)):
-            self._append(kind, name)
-        self._drop(*used)
-        spark.sparkContext._jvm.System.gc()  # shuffle files of the batch go only when the driver collects its garbage
         return spark.read.parquet(path)
 
 
@@ -237,12 +288,14 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDO
     ids = docs.select(F.col("doc_id").cast("double").alias("doc_id"))
     cuts = sorted(set(ids.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     out, below = [], F.lit(False)
-    for k in range(len(cuts) + 1):
-        inside = ~below if k == len(cuts) else ~below & (F.col("doc_id") <= cuts[k])
-        out.append(index.add(docs.filter(F.coalesce(inside, F.lit(k == len(cuts)))), with_text))
-        if k < len(cuts):
-            below = F.coalesce(F.col("doc_id") <= cuts[k], F.lit(False))
-    index.close()
+    try:
+        for k in range(len(cuts) + 1):
+            inside = ~below if k == len(cuts) else ~below & (F.col("doc_id") <= cuts[k])
+            out.append(index.add(docs.filter(F.coalesce(inside, F.lit(k == len(cuts)))), with_text))
+            if k < len(cuts):
+                below = F.coalesce(F.col("doc_id") <= cuts[k], F.lit(False))
+    finally:
+        index.close()
     return reduce(DataFrame.unionByName, out)
 
 
