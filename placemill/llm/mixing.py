@@ -6,7 +6,8 @@ order of their finish times, up to the budget.  Targets share the budget by weig
 the excess is shared again by weight.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; the null source is a source, last in order; repeated
-rows are documents of their own; documents of equal hash go by id and size; an empty table gives an empty result.
+rows are documents of their own; documents of equal hash go by id and size; an empty table gives an empty result.  Columns besides
+doc_id, source and text are carried along and never clash with the operator's own.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placemill.llm.common import WORD, cut, ranked, table
+from placemill.llm.common import WORD, as_rows, cut, ranked, table
 
 #: Hex digits of the shuffling hash that name a part of a source's order: each of the 4096 is summed by itself, so a source that has
 #: a third of all rows is dealt to as many tasks.
@@ -73,33 +74,32 @@ def queue(sizes: DataFrame, weights: tuple[float, ...], most: int, seed: int) ->
 def mix(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 17) -> DataFrame:
     """sizes (doc_id, source, size) with source_size, target and taken: size times the copies that the mix takes."""
     queued = queue(sizes, weights, most, seed)
-    copies = queued.filter("size > 0").withColumn("copy", F.explode(F.array(*[F.lit(e) for e in range(most)])))
-    copies = copies.withColumn("finish", F.col("first") + F.col("copy") * F.col("source_size") / F.col("target"))
-    tick = F.floor(F.least(F.col("finish"), F.lit(2.0)) * (TICKS // 2)).cast("int")
-    ticks = cut(copies.groupBy(tick.alias("tick")).agg(F.sum("size").alias("words")))
+    finishes = [F.col("first") + F.lit(e) * F.col("source_size") / F.col("target") for e in range(most)]
+    # a time from 0 to infinity as a part of TICKS: all steps round monotonically, so the parts are in the order of the times
+    tick = lambda t: F.floor((1 - 1 / (1 + t)) * TICKS).cast("int")
+    each = F.array(*[F.struct(f.alias("finish"), tick(f).alias("tick"), F.lit(e).alias("copy")) for e, f in enumerate(finishes)])
+    copies = queued.filter("size > 0").select("doc_id", "shuffled", "size", F.inline(each))
+    ticks = cut(copies.groupBy("tick").agg(F.sum("size").alias("words")))  # at most TICKS + 1 rows
     budget = sizes.agg(F.sum("size")).first()[0] or 0
-    run = ticks.withColumn("to", F.sum("words").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)))  # at most TICKS rows
+    run = ticks.withColumn("to", F.sum("words").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)))
     last = run.filter(F.col("to") > budget).orderBy("tick").select("tick", (F.col("to") - F.col("words")).alias("before")).first()
     key = ["finish", "shuffled", "doc_id", "copy"]
-    if last is None:  # the budget takes all copies
-        end = None
-    else:  # within the tick in which the budget ends, copies by their order
-        inside = ranked(copies.filter(tick == last["tick"]).select(*key, "size"), [F.col(k) for k in key], F.col("size"), "to")
+    end = None  # of the copies in the part in which the budget ends, the last one taken
+    if last is not None:
+        inside = ranked(copies.filter(F.col("tick") == last["tick"]).select(*key, "size"), [F.col(k) for k in key], F.col("size"), "to")
         end = inside.filter(F.col("to") + last["before"] <= budget).agg(F.max(F.struct(*key)).alias("end")).first()["end"]
-    taken = F.lit(0).cast("long")
-    for e in range(most):
-        finish = F.col("first") + e * F.col("source_size") / F.col("target")
-        # the same expressions, in the same order, as those of the ticks
-        at = F.floor(F.least(finish, F.lit(2.0)) * (TICKS // 2)).cast("int")
-        if last is None:
-            goes = F.lit(True)
-        else:
-            goes = at < last["tick"]
-            if end is not None:
-                row = F.struct(finish.alias("finish"), F.col("shuffled"), F.col("doc_id"), F.lit(e).alias("copy"))
-                stop = F.struct(F.lit(end["finish"]).alias("finish"), F.lit(end["shuffled"]).alias("shuffled"), F.lit(end["doc_id"]).cast("long").alias("doc_id"), F.lit(end["copy"]).alias("copy"))
-                goes = goes | ((at == last["tick"]) & (row <= stop))
-        taken = taken + F.when((F.col("size") > 0) & goes, F.col("size")).otherwise(F.lit(0).cast("long"))
+
+    def goes(e: int) -> Column:
+        if last is None:  # the budget takes all copies
+            return F.lit(True)
+        before = tick(finishes[e]) < last["tick"]
+        if end is None:
+            return before
+        row = F.struct(finishes[e].alias("finish"), F.col("shuffled"), F.col("doc_id"), F.lit(e).alias("copy"))
+        stop = F.struct(F.lit(end["finish"]).alias("finish"), F.lit(end["shuffled"]).alias("shuffled"), F.lit(end["doc_id"]).cast("long").alias("doc_id"), F.lit(end["copy"]).alias("copy"))
+        return before | ((tick(finishes[e]) == last["tick"]) & (row <= stop))
+
+    taken = sum((F.when((F.col("size") > 0) & goes(e), F.col("size")).otherwise(F.lit(0)).cast("long") for e in range(most)), F.lit(0).cast("long"))
     return queued.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
@@ -108,16 +108,15 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs (doc_id, source, text and more) with each row as often as the mix takes it, all columns kept.
+    """The mix itself: docs (doc_id, source, text and more) with each row as often as the mix takes it, all columns kept, whatever they are called.
 
     Rows that repeat an id and a size are repeated alike, by the most copies that one of them got.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    taken = mix_documents(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.expr("taken div size").cast("int").alias("_n"))
-    copies = taken.groupBy("_id", "_size").agg(F.max("_n").alias("_n"))
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    out = sized.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select(*columns)
+    taken = mix_documents(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("id"), "size", F.expr("taken div size").cast("int").alias("n"))
+    copies = taken.groupBy("id", "size").agg(F.max("n").alias("n"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("own"), word_count(F.col("text")).alias("words"), as_rows(docs).alias("row"))
+    out = sized.join(copies, F.col("own").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("copy")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
