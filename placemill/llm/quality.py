@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placemill.llm.common import table
+from placemill.llm.common import as_rows, release, small_batches, table
 from placemill.llm.words import _WS, mix, slices
 
 #: Labelled rows that the list is learned from, at most; those with the smallest hash of their id.
@@ -68,10 +68,17 @@ def statistics(texts: pa.Array) -> pa.Array:
                     np.add.at(again, starts, 1)
                     np.add.at(again, starts + WINDOW, -1)
                 out["n_repeat_words"][here] = np.bincount(w.row[np.cumsum(again)[:-1] > 0], minlength=w.rows)
+    release()
     return pa.StructArray.from_arrays([pa.array(out[c]) for c in COUNTS], COUNTS)
 
 
-stats = F.arrow_udf(statistics, STATS_TYPE)
+_stats = F.arrow_udf(statistics, STATS_TYPE)
+
+
+def stats(docs: DataFrame) -> Column:
+    """The statistics of docs' text."""
+    small_batches(docs.sparkSession)
+    return _stats("text")
 
 
 def base_failed(s: Column) -> Column:
@@ -179,30 +186,31 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options)
     """The decision list from the labelled rows of docs (doc_id, text), labels (doc_id, quality)."""
     chosen = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("_bad"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_bad").limit(sample)  # no more than `sample` rows: they may be broadcast and collected
-    s = F.col("_s")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_bad", stats("text").alias("_s"))
-    # what fails outright needs no rule
-    rows = rows.filter(~base_failed(s)).select("_id", "_bad", *[c.alias(k) for k, c in features(s).items()]).limit(sample).toPandas()
+    s, own = F.col("_s"), docs.select("doc_id", "text")
+    rows = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_bad", stats(own).alias("_s"))
+    x = features(s)
+    # what fails outright needs no rule; repeated ids may make more than `sample` rows, of which the first in a fixed order are taken
+    rows = rows.filter(~base_failed(s)).select("_id", "_bad", *[c.alias(k) for k, c in x.items()])
+    rows = rows.orderBy(F.xxhash64("_id"), "_id", "_bad", *x).limit(sample).toPandas()
     if not len(rows) or not rows["_bad"].any():
         return []
-    rows = rows.iloc[np.lexsort((rows["_id"], mix(rows["_id"].to_numpy().astype(np.uint64))))]
-    names = [c for c in rows.columns if not c.startswith("_")]
-    return learn({k: rows[k].to_numpy() for k in names}, rows["_bad"].to_numpy().astype(bool), **options)
+    rows = rows.iloc[np.lexsort((*[rows[k] for k in x], rows["_bad"], rows["_id"], mix(rows["_id"].to_numpy().astype(np.uint64))))]
+    return learn({k: rows[k].to_numpy() for k in x}, rows["_bad"].to_numpy().astype(bool), **options)
 
 
 def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """(doc_id, COUNTS, base_failed, kept), a row for each row of docs."""
     s = F.col("_s")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stats("text").alias("_s"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stats(docs).alias("_s"))
     return rows.select("doc_id", *[s[c].alias(c) for c in COUNTS], base_failed(s).alias("base_failed"), (~base_failed(s) & verdict(rules, s)).alias("kept"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
-    columns = docs.columns
+    """The rows of docs that are kept, with all their columns, whatever these are called."""
     rules = learned(docs, labels, **options)
-    s = F.col("_quality_stats")
-    return docs.withColumn("_quality_stats", stats("text")).filter(~base_failed(s) & verdict(rules, s)).select(*[F.col(f"`{c}`") for c in columns])
+    s = F.col("_s")
+    rows = docs.select(as_rows(docs).alias("row"), stats(docs).alias("_s"))
+    return rows.filter(~base_failed(s) & verdict(rules, s)).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
