@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: A word, as Java's regular expressions have it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of the Arrow batches that go to Python workers; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +24,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of its own only where none is named, as in tests."""
+    """The folder of spark.checkpoint.dir; one of its own only where none is named and Spark runs in this one process, as in tests."""
     context = spark.sparkContext
     at = context._jsc.sc().getCheckpointDir()
     if at.isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         at = context._jsc.sc().getCheckpointDir()
     return at.get()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bytes of an Arrow batch to BATCH_BYTES, unless they were set to something else than Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives free memory of this worker back to the system, since an idle worker keeps what it has."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(f, schema) with small batches, and with workers that keep no memory between partitions."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def as_rows(docs: DataFrame) -> Column:
+    """A struct of all columns of docs, so that an operator's own columns can't clash with them; `row.*` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the folder of spark.checkpoint.dir and read again, so that lost executors repeat nothing before it."""
     shared_folder(df.sparkSession)
@@ -51,6 +92,12 @@ class Store:
         for name in self.held:
             self.spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
 
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
 
 def tidy(spark: SparkSession) -> None:
     """Lets go of the files of shuffles that no frame refers to: Spark does so only when the driver collects its garbage."""

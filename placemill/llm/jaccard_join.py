@@ -15,7 +15,9 @@ A document's set is its distinct shingles of SHINGLE words (A-Z lower-cased); wi
 
 Rows that repeat an id are one document, that of the least text.  Null and empty texts have no words; rows without an id link with nothing.
 
-The number of frequent shingles that the executors get is bounded (FREQUENT); which ones they are only decides the speed.
+The number of frequent shingles that the executors get is bounded (FREQUENT); which ones they are only decides the order, and so the
+speed.  How lists are dealt out follows from their true lengths, so no list is one task's, whether its shingle was found frequent or not.
+Hashes are of 64 bits a shingle, built from 64-bit hashes of its words.  Columns besides doc_id and text are not read, or carried along whole.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm.common import Store, components, cut, table, tidy
+from placemill.llm.common import Store, as_rows, components, cut, mapped, table, tidy
 from placemill.llm.words import mix, slices
 
 SHINGLE, PERCENT = 4, 85
 #: Frequent shingles that are put last: those in at least MANY documents, the most frequent ones, no more than FREQUENT.
 MANY, FREQUENT = 16, 400_000
-#: Documents under a frequent shingle that one task compares with one another.
+#: Documents under a shingle that one task compares with one another; longer lists, by their true lengths, are dealt out.
 BLOCK = 2000
+#: Rows of a table of shingles (a hash, a number, a flag: under 100 bytes each) up to which it is broadcast.
+BROADCAST_ROWS = 500_000
 #: Candidates under a document's frequent shingles that make its l one larger, and the largest l.
 COST, LONGEST = 200, 6
 #: Bins of the histogram of a set's hashes.
@@ -88,7 +92,7 @@ def _signed(values) -> pa.Array:
 def frequent(docs: DataFrame, size: int) -> DataFrame:
     """(t, df): shingles of many documents, with an estimate of how many, from all shingles of all documents.
 
-    A task leaves out what it sees once among some millions, so the estimate is low for what is rare; it only orders shingles.
+    A task leaves out what it sees once among some 1.5 million, so the estimate is low for what is rare; it only orders shingles.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,13 +107,13 @@ def frequent(docs: DataFrame, size: int) -> DataFrame:
             for _, s, _, _ in _sets(batch.column(0), size):
                 held.append(s)
                 total += len(s)
-            if total > 4_000_000:
+            if total > 1_500_000:
                 yield out()
                 held, total = [], 0
         if held:
             yield out()
 
-    seen = docs.select("text").mapInArrow(count, "t long, n long")
+    seen = mapped(docs.select("text"), count, "t long, n long")
     return seen.groupBy("t").agg(F.sum("n").alias("df")).filter(F.col("df") >= MANY).orderBy(F.desc("df"), "t").limit(FREQUENT)
 
 
@@ -121,7 +125,7 @@ def hashes(docs: DataFrame, size: int) -> DataFrame:
             out = [(s1, s2, len(s)) for _, s, s1, s2 in _sets(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _signed([x[0] for x in out]), _signed([x[1] for x in out]), pa.array([x[2] for x in out], pa.int64())], ["doc_id", "h1", "h2", "n_shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(emit, DOC_SCHEMA)
+    return mapped(docs.select("doc_id", "text"), emit, DOC_SCHEMA)
 
 
 def _histogram(s: np.ndarray, bins: int = BINS) -> bytes:
@@ -172,15 +176,18 @@ def prefixes(docs: DataFrame, often: DataFrame, size: int, percent: int) -> Data
         arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), prefix, pa.array(out[4], pa.binary()), heads]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "l", "prefix", "bins", "heads"])
 
-    return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, n_shingles long, l int, prefix array<long>, bins binary, heads array<long>")
+    return mapped(docs.select("doc_id", "text"), emit, "doc_id long, n_shingles long, l int, prefix array<long>, bins binary, heads array<long>")
 
 
 def _blocked(entries: DataFrame, often: DataFrame) -> DataFrame:
-    """entries with the block of buckets (ba, bb) that they meet in; a frequent shingle's documents are dealt to sqrt-many buckets."""
-    n = F.coalesce(F.ceil(F.col("df") / BLOCK).cast("int"), F.lit(1))
-    dealt = entries.join(F.broadcast(often), "t", "left").withColumn("n", n).withColumn("bucket", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
+    """entries with the block of buckets (ba, bb) that they meet in; a shingle of more than BLOCK entries has them dealt to as many buckets as its list has blocks."""
+    long_lists = cut(entries.groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("t", F.ceil(F.col("n") / BLOCK).cast("int").alias("n")))
+    heavy = often.select("t").withColumn("often", F.lit(True)).join(long_lists, "t", "full")
+    if heavy.count() <= BROADCAST_ROWS:
+        heavy = F.broadcast(heavy)
+    dealt = entries.join(heavy, "t", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("bucket", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    bins = F.when(F.col("df").isNotNull(), F.col("bins")).alias("bins")  # only frequent shingles have long lists
+    bins = F.when(F.col("often") | (F.col("n") > 1), F.col("bins")).alias("bins")  # only these shingles have long lists
     return dealt.withColumn("other", other).select("t", F.least("bucket", "other").alias("ba"), F.greatest("bucket", "other").alias("bb"), "doc", "n_doc", "pos", "l", "family", "bucket", bins)
 
 
@@ -223,7 +230,7 @@ def _pairs(entries: DataFrame, percent: int) -> DataFrame:
                         out_b.append(np.maximum(other, doc[i + x]))
                         out_l.append(np.minimum(both[hit], np.minimum(nn[x], nn[y][hit])))
                         size += len(hit)
-                if size > 200_000:
+                if size > 100_000:
                     yield record(out_a, out_b, out_l)
                     out_a, out_b, out_l, size = [], [], [], 0
             if out_a:
@@ -249,7 +256,7 @@ def _pairs(entries: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from lists(pa.Table.from_batches(held).combine_chunks())
 
-    met = entries.mapInArrow(meet, "a long, b long, least long, met long")
+    met = mapped(entries, meet, "a long, b long, least long, met long")
     return met.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("met").alias("met")).filter("met >= least").select("a", "b")
 
 
@@ -268,7 +275,7 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     own = reps.select("doc_id", "bins", "n_shingles")
     both = pairs.join(own.toDF("a", "bins_a", "n_a"), "a").join(own.toDF("b", "bins_b", "n_b"), "b")
-    return both.select("a", "b", "bins_a", "bins_b", "n_a", "n_b").mapInArrow(bound, "a long, b long")
+    return mapped(both.select("a", "b", "bins_a", "bins_b", "n_a", "n_b"), bound, "a long, b long")
 
 
 def _with_text(pairs: DataFrame, key: str, texts: DataFrame) -> DataFrame:
@@ -297,7 +304,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
 
     both = _with_text(_with_text(pairs, "a", texts), "b", texts)
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    return mapped(both.select("a", "b", "text_a", "text_b"), verify, "a long, b long")
 
 
 def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -307,30 +314,29 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple
     often = cut(frequent(rows, size))
     all_docs = cut(hashes(rows, size))
     classes = cut(all_docs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
-    store = Store(spark, "jaccard")
-    own = rows.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = store.put(own, "doc_id")
-    tidy(spark)
-    reps = store.put(prefixes(texts, often, size, percent), "doc_id")
-
-    # families: each set against the smallest document under each of its first shingles
-    heads = reps.select(F.col("doc_id").alias("doc"), F.explode("heads").alias("t"))
-    hubs = heads.groupBy("t").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    near = heads.join(hubs, "t").filter("doc > hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    near = cut(_verified(cut(_possible(near, reps, percent)), texts, size, percent))
-    family = near.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("one"))
-    up = family.join(family.toDF("one", "two"), "one", "left").select("doc", F.coalesce("two", "one").alias("family"))
-    up = up.union(near.select(F.col("a").alias("doc"), F.col("a").alias("family")).distinct()).groupBy("doc").agg(F.min("family").alias("family"))
-
-    # the join proper, between families
-    named = reps.join(up.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id"))
-    entries = named.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n_doc"), F.col("l").cast("long").alias("l"), "family", "bins", F.posexplode("prefix").alias("pos", "t"))
-    dealt = _blocked(entries, often)
-    key = ["t", "ba", "bb"]
-    met = _pairs(dealt.withColumn("pos", F.col("pos").cast("long")).repartition(*key).sortWithinPartitions(*key, "n_doc"), percent)
-    found = _verified(cut(_possible(met, reps, percent)), texts, size, percent)
-    linked = cut(near.union(found).distinct())
-    store.close()
+    with Store(spark, "jaccard") as store:
+        own = rows.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        texts = store.put(own, "doc_id")
+        tidy(spark)
+        reps = store.put(prefixes(texts, often, size, percent), "doc_id")
+
+        # families: each set against the smallest document under each of its first shingles
+        heads = reps.select(F.col("doc_id").alias("doc"), F.explode("heads").alias("t"))
+        hubs = store.put(heads.groupBy("t").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"))  # stored, so that Spark can split the join
+        near = heads.join(hubs, "t").filter("doc > hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+        near = cut(_verified(cut(_possible(near, reps, percent)), texts, size, percent))
+        family = near.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("one"))
+        up = family.join(family.toDF("one", "two"), "one", "left").select("doc", F.coalesce("two", "one").alias("family"))
+        up = up.union(near.select(F.col("a").alias("doc"), F.col("a").alias("family")).distinct()).groupBy("doc").agg(F.min("family").alias("family"))
+
+        # the join proper, between families
+        named = reps.join(up.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id"))
+        entries = named.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n_doc"), F.col("l").cast("long").alias("l"), "family", "bins", F.posexplode("prefix").alias("pos", "t"))
+        dealt = _blocked(entries, often)
+        key = ["t", "ba", "bb"]
+        met = _pairs(dealt.withColumn("pos", F.col("pos").cast("long")).repartition(*key).sortWithinPartitions(*key, "n_doc"), percent)
+        found = _verified(cut(_possible(met, reps, percent)), texts, size, percent)
+        linked = cut(near.union(found).distinct())
     tidy(spark)
     return all_docs, classes, linked
 
@@ -347,10 +353,10 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with only the smallest id of each component, all columns kept; rows without an id stay."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    lost = jaccard_components(docs, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col("doc_id").cast("long") == F.col("_lost"), "left_anti").select(*columns)
+    """docs with only the smallest id of each component, all columns kept, whatever they are called; rows without an id stay."""
+    lost = jaccard_components(docs, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("lost")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("own"), as_rows(docs).alias("row"))
+    return rows.join(lost, F.col("own") == F.col("lost"), "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm.common import cut, table
+from placemill.llm.common import cut, mapped, table
 from placemill.llm.words import _LOWER, text_buffers
 
 SAMPLE, LANGUAGES, BINS = 4000, 64, 32_768
@@ -32,7 +32,7 @@ VALUES = 1000
 #: Pseudo-rows by which a host counts as its domain, and a domain as all rows; and those of each value of an evidence table.
 SMOOTH, VALUE_SMOOTH = 5.0, 0.5
 CONFIDENT = 0.5
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 KEYS = ["kind", "id", "host", "domain", "suffix", "code", "declared"]
 KEY_SCHEMA = "kind string, id long, host string, domain string, suffix string, code string, declared string"
@@ -73,7 +73,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
             bins = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins)), pa.array(bins), pa.array(n[bins].astype(np.int64))], ["lang", "bin", "n"])
 
-    counts = texts.mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+    counts = mapped(texts, count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     by = counts.groupby("lang")["n"].sum().sort_values(ascending=False)
     langs = sorted(by.index[:LANGUAGES])
     seen = np.zeros((len(langs), BINS))
@@ -103,7 +103,7 @@ def text_evidence(rows: DataFrame, langs: list[str], logs: np.ndarray) -> DataFr
             out -= out.max(axis=0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(KEYS)], *[pa.array(x) for x in out]], [*KEYS, *names])
 
-    return rows.select(*KEYS, "text").mapInArrow(score, KEY_SCHEMA + "".join(f", {c} double" for c in names))
+    return mapped(rows.select(*KEYS, "text"), score, KEY_SCHEMA + "".join(f", {c} double" for c in names))
 
 
 def _total(columns: list[Column]) -> Column:

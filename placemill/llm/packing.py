@@ -1,7 +1,7 @@
 """Best-two-fit packing of tokenised documents into sequences of a fixed capacity.
 
 A document is its token ids and one closing id; only one that is longer than the capacity is cut, into pieces of the
-capacity (the last may be shorter).  Pieces are dealt by hash to shards of about SHARD pieces, and each shard is packed by itself:
+capacity (the last may be shorter).  Pieces are dealt by a hash of their place to shards of about SHARD pieces, and each shard is packed by itself:
 a sequence is filled greedily with the largest piece that fits; then its smallest piece is replaced by two unpacked pieces that
 fill the gap it leaves more tightly, as long as that helps.  A shard leaves at most a few sequences unfilled, so shards cost
 less than one sequence in some thousands, and no task sees more than its shard.
@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm.common import cut, table
+from placemill.llm.common import cut, mapped, table
 
 CAPACITY = 2048
 #: Pieces that one task packs.
 SHARD = 16_384
-#: Words, and the vocabulary's matches in them, whose ids a worker remembers.
-WORDS, PARTS = 400_000, 1_000_000
+#: Words, and the vocabulary's matches in them, whose ids a worker remembers: about 60 MB a worker.
+WORDS, PARTS = 150_000, 150_000
 #: Characters up to which a word is remembered.
 SHORT = 32
 
@@ -85,6 +85,9 @@ class Encoder:
         found = {w: b"".join([parts[p] for p in ps]) for w, ps in split.items()}
         if whole:
             found.update(zip(whole, self._library(whole), strict=True))
+        for p in missing:
+            if len(p) > SHORT:  # used once, not remembered
+                del parts[p]
         return found
 
     def ids(self, text: str) -> bytes:
@@ -132,7 +135,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, closing: int = 0, path: st
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=False)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, PIECE_SCHEMA + (", ids binary" if with_ids else ""))
+    return mapped(rows, encode, PIECE_SCHEMA + (", ids binary" if with_ids else ""))
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +214,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
         sequence, offset = best_two_fit(frame["length"].to_numpy(), capacity)
         return frame.drop(columns="_shard").assign(sequence_id=sequence + (int(key[0]) << 40), offset=offset)
 
-    dealt = rows.select(*kept).withColumn("_shard", F.pmod(F.xxhash64(*[c for c in kept if c != "ids"]), F.lit(shards)))
+    # by the place in the checkpoint, which stays as it is: equal rows are dealt out too
+    dealt = rows.select(*kept).withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("_shard").applyInPandas(packed, schema)
 
 

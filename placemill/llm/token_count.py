@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm.common import table
+from placemill.llm.common import mapped, table
 
 MARK = "▁"
 #: A pre-token that is one escape and nothing else, under a name that no pre-token has once the escapes in a text are spaces.
 ALONE = MARK
 #: Pre-tokens whose counts a worker remembers; beyond that it forgets those that were merged and starts again.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Characters up to which a merged pre-token is remembered.
 SHORT = 32
 
@@ -119,7 +119,7 @@ def token_counts(docs: DataFrame, limit: int = 4096, path: str | None = None, id
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(counts, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return mapped(rows, counts, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Text bytes that are worked on at once (one document may be longer).
-SLICE_BYTES = 2_000_000
+#: Text bytes that are worked on at once (one document may be longer); a worker needs some thirty times as much memory.
+SLICE_BYTES = 500_000
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -66,11 +66,15 @@ class Words:
             return np.zeros(0, dtype=np.uint64)
         lengths = self.end - self.start
         r = _multipliers(int(lengths.max()))
-        # positions of word bytes, each with its place in its word
-        inside = np.repeat(self.start - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(int(lengths.sum()))
-        place = inside - np.repeat(self.start, lengths)
-        terms = (self.data[inside].astype(np.uint64) + np.uint64(1 + seed)) * r[place]
-        sums = np.add.reduceat(terms, np.concatenate(([0], np.cumsum(lengths)[:-1])))
+        firsts = np.cumsum(lengths) - lengths
+        kind = np.int32 if len(self.data) < 2**31 else np.int64
+        # the place of each word byte in its word, and in the data
+        place = np.arange(int(lengths.sum()), dtype=kind)
+        place -= np.repeat(firsts.astype(kind), lengths)
+        terms = self.data[place + np.repeat(self.start.astype(kind), lengths)].astype(np.uint64)
+        terms += np.uint64(1 + seed)
+        terms *= r[place]
+        sums = np.add.reduceat(terms, firsts)
         return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def windows(self, hashes: np.ndarray, size: int, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:

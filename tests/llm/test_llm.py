@@ -191,6 +191,48 @@ def test_mix_ends_at_the_budget_beyond_all_ticks(spark):
     assert last > 1.5 and {k: taken for k, _, _, taken in got if taken} == want
 
 
+def brute_taken(sizes, target, most=3, seed=17):
+    """Words taken by id, from the order of all copies; sizes (id, source, size)."""
+    served, order = collections.Counter(), []
+    for k, s, n in sorted(sizes, key=lambda x: (hashlib.md5(f"{seed}:{x[0]}".encode()).hexdigest(), x[0], x[2])):
+        served[s] += n
+        total = sum(m for _, t, m in sizes if t == s)
+        order += [(served[s] / target[s] + e * total / target[s], hashlib.md5(f"{seed}:{k}".encode()).hexdigest(), k, e, n) for e in range(most) if n]
+    taken, upto = collections.Counter(), 0
+    for _, _, k, _, n in sorted(order):
+        upto += n
+        if upto > sum(m for _, _, m in sizes):
+            break
+        taken[k] += n
+    return taken
+
+
+@pytest.mark.parametrize("case", ["b100 a10 b100 c300", "b5 c17 a40 b10", *range(6)])
+def test_mix_takes_no_more_than_the_budget(spark, case):
+    draw = random.Random(case)
+    listed = [(x[0], int(x[1:])) for x in case.split()] if isinstance(case, str) else [(draw.choice("abcd"), draw.randint(0, 120)) for _ in range(draw.randint(1, 9))]
+    sizes = [(k, s, n) for k, (s, n) in enumerate(listed)]
+    got = [tuple(r) for r in mixing.mix(spark.createDataFrame(sizes, "doc_id long, source string, size long").coalesce(1)).select("doc_id", "source", "target", "taken").collect()]
+    target = {s: t for _, s, t, _ in got}
+    assert {k: n for k, _, _, n in got if n} == dict(brute_taken(sizes, target))
+    assert sum(n for _, _, _, n in got) <= sum(n for _, _, n in sizes)
+
+
+CLASH = ["_own", "_gone", "_id", "_key", "_words", "_copy", "_n", "_size", "_lost", "_quality_stats", "_s", "row", "own", "gone", "left", "id", "size", "words", "copy", "key", "n", "_v", "_part", "bucket", "h1", "lost", "listed"]
+
+
+def test_columns_of_clashing_names_are_carried_along(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    base = spark.createDataFrame([(k, f"{text} {k % 3}\nsecond line\nthird line", "s") for k in range(6)], "doc_id long, text string, source string")
+    docs = base.withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in CLASH})
+    labels = spark.createDataFrame([], "doc_id long, quality long")
+    outs = {"quality": quality.quality_filter(docs, labels), "lines": line_dedup.line_dedup(docs), "near": jaccard_join.one_of_each(docs), "mix": mixing.mixed(docs)}
+    for name, out in outs.items():
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found and all(r[c] == f"{c}-{r['doc_id']}" for r in found for c in CLASH), name
+
+
 def test_mixed_rows_repeat_as_taken(docs, empty):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
@@ -512,8 +554,29 @@ def test_incremental_batches(spark, docs, rows):
     got = collections.Counter()
     for low, high in ((0, 100), (101, 6000), (6001, 10**7)):
         got += bag(index.add(docs.filter(F.col("doc_id").between(low, high)).select("doc_id", "text")))
+    assert any(len(names) == 1 for names in index.runs.values())
+    with pytest.raises(ValueError, match="not larger"):
+        index.add(docs.filter("doc_id = 3").select("doc_id", "text"))
     index.close()
     assert got == brute_substrings([r for r in rows if r[0] is not None])
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("fingerprints_")]
+
+
+def test_an_index_is_saved_and_opened_again(spark, docs, rows, tmp_path):
+    rows = [r for r in rows if r[0] is not None]
+    part = lambda low, high: docs.filter(F.col("doc_id").between(low, high)).select("doc_id", "text")
+    index = substring_dedup.FingerprintIndex(spark, fan=1)
+    got = bag(index.add(part(0, 100)))
+    index.save(f"file://{tmp_path}/index")
+    again = substring_dedup.FingerprintIndex.load(spark, f"file://{tmp_path}/index")
+    assert (again.runs, again.last) == (index.runs, index.last)
+    # a session whose catalog doesn't know the tables
+    for name in [n for names in index.runs.values() for n in names]:
+        files = spark.table(name).inputFiles()
+        assert files and spark.conf.get("spark.sql.warehouse.dir").rstrip("/").removeprefix("file:") in files[0]
+    got += bag(again.add(part(101, 10**7)))
+    again.close()
+    assert got == brute_substrings(rows)
 
 
 # queries and the pipeline
@@ -549,7 +612,7 @@ def test_pipeline_against_its_brute_force(spark):
     gone = brute_lines(rows, 2, 50)
     lines = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone), s) for i, t, s in rows]
     lines = [(i, t, s) for (i, t, s), (_, old, _) in zip(lines, rows, strict=True) if words(t) or t == old]
-    groups = brute_components(lines)
+    groups = brute_components(lines, 5, 80)
     one = [r for r in lines if groups[r[0]][1] == r[0]]
     stage = docs
     for (name, f), want in zip(corpus_pipeline.STAGES[:3], (rows, lines, one), strict=True):
