@@ -26,8 +26,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each component of near duplicates."""
-    return jaccard_join.one_of_each(docs)
+    """One document, the smallest id, of each component of near duplicates: 80 % of the shingles of five words."""
+    return jaccard_join.one_of_each(docs, size=5, percent=80)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
