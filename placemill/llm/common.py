@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of the Arrow batches that go to Python workers; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Rows of a narrow table that one task writes at least.
+CUT_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +70,22 @@ def as_rows(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read again, so that lost executors repeat nothing before it."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir and read again, so that lost executors repeat nothing before it.
+
+    rows: how many there are at most, if the caller knows; few rows are written by few tasks, CUT_ROWS each.
+    """
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(2, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // CUT_ROWS))))
     return df.checkpoint(eager=True)
 
 
+def cut_few(df: DataFrame) -> DataFrame:
+    """`cut` of the small rest of a table that a filter leaves (one row of hundreds): written by a sixteenth of the tasks."""
+    return cut(df.repartition(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)))
+
+
 class Store:
     """Tables bucketed by a key in the warehouse: joins and groupings by that key read them without a shuffle."""
 
@@ -104,14 +116,14 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def ranked(df: DataFrame, order: list[Column], add: Column | None = None, name: str = "rank", parts: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], add: Column | None = None, name: str = "rank", parts: int | None = None, rows: int | None = None) -> DataFrame:
     """df with a global running number (or running sum of `add`, inclusive) in the given order, without one task for all rows.
 
-    Range-partitions, cuts, counts each range and adds the ranges' offsets: one row a range is all that meets.
+    Range-partitions, cuts, counts each range and adds the ranges' offsets: one row a range is all that meets.  rows: as in `cut`.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     value = F.lit(1).cast("long") if add is None else add
-    at = cut(df.withColumn("_v", value).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    at = cut(df.withColumn("_v", value).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), rows)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = at.groupBy("_part").agg(F.sum("_v").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -128,8 +140,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps; minima are taken map-side, joins on a hub
     are left to AQE to split, each round is cut, and nothing grows with the square of a component.
     """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges = cut(edges)
+    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     before = mark(edges)
     while True:
@@ -140,7 +151,7 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node's smaller neighbours and the node itself link to the smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        after = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        after = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct(), 2 * before[0])
         edges, now = after, mark(after)
         if now == before:
             break

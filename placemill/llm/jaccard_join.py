@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm.common import Store, as_rows, components, cut, mapped, table, tidy
+from placemill.llm.common import Store, as_rows, components, cut, cut_few, mapped, table, tidy
 from placemill.llm.words import mix, slices
 
 SHINGLE, PERCENT = 4, 85
@@ -181,7 +181,7 @@ def prefixes(docs: DataFrame, often: DataFrame, size: int, percent: int) -> Data
 
 def _blocked(entries: DataFrame, often: DataFrame) -> DataFrame:
     """entries with the block of buckets (ba, bb) that they meet in; a shingle of more than BLOCK entries has them dealt to as many buckets as its list has blocks."""
-    long_lists = cut(entries.groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("t", F.ceil(F.col("n") / BLOCK).cast("int").alias("n")))
+    long_lists = cut_few(entries.groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("t", F.ceil(F.col("n") / BLOCK).cast("int").alias("n")))
     heavy = often.select("t").withColumn("often", F.lit(True)).join(long_lists, "t", "full")
     if heavy.count() <= BROADCAST_ROWS:
         heavy = F.broadcast(heavy)
@@ -281,7 +281,7 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _with_text(pairs: DataFrame, key: str, texts: DataFrame) -> DataFrame:
     """pairs with the text of their `key`; a document of very many pairs is dealt with them to several tasks."""
     named = texts.select(F.col("doc_id").alias(key), F.col("text").alias(f"text_{key}"))
-    hot = cut(pairs.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("salts")))
+    hot = cut_few(pairs.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("salts")))
     if hot.isEmpty():
         return pairs.join(named, key)
     salted = pairs.join(hot, key).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.col("salts")).cast("int")).drop("salts")

@@ -50,8 +50,8 @@ def _groups(suffixes: DataFrame, keys: list[str]) -> DataFrame:
     return suffixes.groupBy(*keys).agg(F.count("*").alias("n"), first).filter("n > 1").drop("n")
 
 
-def _rank(groups: DataFrame, keys: list[str]) -> DataFrame:
-    return ranked(groups, [F.col(k) for k in keys])
+def _rank(groups: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    return ranked(groups, [F.col(k) for k in keys], rows=rows)
 
 
 def intervals(at: DataFrame, min_lines: int) -> Iterator[tuple[int, DataFrame]]:
@@ -59,17 +59,16 @@ def intervals(at: DataFrame, min_lines: int) -> Iterator[tuple[int, DataFrame]]:
 
     first is the place (doc_id, key, pos) of the run's first copy.
     """
-    groups = cut(_rank(_groups(at, ["line"]), ["line"]))
-    here = cut(at.join(groups, "line").select("doc_id", "key", "place", "pos", "words", "rank", "first"))
+    here = cut(at.join(_rank(_groups(at, ["line"]), ["line"]), "line").select("doc_id", "key", "place", "pos", "words", "rank", "first"))
     have, document = 1, Window.partitionBy("doc_id", "key").orderBy("pos")
-    while not here.isEmpty():
+    while n := here.count():
         yield have, here
         step = min(have, min_lines - have) if have < min_lines else have  # up to `min_lines` the halves may overlap
         # the suffix `step` lines on has to be among those that are left
         ahead = F.max("rank").over(document.rangeBetween(step, step))
-        pairs = cut(here.select("doc_id", "key", "pos", F.col("rank").alias("left"), ahead.alias("right")).filter("right IS NOT NULL"))
-        groups = cut(_rank(_groups(pairs, ["left", "right"]), ["left", "right"]))
-        here = cut(pairs.join(groups, ["left", "right"]).drop("left", "right"))
+        pairs = here.select("doc_id", "key", "pos", F.col("rank").alias("left"), ahead.alias("right")).filter("right IS NOT NULL")
+        groups = _rank(_groups(pairs, ["left", "right"]), ["left", "right"], n)
+        here = cut(pairs.join(groups, ["left", "right"]).drop("left", "right"), n)
         have += step
 
 

@@ -30,8 +30,8 @@ from placemill.llm.common import cut, mapped, table
 CAPACITY = 2048
 #: Pieces that one task packs.
 SHARD = 16_384
-#: Words, and the vocabulary's matches in them, whose ids a worker remembers: about 60 MB a worker.
-WORDS, PARTS = 150_000, 150_000
+#: Words, and the vocabulary's matches in them, whose ids a worker remembers: under 100 MB a worker.
+WORDS, PARTS = 250_000, 200_000
 #: Characters up to which a word is remembered.
 SHORT = 32
 
