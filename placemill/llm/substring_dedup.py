@@ -11,7 +11,7 @@ smaller id is removed; windows are judged on the input.  Batches come in order o
 4. windows under a fingerprint that different texts have are verified by two 64-bit hashes over all their words' 64-bit hashes (a fingerprint that one
    text of the past had alone until now adds that text's windows first), and become a run of their own, which the runs of
    historical windows are merge-joined with in the same way;
-5. when there are more than FAN runs of a kind they are compacted into one.
+5. while there are more than FAN runs of a kind, the two smallest are compacted into one by a merge join, bucket by bucket.
 
 Texts of a batch that are equal are looked at once: all windows of the later copies occur earlier.  Null and empty texts have no words.
 Rows without an id come last: they lose nothing and no one loses by them.  Rows of one id never take from each other.  An empty
@@ -35,9 +35,10 @@ from placemill.llm.common import mapped, shared_folder, table
 from placemill.llm.words import slices
 
 WINDOW, SUB = 13, 5
+SORTED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 #: Runs of a kind beyond which they are compacted.
 FAN = 2
-#: Batches that the whole table is dealt into: the third one makes the runs be compacted, and the fourth reads the compacted ones.
+#: Batches that the whole table is dealt into: the third one makes runs be compacted, and the fourth reads the compacted one.
 BATCHES = 4
 
 
@@ -146,12 +147,13 @@ class FingerprintIndex:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name, self.written, self.last = f"fingerprints_{uuid.uuid4().hex}", 0, None
         self.runs: dict[str, list[str]] = {k: [] for k in self.COLUMNS}
+        self.weight: dict[str, int] = {}  # batches of a run
         self.temporary: list[str] = []
 
     def save(self, path: str) -> None:
         """Writes the list of runs, one JSON line, to the folder `path`."""
         folder = self.spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        state = {k: getattr(self, k) for k in ("window", "sub", "fan", "buckets", "name", "written", "last", "runs")} | {"folder": folder}
+        state = {k: getattr(self, k) for k in ("window", "sub", "fan", "buckets", "name", "written", "last", "runs", "weight")} | {"folder": folder}
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
@@ -159,7 +161,7 @@ class FingerprintIndex:
         """The index that `save` wrote; tables that this session's catalog doesn't know are registered where they lie."""
         state = json.loads(spark.read.text(path).first()[0])
         index = cls(spark, state["window"], state["sub"], state["fan"])
-        for k in ("buckets", "name", "written", "last", "runs"):
+        for k in ("buckets", "name", "written", "last", "runs", "weight"):
             setattr(index, k, state[k])
         for kind, names in index.runs.items():
             keys = ", ".join(cls.KEYS[kind])
@@ -175,7 +177,9 @@ class FingerprintIndex:
         keys = self.KEYS.get(kind)
         if kind not in self.runs:
             self.temporary.append(name)
-        writer = df.write.format("parquet").option("compression", "zstd")
+        writer = df.write.format("parquet")
+        # hashes neither repeat nor compress
+        writer = writer.option("compression", "zstd") if kind == "texts" else writer.option("compression", "snappy").option("parquet.enable.dictionary", "false")
         (writer.bucketBy(self.buckets, *keys).sortBy(*keys) if keys else writer).saveAsTable(name)
         return name
 
@@ -196,16 +200,24 @@ class FingerprintIndex:
         self._tidy()
 
     def _append(self, kind: str, name: str) -> None:
-        """One run more of a kind; when there are more than `fan`, all are compacted into one."""
+        """One run more of a kind; while there are more than `fan`, the two of the fewest batches are merged into one."""
         self.runs[kind].append(name)
-        if kind in ("fp", "window") and len(self.runs[kind]) > self.fan:
-            every = self._union([self.spark.table(n) for n in self.runs[kind]])
+        self.weight[name] = 1
+        while kind in ("fp", "window") and len(self.runs[kind]) > self.fan:
+            pair = sorted(self.runs[kind], key=lambda n: self.weight[n])[:2]
+            left, right = (self.spark.table(n) for n in pair)
+            keys, a, b = self.KEYS[kind], left.alias("a"), right.alias("b")
+            # bucket by bucket, without a shuffle: each bucket's rows stay in it
+            merged = a.join(b, keys, "full")
             if kind == "fp":
-                merged = every.groupBy("fp").agg(F.min("owner").alias("owner"), (F.bool_or("shared") | (F.count("*") > 1)).alias("shared"))
+                both = F.col("a.owner").isNotNull() & F.col("b.owner").isNotNull()
+                merged = merged.select("fp", F.least("a.owner", "b.owner").alias("owner"), (both | F.coalesce("a.shared", F.lit(False)) | F.coalesce("b.shared", F.lit(False))).alias("shared"))
             else:
-                merged = every.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-            old, self.runs[kind] = self.runs[kind], [self._store(merged, kind)]
-            self._drop(*old)
+                merged = merged.select("h1", "h2", F.least("a.first", "b.first").alias("first"), (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"))
+            new = self._store(merged, kind)
+            self.weight[new] = sum(self.weight.pop(n) for n in pair)
+            self.runs[kind] = [n for n in self.runs[kind] if n not in pair] + [new]
+            self._drop(*pair)
 
     @staticmethod
     def _union(frames: list[DataFrame]) -> DataFrame:
@@ -213,9 +225,13 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
         """What is left of docs (doc_id, text), whose ids are all larger than those added before."""
+        # a bucket is one file in the order of its keys, and Spark is to rely on it
+        before = self.spark.conf.get(SORTED_SCANS)
+        self.spark.conf.set(SORTED_SCANS, "true")
         try:
             return self._added(docs, with_text)
         finally:
+            self.spark.conf.set(SORTED_SCANS, before)
             self._tidy()
 
     def _added(self, docs: DataFrame, with_text: bool) -> DataFrame:
