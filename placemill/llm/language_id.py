@@ -5,8 +5,8 @@ log P(lang | row) = prior of the host + P(declared markup language | lang) + P(a
 
 * Text: naive Bayes over all byte trigrams of the whole text, hashed to BINS, learned from at most SAMPLE labelled rows.  Trigrams
   overlap, so their sum counts as DISCOUNT independent ones at most.
-* Markup, suffix, code: what a text posterior says by value, from grouped aggregation over all rows; values beyond the VALUES most
-  frequent share one row, so these tables have a bounded size.  A missing value is no evidence.
+* Markup, suffix, code: what a text posterior says by value, from grouped aggregation over all rows, every value with a row of its own.
+  A missing value is no evidence.
 * Host: counts of the text posteriors by host, smoothed to those of its domain, and these to all rows; a row's own count is left out.
 
 Null and empty texts have no text evidence; with no evidence at all the prior decides.  Below CONFIDENT the language is "und" and
@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from placemill.llm.common import cut, mapped, table
 from placemill.llm.words import _LOWER, text_buffers
 
-SAMPLE, LANGUAGES, BINS = 4000, 64, 32_768
+SAMPLE, BINS = 4000, 32_768
 DISCOUNT = 60.0
-VALUES = 1000
+#: Values of an evidence table (a short text and a number for each language) up to which it is broadcast; a larger one is joined by a shuffle.
+BROADCAST_VALUES = 10_000
 #: Pseudo-rows by which a host counts as its domain, and a domain as all rows; and those of each value of an evidence table.
 SMOOTH, VALUE_SMOOTH = 5.0, 0.5
 CONFIDENT = 0.5
@@ -74,8 +75,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins)), pa.array(bins), pa.array(n[bins].astype(np.int64))], ["lang", "bin", "n"])
 
     counts = mapped(texts, count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
-    by = counts.groupby("lang")["n"].sum().sort_values(ascending=False)
-    langs = sorted(by.index[:LANGUAGES])
+    langs = sorted(set(counts["lang"]))
     seen = np.zeros((len(langs), BINS))
     for k, lang in enumerate(langs):
         own = counts[counts["lang"] == lang]
@@ -111,16 +111,12 @@ def _total(columns: list[Column]) -> Column:
 
 
 def _value_table(seen: DataFrame, column: str, n: int) -> DataFrame:
-    """(column, l0, l1, ...): log P(value | language), from rows with p0, p1, ...; the rarer values are under '*'."""
-    by = seen.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("rows"), *[F.sum(f"p{k}").alias(f"c{k}") for k in range(n)])
-    top = by.orderBy(F.desc("rows"), column).limit(VALUES)
+    """(column, l0, l1, ...): log P(value | language) of every value, from rows with p0, p1, ..."""
+    by = cut(seen.filter(F.col(column).isNotNull()).groupBy(column).agg(*[F.sum(f"p{k}").alias(f"c{k}") for k in range(n)]))
     every = by.agg(F.count("*").alias("values"), *[F.sum(f"c{k}").alias(f"a{k}") for k in range(n)]).first()
-    held = top.collect()  # no more than VALUES rows
-    values = min(every["values"], VALUES) + 1
-    rows = []
-    for value, counts in [(r[column], [r[f"c{k}"] for k in range(n)]) for r in held] + [("*", [max(0.0, (every[f"a{k}"] or 0.0) - sum(r[f"c{k}"] for r in held)) for k in range(n)])]:
-        rows.append((value, *[float(np.log((c + VALUE_SMOOTH) / ((every[f"a{k}"] or 0.0) + VALUE_SMOOTH * values))) for k, c in enumerate(counts)]))
-    return seen.sparkSession.createDataFrame(rows, f"{column} string" + "".join(f", {column}_l{k} double" for k in range(n))).dropDuplicates([column])
+    log = lambda k: F.log((F.col(f"c{k}") + VALUE_SMOOTH) / ((every[f"a{k}"] or 0.0) + VALUE_SMOOTH * every["values"]))
+    values = by.select(column, *[log(k).alias(f"{column}_l{k}") for k in range(n)])
+    return F.broadcast(values) if every["values"] <= BROADCAST_VALUES else values
 
 
 def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
@@ -141,11 +137,7 @@ def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
     out = seen.join(hosts, ["host", "domain"])
     score = [F.col(f"e{k}") + F.log((F.greatest(F.col(f"h{k}") - F.col(f"p{k}"), F.lit(0.0)) + SMOOTH * F.col(f"t{k}")) / (F.col("h") - 1 + SMOOTH)) for k in each]
     for column in ("declared", "suffix", "code"):
-        values = _value_table(seen, column, n)
-        known = {r[0] for r in values.select(column).collect()}
-        key = F.when(F.col(column).isin(*known), F.col(column)).when(F.col(column).isNotNull(), F.lit("*"))
-        values = values.withColumnRenamed(column, f"{column}_key")
-        out = out.withColumn(f"{column}_key", key).join(F.broadcast(values), f"{column}_key", "left")  # at most VALUES + 1 rows
+        out = out.join(_value_table(seen, column, n), column, "left")
         score = [s + F.coalesce(F.col(f"{column}_l{k}"), F.lit(0.0)) for k, s in enumerate(score)]
     out = out.withColumn("_s", F.array(*score)).withColumn("_p", F.transform("_s", lambda x: F.exp(x - F.array_max("_s"))))
     confidence = F.round(F.lit(1.0) / F.aggregate("_p", F.lit(0.0), lambda a, x: a + x), 6)

@@ -95,9 +95,80 @@ def test_language_without_labels_or_rows(spark, docs, empty):
     assert language_id.identify(language_id.document_rows(empty), labelled).count() == 0
 
 
+def brute_fusion(rows, langs):
+    """(lang, confidence) of rows (host, domain, suffix, code, declared, e), from the formula of the docstring."""
+    n = len(langs)
+    p = [np.exp(r[5]) / np.exp(r[5]).sum() for r in rows]
+    total = (sum(p) + 1.0) / (len(rows) + n)
+    out = []
+    for r, own in zip(rows, p, strict=True):
+        same = [q for o, q in zip(rows, p, strict=True) if o[:2] == r[:2]]
+        near = [q for o, q in zip(rows, p, strict=True) if o[1] == r[1]]
+        domain = (sum(near) + language_id.SMOOTH * total) / (len(near) + language_id.SMOOTH)
+        score = r[5] + np.log((sum(same) - own + language_id.SMOOTH * domain) / (len(same) - 1 + language_id.SMOOTH))
+        for k in (2, 3, 4):
+            if r[k] is not None:
+                have = [(o[k], q) for o, q in zip(rows, p, strict=True) if o[k] is not None]
+                every, mine = sum(q for _, q in have), sum(q for v, q in have if v == r[k])
+                score = score + np.log((mine + language_id.VALUE_SMOOTH) / (every + language_id.VALUE_SMOOTH * len({v for v, _ in have})))
+        x = np.exp(score - score.max())
+        out.append((langs[int(np.argmax(score))], 1 / x.sum()))
+    return out
+
+
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_fusion_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(language_id, "BROADCAST_VALUES", most)
+    r, langs = random.Random(4), ["de", "en", "fr"]
+    pick = lambda *v: r.choice([*v, None])
+    rows = []
+    for _ in range(150):
+        host = r.choice(["a.x.de", "b.x.de", "c.y.fr", "d.z.com", ""])
+        e = np.array([r.uniform(-6, 0) for _ in langs])
+        rows.append((host, host[2:], pick("de", "fr", "com"), pick("de", "en"), pick("de", "fr", "xx"), e - e.max()))
+    schema = language_id.KEY_SCHEMA + ", e0 double, e1 double, e2 double"
+    frame = spark.createDataFrame([("pages", k, *x[:5], *map(float, x[5])) for k, x in enumerate(rows)], schema)
+    got = {x["id"]: x for x in language_id.fuse(frame, langs).collect()}
+    for k, (lang, confidence) in enumerate(brute_fusion(rows, langs)):
+        assert got[k]["confidence"] == pytest.approx(confidence, abs=1e-5) and got[k]["kept"] == (got[k]["confidence"] >= 0.5)
+        assert got[k]["lang"] == (lang if got[k]["kept"] else "und")
+
+
+def test_every_labelled_language_is_learned(spark):
+    labelled = spark.createDataFrame([(k, chr(0x4E00 + k) * 40, f"l{k:03}") for k in range(80)], "id long, text string, lang string")
+    assert language_id.train(labelled)[0] == [f"l{k:03}" for k in range(80)]
+
+
 # 2
 
 
+def brute_list(rules, stats):
+    """Whether a text is kept, literal by literal in the order of the list."""
+    ratio = lambda a, b: stats[a] / stats[b] if stats[b] else 0.0
+    x = {
+        "n_words": stats["n_words"], "chars_per_word": ratio("word_chars", "n_words"), "symbols_per_char": ratio("n_symbols", "word_chars"), "symbols_per_word": ratio("n_symbols", "n_words"),
+        "dup_lines": ratio("n_dup_lines", "n_lines"), "repeated_words": ratio("n_repeat_words", "n_words"), "distinct_words": ratio("n_distinct_words", "n_words"), "upper": ratio("n_upper", "word_chars"),
+        "digits": ratio("n_digits", "word_chars"), "marks_per_word": ratio("n_marks", "n_words"), "words_per_line": ratio("n_words", "n_lines"),
+    }
+    if stats["n_words"] < 20 or 100 * stats["n_repeat_words"] > 30 * stats["n_words"]:
+        return False
+    return not any(all(x[lit.feature] > lit.threshold if lit.above else x[lit.feature] <= lit.threshold for lit in rule) for rule in rules)
+
+
+def test_verdict_against_the_list(docs):
+    lit = quality.Literal
+    for rules in ([], [(lit("upper", True, 0.05), lit("n_words", False, 300.0))], [(lit("marks_per_word", False, 0.08),), (lit("words_per_line", True, 9.0), lit("chars_per_word", True, 4.5), lit("digits", False, 0.01))]):
+        got = quality.judged(docs, rules).collect()
+        assert [r["kept"] for r in got] == [brute_list(rules, r.asDict()) for r in got] and len(got) == docs.count()
+
+
+def test_the_list_is_the_same_in_every_run(spark):
+    d = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    twice = table.union(table.withColumn("text", F.upper("text")))
+    assert quality.learned(twice, labels, sample=100) == quality.learned(twice.repartition(5), labels.repartition(3), sample=100)
+
+
 def brute_statistics(text):
     w = words(text)
     windows = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
@@ -280,6 +351,37 @@ def test_common_lines_are_longest():
         assert len(found) == longest(a, b) and all(a[k] in rest for k in found) and found == sorted(set(found))
 
 
+def test_long_alignments_are_split():
+    r = random.Random(8)
+    for _ in range(500):
+        a, b = ([r.randint(0, 5) for _ in range(r.randint(0, 40))] for _ in "ab")
+        found, rest = page_text.shared_lines(a, b, cells=4), iter(b)
+        assert len(found) == len(page_text.shared_lines(a, b)) and all(a[k] in rest for k in found) and found == sorted(set(found))
+
+
+@pytest.mark.parametrize("part", ["<a x ", "<a '", "<div>x", "<a '' ", "<", "<!--", "<script>", "</", "<p", "<p '>' \""])
+def test_broken_pages_take_linear_time(part):
+    import time
+
+    begun = time.process_time()
+    for end in ("", ">", "'\" >", "<p>end"):
+        page_text.blocks(part * 50_000 + end)
+    assert time.process_time() - begun < 8
+
+
+def test_differences_against_brute_force(spark):
+    r = random.Random(12)
+    lines = [f"line number {k} of the pool" for k in range(12)]
+    texts = {(h, k): [r.choice(lines) for _ in range(3)] + [f"own words of {h} {k} that no other page has, and many more of them {r.random()}" * 4] for h in "ab" for k in range(8)}
+    pages = [(i, f"http://{h}.example/{k:02}/x", "".join(f"<p>{t}</p>" for t in texts[h, k])) for i, (h, k) in enumerate(texts)]
+    got = {x["page_id"]: x["text"] for x in page_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, (h, k) in enumerate(texts):
+        near = sorted(((-len(__import__("os").path.commonprefix([f"/{k:02}/x", f"/{j:02}/x"])), (-1, 1).index(j - k)), j) for j in (k - 1, k + 1) if (h, j) in texts)
+        mine, other = texts[h, k], texts[h, near[0][1]]
+        gone = page_text.shared_lines([hash(x) for x in mine], [hash(x) for x in other])
+        assert len(got[i].split("\n")) == len(mine) - len(gone) and set(got[i].split("\n")) <= set(mine)
+
+
 def test_pages_against_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     odd = spark.createDataFrame([
