@@ -115,3 +115,9 @@ def trigram_jaccard(a: Column, b: Column) -> Column:
     x, y = trigrams(a), trigrams(b)
     both = F.size(F.array_intersect(x, y))
     return both / F.nullif(F.size(x) + F.size(y) - both, F.lit(0))
+
+
+def word_grams(canonical: Column) -> Column:
+    """The distinct trigrams of a canonical text's words, whatever characters these have."""
+    padded = F.transform(F.filter(F.split(canonical, " "), lambda w: w != ""), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda k: F.substring(w, k, F.lit(3))))))

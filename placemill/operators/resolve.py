@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placemill.functions import geo, text
-from placemill.functions.similarity import set_ratio, sort_ratio, token_set_ratio, token_sort_ratio, trigrams
+from placemill.functions.similarity import set_ratio, sort_ratio, token_set_ratio, token_sort_ratio, word_grams
 
 # Fixed values.
 SAME_NAME, MIN_CONFIDENCE = 88, 0.6
@@ -142,9 +142,10 @@ def locality_index(localities: DataFrame, pois: DataFrame | None = None) -> Data
 
 
 def search_space(pois: DataFrame) -> DataFrame:
-    """(poi, name): every name that a point of interest answers to."""
-    each = pois.select("poi", F.explode(F.array("name", "name_he", "name_en", "brand")).alias("_n")).withColumn("name", text.canon(F.col("_n")))
-    return each.filter("name <> ''").select("poi", "name")
+    """(poi, name, hit): every name that a point of interest answers to; hit is its place in the order of all names (`ord` of the points, else their id)."""
+    order = F.col("ord") if "ord" in pois.columns else F.col("poi")
+    each = pois.select("poi", order.alias("_ord"), F.posexplode(F.array("name", "name_he", "name_en", "brand")).alias("_k", "_n")).withColumn("name", text.canon(F.col("_n")))
+    return each.filter("name <> ''").select("poi", "name", F.struct(F.col("_ord").alias("ord"), F.col("_k").alias("k")).alias("hit"))
 
 
 def judged(candidates: DataFrame, least: float = MATCH_CONFIDENCE, radius_km: float = CITY_KM, limit: int | None = CANDIDATES) -> DataFrame:
@@ -179,33 +180,43 @@ def _nearest(scored: DataFrame, radius_km: float) -> DataFrame:
     return scored.groupBy("place").agg(pick.alias("b")).select("place", "b.poi", F.col("b.confidence").alias("match_confidence"))
 
 
+def _or_null(frame: DataFrame, column: str) -> Column:
+    return F.nullif(F.col(column), F.lit("")) if column in frame.columns else F.lit(None).cast("string")
+
+
 def locate(places: DataFrame, pois: DataFrame, localities: DataFrame, least: float = MATCH_CONFIDENCE, radius_km: float = CITY_KM) -> DataFrame:
-    """(place, poi, lat, lng, address_he, osm_category, match_confidence, reason) for places (place, name_he, city).
+    """(place, poi, provider_ref, name_osm, lat, lng, address_he, phone, url, osm_category, match_confidence, reason) for places (place, name_he, city, and phone and url if known).
 
     Candidates come from an equi-join on trigrams, so no name is compared with all others.  It joins distinct queries and distinct names:
     the scores and the order of a query's candidates depend on nothing else, so each pair of texts is scored once, and of the points
-    that share a name only the first of the order, as many as a query has candidates, can be among them.
+    that share a name only the first of the order, as many as a query has candidates, can be among them.  Equal scores go by that order.
+    A city that is said but not known leaves a place unresolved, also one that has no letters.
     """
-    asked = places.withColumns({"query": text.canon(F.col("name_he")), "city_key": text.canon(F.col("city"))})
+    asked = places.withColumns({"query": text.canon(F.col("name_he")), "city_key": text.canon(F.col("city")), "own_phone": _or_null(places, "phone"), "own_url": _or_null(places, "url")})
     asked = asked.join(localities.select(F.col("key").alias("city_key"), F.col("lat").alias("centre_lat"), F.col("lon").alias("centre_lon")), "city_key", "left")
-    unresolved = (F.col("city_key") != "") & F.col("centre_lat").isNull()
+    unresolved = F.coalesce(F.col("city") != "", F.lit(False)) & F.col("centre_lat").isNull()
     open_ = asked.filter((F.col("query") != "") & ~unresolved)
-    space = search_space(pois).distinct().withColumn("hit", F.xxhash64("poi", "name"))
+    space = search_space(pois)
     # a set score of the cutoff needs a common word or most trigrams in common: both show as common trigrams
     queries, names = open_.select("query").distinct(), space.select("name").distinct()
-    keys = queries.select("query", F.explode(trigrams(F.col("query"))).alias("t")).join(names.select("name", F.explode(trigrams(F.col("name"))).alias("t")), "t")
+    keys = queries.select("query", F.explode(word_grams(F.col("query"))).alias("t")).join(names.select("name", F.explode(word_grams(F.col("name"))).alias("t")), "t")
     met = keys.groupBy("query", "name").agg(F.count("*").alias("common")).filter(F.col("common") >= 2).drop("common")
     scored = met.withColumn("set_score", set_ratio(F.col("query"), F.col("name"))).filter(F.col("set_score") >= least * 100)
     scored = _first(scored.join(_first(space, "name", CANDIDATES, F.col("hit")), "name"), "query", CANDIDATES, F.desc("set_score"), F.col("hit"))
     scored = _same_words(scored).join(pois.select("poi", "lat", "lon"), "poi").join(open_.select("place", "query", "centre_lat", "centre_lon"), "query")
     found = _nearest(scored, radius_km).join(pois, "poi")
-    street = F.nullif(F.concat_ws(" ", F.nullif("street", F.lit("")), F.nullif("housenumber", F.lit(""))), F.lit(""))
-    found = found.select("place", "poi", "lat", F.col("lon").alias("lng"), street.alias("_street"), F.nullif("city", F.lit("")).alias("_town"), F.col("category").alias("osm_category"), F.round("match_confidence", 3).alias("match_confidence"), "match_confidence")
-    found = found.toDF("place", "poi", "lat", "lng", "_street", "_town", "osm_category", "match_confidence", "_exact")
-    out = asked.select("place", "query", "city", unresolved.alias("_unresolved")).join(found, "place", "left")
+    street = F.nullif(F.concat_ws(" ", _or_null(pois, "street"), _or_null(pois, "housenumber")), F.lit(""))
+    found = found.select(
+        "place", "poi", F.concat(F.lit("osm:"), F.col("poi").cast("string")).alias("provider_ref"), F.col("name").alias("name_osm"), "lat", F.col("lon").alias("lng"), street.alias("_street"), _or_null(pois, "city").alias("_town"),
+        _or_null(pois, "phone").alias("_phone"), _or_null(pois, "website").alias("_url"), F.col("category").alias("osm_category"), F.col("match_confidence").alias("_exact"),
+    )
+    out = asked.select("place", "query", "city", "own_phone", "own_url", unresolved.alias("_unresolved")).join(found, "place", "left")
     reason = F.when(F.col("query") == "", "no_osm_match").when(F.col("_unresolved"), "city_unresolved").when(F.col("poi").isNull(), "no_osm_match").when(F.col("_exact") < least, "low_match_confidence")
     address = F.when(F.col("poi").isNotNull(), F.nullif(F.concat_ws(", ", "_street", F.coalesce("_town", F.nullif("city", F.lit("")))), F.lit("")))
-    return out.select("place", "poi", "lat", "lng", address.alias("address_he"), "osm_category", "match_confidence", reason.alias("reason"))
+    return out.select(
+        "place", "poi", "provider_ref", "name_osm", "lat", "lng", address.alias("address_he"), F.coalesce("own_phone", "_phone").alias("phone"), F.coalesce("own_url", "_url").alias("url"), "osm_category",
+        F.round("_exact", 3).alias("match_confidence"), reason.alias("reason"),
+    )
 
 
 def locate_summary(located: DataFrame) -> DataFrame:

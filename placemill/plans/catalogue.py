@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from placemill.functions import color, dates, geo, similarity, text
 from placemill.operators import cells, ingest, layout, links, reads, resolve, trust
-from placemill.plans import tables
+from placemill.plans import oracle, tables
 from placemill.plans.tables import AS_OF, PLACES_SQL, REPORTS_SQL, duck, places, read, reports
 
 AT = (31.5, 35.0)
@@ -43,10 +43,10 @@ def oracle_sql() -> dict:
     return dict(SQL)
 
 
-def _geodesic_sql(lat: float, lng: float) -> str:
-    """The same first-order formula, for a constant point."""
+def _geodesic_sql(lat, lng, at: str = "") -> str:
+    """The same first-order formula, from the columns lat and lng (of the table `at`) to a point."""
     a, b = f"radians(CAST({lat} AS DOUBLE))", f"radians(CAST({lng} AS DOUBLE))"
-    f, g, l = f"((radians(lat) + {a}) / 2)", f"((radians(lat) - {a}) / 2)", f"((radians(lng) - {b}) / 2)"
+    f, g, l = f"((radians({at}lat) + {a}) / 2)", f"((radians({at}lat) - {a}) / 2)", f"((radians({at}lng) - {b}) / 2)"
     return f"""(SELECT CASE WHEN s <= 1e-20 THEN 0.0 ELSE 2 * w * {geo.AXIS!r} * (1 + {geo.FLATTENING!r} * ((3 * r - 1) / (2 * k) * pow(sin(f) * cos(g), 2) - (3 * r + 1) / (2 * s) * pow(cos(f) * sin(g), 2))) END
         FROM (SELECT *, sqrt(s * k) / w AS r FROM (SELECT *, atan(sqrt(s / k)) AS w FROM (SELECT {f} AS f, {g} AS g,
              pow(sin({g}) * cos({l}), 2) + pow(cos({f}) * sin({l}), 2) AS s, pow(cos({g}) * cos({l}), 2) + pow(sin({f}) * sin({l}), 2) AS k))))"""
@@ -169,12 +169,23 @@ def row_rails(spark, sf_dir):
     return places(spark, sf_dir).select("id", reads.row_rail().alias("rail"))
 
 
-@query()
+@query(f"""{WITH_PLACES}, r AS (SELECT *, CASE WHEN status = 'reported_not_working' THEN 'dead' WHEN benefit_fighter_card AND benefit_vacation_voucher THEN 'both' WHEN benefit_vacation_voucher THEN 'voucher' ELSE 'fighter' END AS rail
+    FROM places WHERE lat IS NOT NULL AND lng IS NOT NULL)
+    SELECT id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || lng || ',' || lat || ']}},"properties":{{"id":' || id || ',"name":"' || name_he || '","category":"' || category || '","rail":"' || rail || '"}}}}' AS feature FROM r""")
 def geojson_features(spark, sf_dir):
     return reads.geojson(places(spark, sf_dir))
 
 
-@query()
+def _near_match_sql(probes: str) -> str:
+    """CTEs up to best (probe_id, id, name_he, name_similarity, distance_m) for probes (probe_id, lat, lng, name), each against every place."""
+    return f"""{WITH_PLACES}, probes AS ({probes}),
+    near AS (SELECT probe_id, p.name, s.id, s.name_he, {_geodesic_sql("p.lat", "p.lng", "s.")} AS distance_m FROM probes p JOIN places s ON abs(s.lat - p.lat) < 0.01 AND abs(s.lng - p.lng) < 0.01 WHERE {VISIBLE_SQL} AND s.lat IS NOT NULL),
+    pairs AS (SELECT DISTINCT name_he AS x, name AS y FROM near WHERE distance_m <= 75), {oracle.word_similarities("pairs")},
+    best AS (SELECT probe_id, id, name_he, similarity AS name_similarity, distance_m FROM near JOIN near_words ON x = name_he AND y = name WHERE distance_m <= 75 AND similarity > 0.9
+             QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, distance_m, id) = 1)"""
+
+
+@query(_near_match_sql("SELECT id AS probe_id, lat + 0.0001::DOUBLE AS lat, lng, name_he || ' new' AS name FROM places WHERE lat IS NOT NULL") + " SELECT probe_id, id, name_he, name_similarity, round(distance_m, 3) AS distance_m FROM best")
 def near_match(spark, sf_dir):
     """Every place, moved by some metres and named a little differently, against all places."""
     own = places(spark, sf_dir).filter(reads.has_point())
@@ -411,7 +422,7 @@ def fold_text(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.fold(F.col("o_orderpriority")).alias("fold"))
 
 
-@query()
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[׳״''\"`‘’“”]', '', 'g'), '[־‐-―-]', ' ', 'g'), '\s+', ' ', 'g'))) AS fold FROM documents")
 def fold_documents(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("fold"))
 
@@ -424,22 +435,26 @@ def distinctive_names(spark, sf_dir):
 GRAMS_SQL = "list_distinct(flatten(list_transform(string_split(lower({0}), ' '), lambda w: list_transform(range(1, len(w) + 2), lambda k: substring('  ' || w || ' ', k, 3)))))"
 
 
-@query(f"""WITH n AS (SELECT DISTINCT p_name FROM part), p AS (SELECT a.p_name AS a, b.p_name AS b FROM n a JOIN n b ON a.p_name < b.p_name AND split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1)),
-    g AS (SELECT *, {GRAMS_SQL.format("a")} AS x, {GRAMS_SQL.format("b")} AS y FROM p)
-    SELECT a, b, round(len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS similarity FROM g""")
+NAMES_SQL = f"WITH RECURSIVE n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name AS n, {GRAMS_SQL.format('p_name')} AS g FROM n), p AS (SELECT a.n AS x, b.n AS y, a.g AS gx, b.g AS gy FROM g a JOIN g b ON a.n < b.n AND list_has_any(a.g, b.g))"
+
+
+def _name_pairs(spark, sf_dir) -> DataFrame:
+    """All pairs (a, b) of distinct names that have a trigram in common."""
+    grams = read(spark, sf_dir, "part").select("p_name").distinct().withColumn("t", F.explode(similarity.trigrams(F.col("p_name"))))
+    return grams.toDF("a", "t").join(grams.toDF("b", "t"), "t").filter("a < b").select("a", "b").distinct()
+
+
+@query(f"""{NAMES_SQL} SELECT x AS a, y AS b, round(len(list_intersect(gx, gy))::DOUBLE / (len(gx) + len(gy) - len(list_intersect(gx, gy))), 6) AS similarity FROM p""")
 def trigram_similarity(spark, sf_dir):
-    names = read(spark, sf_dir, "part").select("p_name").distinct().withColumn("w", F.element_at(F.split("p_name", " "), 1))
-    pairs = names.toDF("a", "w").join(names.toDF("b", "w"), "w").filter("a < b")
-    return pairs.select("a", "b", F.round(similarity.trigram_jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(similarity.trigram_jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query()
+@query(f"""{NAMES_SQL}, q AS (SELECT x, y FROM p), {oracle.similarities("q")}, {oracle.word_similarities("q")}
+    SELECT a.x AS a, a.y AS b, round(similarity, 6) AS word, round(indel, 6) AS indel, round(sort_score, 6) AS sort, round(set_score, 6) AS words FROM alike a JOIN near_words w ON w.x = a.x AND w.y = a.y""")
 def name_matches(spark, sf_dir):
-    names = read(spark, sf_dir, "part").select("p_name").distinct().withColumn("w", F.element_at(F.split("p_name", " "), 1))
     a, b = F.col("a"), F.col("b")
-    pairs = names.toDF("a", "w").join(names.toDF("b", "w"), "w").filter("a < b").drop("w")
     scores = {"word": similarity.name_similarity(a, b), "indel": similarity.indel_ratio(a, b), "sort": similarity.sort_ratio(a, b), "words": similarity.set_ratio(a, b)}
-    return pairs.withColumns({k: F.round(v, 6) for k, v in scores.items()})
+    return _name_pairs(spark, sf_dir).withColumns({k: F.round(v, 6) for k, v in scores.items()})
 
 
 # resolution
@@ -450,7 +465,7 @@ def _pois(spark, sf_dir) -> DataFrame:
     found = places(spark, sf_dir).filter(reads.has_point())
     return found.select(
         F.col("id").cast("string").alias("poi"), F.col("name_he").alias("name"), none.alias("name_he"), none.alias("name_en"), none.alias("brand"), "city", F.col("address_he").alias("street"), none.alias("housenumber"),
-        none.alias("phone"), none.alias("website"), F.col("category"), "lat", F.col("lng").alias("lon"),
+        none.alias("phone"), none.alias("website"), F.col("category"), "lat", F.col("lng").alias("lon"), F.col("id").alias("ord"),
     )
 
 
@@ -486,12 +501,16 @@ def _located(spark, sf_dir) -> DataFrame:
     return resolve.locate(asked, pois, resolve.city_medians(pois))
 
 
-@query()
+ASKED_SQL = "SELECT id AS place, CASE WHEN id % 3 = 0 THEN name_he || ' hotel' ELSE name_he END AS name_he, CASE WHEN id % 11 = 0 THEN 'nowhere' WHEN id % 4 <> 0 THEN city END AS city FROM places"
+LOCATED_SQL = oracle.located(WITH_PLACES, ASKED_SQL, "WITH " + MEDIANS_SQL.removeprefix(f"{WITH_PLACES}, "))
+
+
+@query(LOCATED_SQL + " SELECT place, poi, provider_ref, name_osm, lat, lng, address_he, osm_category, match_confidence, reason FROM located")
 def locate_places(spark, sf_dir):
-    return _located(spark, sf_dir)
+    return _located(spark, sf_dir).drop("phone", "url")
 
 
-@query()
+@query(LOCATED_SQL + " SELECT coalesce(reason, 'located') AS reason, count(*) AS n FROM located GROUP BY 1")
 def locate_summary(spark, sf_dir):
     return resolve.locate_summary(_located(spark, sf_dir))
 
@@ -508,19 +527,35 @@ def _records(spark, sf_dir) -> DataFrame:
     )
 
 
-@query()
+RECORDS_SQL = """SELECT id, CASE WHEN id % 4 = 0 THEN name_he || 's' ELSE name_he END AS name_he, CASE WHEN id % 2 = 0 THEN city ELSE lower(city) END AS city,
+    CASE WHEN is_chain THEN 'chain' WHEN is_online THEN 'online_only' ELSE 'single_location' END AS kind, category, CASE WHEN id % 6 = 0 THEN 'http://x/' || id END AS url, CASE WHEN id % 5 = 0 THEN address_he END AS note_he,
+    CASE WHEN id % 13 = 0 THEN 'reported_not_working' ELSE 'works' END AS status, (id % 10)::DOUBLE / 10 AS confidence, benefit_fighter_card, benefit_vacation_voucher, '2024-01-' || lpad((id % 28 + 1)::VARCHAR, 2, '0') AS day FROM places"""
+CLUSTERS_SQL = oracle.clustered(WITH_PLACES, RECORDS_SQL)
+MERGED_SQL = CLUSTERS_SQL + """,
+    noted AS (SELECT r.*, c.block, c.cluster_id, c.position FROM records r JOIN clusters c ON c.id = r.id),
+    notes AS (SELECT block, cluster_id, string_agg(note_he, ' ' ORDER BY first_at) AS note FROM (SELECT block, cluster_id, note_he, min(position) AS first_at FROM noted WHERE note_he <> '' GROUP BY ALL) GROUP BY block, cluster_id),
+    merged AS (SELECT r.block, r.cluster_id, arg_min(id, position) AS id, arg_min(name_he, position) AS name_he, CAST(NULL AS VARCHAR) AS name_en, arg_min(city, position) FILTER (city <> '') AS city, arg_min(kind, position) AS kind,
+        arg_min(category, position) AS category, CAST(NULL AS VARCHAR) AS phone, arg_min(url, position) FILTER (url <> '') AS url, bool_or(benefit_fighter_card) AS benefit_fighter_card, bool_or(benefit_vacation_voucher) AS benefit_vacation_voucher,
+        min(day) AS first_reported_at, max(day) AS last_reported_at, count(*)::INT AS sources, array_to_string(list_sort(list(DISTINCT name_he)), '|') AS merged_names, count(DISTINCT name_he) AS names, max(confidence) AS confidence,
+        CASE WHEN bool_or(status = 'reported_not_working') THEN 'reported_not_working' ELSE 'works' END AS status, count(*)::INT AS report_count FROM noted r GROUP BY r.block, r.cluster_id)"""
+
+
+@query(CLUSTERS_SQL + " SELECT id, block, cluster_id, position FROM clusters")
 def dedup_clusters(spark, sf_dir):
     return resolve.cluster(_records(spark, sf_dir))
 
 
-@query()
+@query(MERGED_SQL + " SELECT m.* EXCLUDE (names), nullif(trim(substring(note, 1, 200), ' ,-'), '') AS note_he FROM merged m LEFT JOIN notes n ON n.block = m.block AND n.cluster_id = m.cluster_id")
 def cluster_collapse(spark, sf_dir):
     records = _records(spark, sf_dir)
     out = resolve.collapse(records, resolve.cluster(records))
     return out.withColumns({"sources": F.size("sources"), "merged_names": F.array_join("merged_names", "|")})
 
 
-@query()
+@query(MERGED_SQL + """ SELECT 'total' AS section, 'records' AS key, count(*) AS n FROM records
+    UNION ALL SELECT 'total', unnest(['clusters', 'fighter_card', 'vacation_voucher', 'both', 'several_names']), unnest([count(*), count(*) FILTER (benefit_fighter_card), count(*) FILTER (benefit_vacation_voucher),
+        count(*) FILTER (benefit_fighter_card AND benefit_vacation_voucher), count(*) FILTER (names > 1)]) FROM merged
+    UNION ALL SELECT 'kind', kind, count(*) FROM merged GROUP BY kind UNION ALL SELECT 'category', category, count(*) FROM merged GROUP BY category UNION ALL SELECT 'status', status, count(*) FROM merged GROUP BY status""")
 def merge_report(spark, sf_dir):
     records = _records(spark, sf_dir)
     return resolve.merge_report(records, resolve.collapse(records, resolve.cluster(records)))
@@ -592,7 +627,9 @@ def town_pins(spark, sf_dir):
     return found.select("id", "lat", "lng", "location_precision")
 
 
-@query()
+@query(_near_match_sql("""SELECT a.id AS probe_id, a.lat + CASE WHEN a.id % 2 = 0 THEN 0.0001::DOUBLE ELSE 0.5::DOUBLE END AS lat, a.lng, a.name_he || ' x' AS name FROM places a WHERE lat IS NOT NULL AND provider_ref IS NULL""") + """
+    SELECT p.id AS submission, CASE WHEN p.provider_ref IS NULL AND b.id IS NULL THEN 'published' ELSE 'confirmed_existing' END AS outcome, CASE WHEN p.provider_ref IS NOT NULL THEN p.id ELSE b.id END AS place
+    FROM places p LEFT JOIN best b ON b.probe_id = p.id WHERE p.lat IS NOT NULL""")
 def submission_outcomes(spark, sf_dir):
     own = places(spark, sf_dir).filter(reads.has_point())
     sent = own.select(F.col("id").alias("submission"), "provider_ref", F.concat("name_he", F.lit(" x")).alias("name_he"), (F.col("lat") + F.when(F.col("id") % 2 == 0, 0.0001).otherwise(0.5)).alias("lat"), "lng")
@@ -620,7 +657,13 @@ def osm_filter(spark, sf_dir):
     return found.filter("category IS NOT NULL").select("id", "category")
 
 
-@query()
+@query(f"""WITH t AS (SELECT t.id, key, value, p_name FROM ({TAGGED_SQL}) t JOIN part ON p_partkey = t.id),
+    o AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'node' ELSE 'way' END AS type, 31::DOUBLE + id::DOUBLE / 1000 AS a FROM t),
+    c AS (SELECT *, CASE WHEN id % 2 = 0 THEN 31::DOUBLE ELSE (((0::DOUBLE + a) + (a + 0.01::DOUBLE)) + (a + 0.02::DOUBLE)) / 3 END AS y, CASE WHEN id % 2 = 0 THEN 35::DOUBLE ELSE (((0::DOUBLE + 35::DOUBLE) + (35::DOUBLE + 0.02::DOUBLE)) + (35::DOUBLE + 0.04::DOUBLE)) / 3 END AS x
+          FROM o WHERE key IN ('shop', 'craft') OR value IN ('cafe', 'viewpoint')),
+    f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY p_name, round(y, 5), round(x, 5) ORDER BY type, id) = 1)
+    SELECT type || '/' || id AS poi, p_name AS name, CAST(NULL AS VARCHAR) AS name_he, CAST(NULL AS VARCHAR) AS name_en, CAST(NULL AS VARCHAR) AS brand, CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS street,
+           CAST(NULL AS VARCHAR) AS housenumber, CAST(NULL AS VARCHAR) AS phone, CAST(NULL AS VARCHAR) AS website, key || '=' || value AS category, round(y, 6) AS lat, round(x, 6) AS lon FROM f""")
 def osm_points(spark, sf_dir):
     t = _tagged(spark, sf_dir)
     at = F.array(*[F.struct((F.lit(31.0) + F.col("id") / 1000 + k / 100).alias("lat"), (F.lit(35.0) + k / 50).alias("lon")) for k in range(3)])
@@ -669,7 +712,31 @@ def merged_positions(spark, sf_dir):
     return layout.merged_positions(values, ["page"], "v", 1.0).select("page", F.round("position", 6).alias("position"), "n")
 
 
-@query()
+def _sight(kind: str | None) -> str:
+    """The three channels in linear light as someone with the deficiency sees them."""
+    if kind is None:
+        return "r, g, b"
+    clip = lambda row: f"greatest(0, least(1, 0::DOUBLE + r * {row[0]}::DOUBLE + g * {row[1]}::DOUBLE + b * {row[2]}::DOUBLE))"
+    return ", ".join(f"{clip(row)} AS {c}" for row, c in zip(color.VIENOT[kind], "rgb", strict=True))
+
+
+def _lab_sql(kind: str | None) -> str:
+    xyz = [f"(r * {x}::DOUBLE + g * {y}::DOUBLE + b * {z}::DOUBLE) / {w}::DOUBLE" for (x, y, z), w in zip(color.TO_XYZ, color.WHITE, strict=True)]
+    root = lambda t: f"CASE WHEN {t} > pow(6::DOUBLE / 29, 3) THEN pow({t}, 1::DOUBLE / 3) ELSE {t} / (3 * pow(6::DOUBLE / 29, 2)) + 4::DOUBLE / 29 END"
+    return f"""SELECT id, 116 * fy - 16 AS l, 500 * (fx - fy) AS a, 200 * (fy - fz) AS b FROM (SELECT id, {root('x')} AS fx, {root('y')} AS fy, {root('z')} AS fz FROM
+        (SELECT id, {xyz[0]} AS x, {xyz[1]} AS y, {xyz[2]} AS z FROM (SELECT id, {_sight(kind)} FROM light)))"""
+
+
+KINDS_OF_SIGHT = {"normal": None} | {k: k for k in color.VIENOT}
+
+
+@query("WITH hex AS (SELECT id, substring(md5(id::VARCHAR), 1, 6) AS h FROM (SELECT s_suppkey AS id FROM supplier UNION SELECT s_suppkey + 1 FROM supplier)),"
+    " parts AS (SELECT id, ('0x' || substring(h, 1, 2))::INT::DOUBLE / 255 AS r, ('0x' || substring(h, 3, 2))::INT::DOUBLE / 255 AS g, ('0x' || substring(h, 5, 2))::INT::DOUBLE / 255 AS b FROM hex),"
+    " light AS (SELECT id, " + ", ".join(f"CASE WHEN {c} <= 0.04045::DOUBLE THEN {c} / 12.92::DOUBLE ELSE pow(({c} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END AS {c}" for c in "rgb") + " FROM parts),"
+    " shine AS (SELECT id, r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE + 0.05::DOUBLE AS y FROM light), "
+    + ", ".join(f"{name}_lab AS ({_lab_sql(kind)}), {name}_two AS (SELECT p.id, p.l AS pl, p.a AS pa, p.b AS pb, q.l AS ql, q.a AS qa, q.b AS qb FROM {name}_lab p JOIN {name}_lab q ON q.id = p.id + 1)" for name, kind in KINDS_OF_SIGHT.items())
+    + " SELECT s_suppkey AS id, round(greatest(u.y, v.y) / least(u.y, v.y), 6) AS contrast, " + ", ".join(f"(SELECT round({oracle.delta_e('p', 'q')}, 6) FROM {name}_two t WHERE t.id = s_suppkey) AS {name}" for name in KINDS_OF_SIGHT)
+    + " FROM supplier JOIN shine u ON u.id = s_suppkey JOIN shine v ON v.id = s_suppkey + 1")
 def palette_checks(spark, sf_dir):
     """The difference and the contrast of pairs of colours made from the suppliers' keys, for each kind of sight."""
     code = lambda c: F.concat(F.lit("#"), F.substring(F.md5(c.cast("string")), 1, 6))
