@@ -88,3 +88,16 @@ def ciede2000(p: Column, q: Column) -> Column:
 
     steps = let(let(let(F.struct(p.alias("p"), q.alias("q")), stretched), differences), weighted)
     return let(steps, lambda w: F.sqrt(w["l"] * w["l"] + w["c"] * w["c"] + w["h"] * w["h"] + w["r"] * w["c"] * w["h"]))
+
+
+def distinct_to_all(a: Column, b: Column, least: float = MIN_DELTA) -> Column:
+    """Whether two colours (linear light) are at least so far apart for every kind of sight."""
+    ok = ciede2000(lab(a), lab(b)) >= least
+    for kind in VIENOT:
+        ok = ok & (ciede2000(lab(simulate(a, kind)), lab(simulate(b, kind))) >= least)
+    return ok
+
+
+def legible(a: Column, b: Column, least: float = MIN_TEXT) -> Column:
+    """Whether text in one colour can be read on the other; MIN_BODY for body text."""
+    return contrast(a, b) >= least

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -86,9 +86,13 @@ def distance_label(metres: Column) -> Column:
     return F.when(metres < 950, F.concat(tens, F.lit(" מ׳"))).when(metres.isNotNull(), F.concat(far, F.lit(" ק״מ")))
 
 
-def cell(lat: Column, lng: Column, size_m: float, widest_lat: float) -> tuple[Column, Column]:
-    """Grid cell of a point; neighbouring cells hold all within size_m, up to the widest latitude."""
-    return F.floor(lat / (size_m / DEGREE_M)), F.floor(lng / (size_m / DEGREE_M / math.cos(math.radians(widest_lat))))
+def cubes(lat: Column, lng: Column, size_m: float) -> tuple[Column, Column, Column]:
+    """Cell of a point in a grid of cubes round the spheroid's centre: points within size_m on the ground are in the same or in neighbouring cubes."""
+    phi, e2 = F.radians(lat), FLATTENING * (2 - FLATTENING)
+    n = AXIS / F.sqrt(1 - e2 * F.pow(F.sin(phi), 2))
+    at = (n * F.cos(phi) * F.cos(F.radians(lng)), n * F.cos(phi) * F.sin(F.radians(lng)), n * (1 - e2) * F.sin(phi))
+    side = 1.01 * size_m  # the first-order distance may be short by a little
+    return tuple(F.floor(v / side) for v in at)
 
 
 def map_cell(lat: Column, lng: Column, zoom: int, radius_px: int = 46, tile_px: int = 512) -> tuple[Column, Column]:
@@ -145,3 +149,21 @@ def centroid(points: Column) -> Column:
 def westernmost(paths: Column) -> Column:
     """The outline whose centroid lies furthest west."""
     return F.array_min(F.transform(paths, lambda p: F.struct(centroid(p)["x"].alias("at"), p.alias("path"))))["path"]
+
+
+def outline_checks(shapes: DataFrame, shape_col: str = "d") -> DataFrame:
+    """(check, ok): whether the country's drawn districts are eight, absolute, closed and on the canvas, with Judea and Samaria and without Gaza."""
+    d, o = F.col(shape_col), OUTLINE
+    pairs = F.transform(F.regexp_extract_all(d, F.lit(r"[ML] (-?[\d.]+,-?[\d.]+)"), F.lit(1)), lambda p: F.split(p, ","))
+    points = F.transform(pairs, lambda p: F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y")))
+    found = shapes.select(d.alias("d"), points.alias("points")).withColumn("c", centroid(F.col("points")))
+    lng = o["lng_lo"] + F.col("c.x") / o["width"] * (o["lng_hi"] - o["lng_lo"])
+    lat = o["lat_hi"] - F.col("c.y") / o["height"] * (o["lat_hi"] - o["lat_lo"])
+    inside = F.forall("points", lambda p: p["x"].between(0.0, o["width"]) & p["y"].between(0.0, o["height"]))
+    absolute = F.col("d").startswith("M ") & ~F.regexp_like("d", F.lit("[mlhvcsqtaz] "))
+    checks = {
+        "eight": F.count("*") == 8, "absolute": F.bool_and(absolute), "closed": F.bool_and(F.col("d").endswith(" Z")), "inside": F.bool_and(inside),
+        "judea_and_samaria": F.bool_or((lng > 35.0) & (lng < 35.5) & (lat > 31.7) & (lat < 32.3)), "no_gaza": ~F.bool_or((lng < 34.6) & (lat > 31.2) & (lat < 31.6)),
+    }
+    wide = found.agg(*[F.coalesce(v, F.lit(False)).alias(k) for k, v in checks.items()])
+    return wide.select(F.explode(F.create_map(*[x for k in checks for x in (F.lit(k), F.col(k))])).alias("check", "ok"))

@@ -21,7 +21,7 @@ def cells(rows: DataFrame) -> DataFrame:
 
 def occurrences(rows: DataFrame) -> DataFrame:
     """(text, occurrences, n): each distinct text with where it stands, in order."""
-    at = F.sort_array(F.collect_list(F.struct(F.col("row"), F.col("field").alias("benefit"), F.col("reported_at"))))
+    at = F.sort_array(F.collect_list(F.struct(F.col("row"), F.col("field").alias("benefit"), F.col("reported_at"))))  # what a record carries as its sources
     return cells(rows).groupBy("text").agg(at.alias("occurrences"), F.count("*").alias("n"))
 
 
@@ -58,3 +58,8 @@ def missing_from_cache(found: DataFrame, cache: DataFrame, version: str, model:
     """Texts whose answer the cache (cache_key, places) doesn't hold."""
     keyed = found.withColumn("cache_key", text.cache_key(version, model, F.col("text")))
     return keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
+
+
+def from_cache(found: DataFrame, cache: DataFrame, version: str, model: str) -> DataFrame:
+    """found with the places that the cache (cache_key, places) has for each text; the others are `missing_from_cache`."""
+    return found.withColumn("cache_key", text.cache_key(version, model, F.col("text"))).join(cache.select("cache_key", "places"), "cache_key")

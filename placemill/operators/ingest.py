@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -207,6 +208,29 @@ def town_pins(places: DataFrame, towns: DataFrame, exact: DataFrame | None = Non
     return pinned.select("id", F.coalesce("e_lat", "spot.lat").alias("lat"), F.coalesce("e_lng", "spot.lng").alias("lng"), F.when(F.col("e_lat").isNotNull(), "exact").otherwise("town").alias("location_precision"))
 
 
+def unresolved_towns(places: DataFrame, towns: DataFrame, exact: DataFrame | None = None) -> DataFrame:
+    """(city, n): towns that would have pinned places but have no centre."""
+    due = places.filter((F.col("status") == "published") & F.col("lat").isNull() & ~F.col("is_chain") & ~F.col("is_online")).select("id", "city")
+    due = due if exact is None else due.join(exact.select("id"), "id", "left_anti")
+    return due.join(towns.select(F.col("town").alias("city")), "city", "left_anti").groupBy("city").agg(F.count("*").alias("n"))
+
+
+def with_pins(places: DataFrame, pins: DataFrame) -> DataFrame:
+    """places with the points of `town_pins`, whose pins aren't missing any more; refused as a whole if one of them lies outside the country."""
+    outside = pins.filter((F.col("location_precision") == "town") & ~geo.in_bounds(F.col("lat"), F.col("lng"), geo.TOWN_BOUNDS)).limit(1).collect()
+    if outside:
+        raise ValueError(f"place {outside[0]['id']} would be pinned outside the country")
+    new = pins.select("id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.col("location_precision").alias("_precision"))
+    take = {"lat": F.coalesce("_lat", "lat"), "lng": F.coalesce("_lng", "lng"), "location_precision": F.coalesce("_precision", "location_precision"), "pin_unavailable": F.when(F.col("_lat").isNotNull(), False).otherwise(F.col("pin_unavailable"))}
+    return places.join(new, "id", "left").select(*[take.get(c, F.col(c)).alias(c) for c in places.columns])
+
+
+def not_among(found: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of found whose source_key, or name where they have none, no row of places has."""
+    key = F.coalesce(F.nullif("source_key", F.lit("")), F.col("name_he"))
+    return found.withColumn("_key", key).join(places.select(key.alias("_key")).distinct(), "_key", "left_anti").drop("_key")
+
+
 def submission_errors() -> dict[str, Column]:
     c = F.col
     return {
@@ -234,6 +258,35 @@ def submission_outcomes(submissions: DataFrame, places: DataFrame) -> DataFrame:
     return out.select("submission", F.when(F.col("place").isNull(), "published").otherwise("confirmed_existing").alias("outcome"), "place")
 
 
+def submission_effects(submissions: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(places with widened benefits (id, two flags), reports to add, places to add) of submissions (submission, provider_ref, name_he, lat, lng, category, two flags, note_he).
+
+    A known place gets a confirmation, and the benefits that it lacked; a new one is published with a report of its submission.
+    """
+    flags = ["benefit_fighter_card", "benefit_vacation_voucher"]
+    judged = submission_outcomes(submissions, places).join(submissions, "submission")
+    known = judged.filter("outcome = 'confirmed_existing'")
+    said = known.groupBy(F.col("place").alias("id")).agg(*[F.bool_or(F.coalesce(F.col(f), F.lit(False))).alias(f"_{f}") for f in flags])
+    widened = places.select("id", *flags).join(said, "id").filter(" OR ".join(f"(_{f} AND NOT {f})" for f in flags))
+    widened = widened.select("id", *[(F.col(f) | F.col(f"_{f}")).alias(f) for f in flags])
+    benefit = F.when(F.col("benefit_fighter_card"), "fighter_card").otherwise("vacation_voucher")
+    kind = F.when(F.col("outcome") == "confirmed_existing", "confirm").otherwise("new_submission")
+    added = judged.select("submission", F.col("place").alias("place_id"), kind.alias("kind"), benefit.alias("benefit_type"), F.col("note_he").alias("note"))
+    fresh = judged.filter("outcome = 'published'").select("submission", "provider_ref", "name_he", "lat", "lng", "category", *flags, "note_he", F.lit("published").alias("status"), F.lit("user_submission").alias("source"))
+    return widened, added, fresh
+
+
+def column_contract(**frames: DataFrame) -> list[tuple[str, int, str | None, str | None]]:
+    """(frame, position, expected, found) wherever a frame's columns differ, in number or order, from those of the first."""
+    (_, first), *rest = frames.items()
+    out = []
+    for name, frame in rest:
+        for k, (a, b) in enumerate(zip_longest(first.columns, frame.columns)):
+            if a != b:
+                out.append((name, k, a, b))
+    return out
+
+
 def seed_rows(rows: DataFrame) -> DataFrame:
     """Self-reported rows: published where they have a point or are online, else pending."""
     ready = (F.col("lat").isNotNull() & F.col("lng").isNotNull()) | F.col("is_online")

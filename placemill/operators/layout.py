@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,19 +35,52 @@ def bucket(value: Column, edges: Column) -> Column:
     return F.when((below > 0) & (below < F.size(edges)), below - 1)
 
 
+def column_bounds(verticals: DataFrame, widths: DataFrame, margin: float = 40.0, columns: int = 4) -> DataFrame:
+    """(page, slot, low, high) of the leftmost columns between ruled lines (page, position), of pages (page, width) that have as many lines before the margin notes; other pages have none."""
+    inside = verticals.join(widths, "page").filter(F.col("position") < F.col("width") - margin)
+    ranked = inside.withColumns({"_n": F.row_number().over(Window.partitionBy("page").orderBy("position")), "_all": F.count("*").over(Window.partitionBy("page"))})
+    return bounds(ranked.filter((F.col("_n") <= columns + 1) & (F.col("_all") > columns)).select("page", "position"), ["page"])
+
+
+def row_bounds(horizontals: DataFrame, baselines: DataFrame) -> DataFrame:
+    """(page, slot, low, high) between ruled lines (page, position) where a page has three of them; else cuts midway between the lines of text (page, position)."""
+    ruled = horizontals.withColumn("_n", F.count("*").over(Window.partitionBy("page"))).filter("_n >= 3").select("page", "position")
+    order = Window.partitionBy("page").orderBy("position")
+    ahead, first = F.lead("position").over(order), F.lag("position").over(order).isNull()
+    drawn = baselines.join(ruled.select("page").distinct(), "page", "left_anti").withColumns({"_next": ahead, "_first": first})
+    below = F.when(F.col("_next").isNull(), F.col("position") + 12.0).otherwise((F.col("position") + F.col("_next")) / 2)
+    cuts = drawn.select("page", F.explode(F.when(F.col("_first"), F.array(F.col("position") - 6.0, below)).otherwise(F.array(below))).alias("position"))
+    return bounds(ruled.unionByName(cuts), ["page"])
+
+
 def runs(chars: DataFrame) -> DataFrame:
-    """(page, run, text, x0, x1, top, bottom): characters that were drawn one after the other, as one run in reading order.
+    """(page, run, text, x0, x1, top, bottom): characters that were drawn one after the other, as one run in reading order; runs of blanks are left out.
 
-    chars has page, seq, text, x0, x1, top and bottom.  A run goes on while a character begins where the last one ended and stays on the line.
+    chars has page, seq, text, x0, x1, top and bottom.  A run goes on while a character begins where the run so far ends (its largest x1) and lies on the
+    line of its first one.  Pages are read as streams in the order of their characters, with one run's numbers as all that is held.
     """
-    order = Window.partitionBy("page").orderBy("seq")
-    jump = (F.abs(F.col("x0") - F.lag("x1").over(order)) > RUN_GAP) | (F.abs(F.col("top") - F.lag("top").over(order)) > RUN_DRIFT)
-    begins = chars.withColumn("_begins", F.coalesce(jump.cast("int"), F.lit(1)))
-    numbered = begins.withColumn("run", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, run, top, end = None, 0, 0.0, 0.0
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["page"] != page:
+                    page, run, going = r["page"], 0, False
+                else:
+                    going = abs(r["x0"] - end) <= RUN_GAP and abs(r["top"] - top) <= RUN_DRIFT
+                run, top, end = (run, top, max(end, r["x1"])) if going else (run + 1, r["top"], r["x1"])
+                out.append(run)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "run"])
+
+    own = chars.select(F.col("page").cast("long").alias("page"), F.col("seq").cast("long").alias("seq"), "text", *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "top", "bottom")])
+    schema = "page long, seq long, text string, x0 double, x1 double, top double, bottom double, run long"
+    numbered = own.repartition("page").sortWithinPartitions("page", "seq").mapInArrow(number, schema)
     letters = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda c: c["text"]), "")
-    out = numbered.groupBy("page", "run").agg(letters.alias("drawn"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
-    words = F.filter(F.split("drawn", r"\s+"), lambda w: w != "")
-    return out.withColumn("text", text.order_run(words)).drop("drawn")
+    first = lambda c: F.min_by(c, "seq").alias(c)
+    out = numbered.groupBy("page", "run").agg(letters.alias("drawn"), first("x0"), F.max("x1").alias("x1"), first("top"), F.max("bottom").alias("bottom"))
+    out = out.withColumn("_words", F.filter(F.split("drawn", r"\s+"), lambda w: w != "")).filter(F.size("_words") > 0)
+    return out.withColumn("text", text.order_run(F.col("_words"))).drop("drawn", "_words")
 
 
 def cells(found: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:

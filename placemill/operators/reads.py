@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placemill.functions import geo, text
+from placemill.functions import dates, geo, text
 from placemill.functions.similarity import name_similarity
 
 VISIBLE = ["published", "reported_not_working"]
@@ -162,18 +162,19 @@ def map_clusters(places: DataFrame, zoom: int, max_zoom: int = 13) -> DataFrame:
     return shown.groupBy(*cells).agg(n.alias("n"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.when(n < 10, 0).when(n < 100, 1).otherwise(2).alias("step"))
 
 
-def near_matches(probes: DataFrame, places: DataFrame, radius_m: float = 75, least: float = 0.9, widest_lat: float = 60.0) -> DataFrame:
+def near_matches(probes: DataFrame, places: DataFrame, radius_m: float = 75, least: float = 0.9) -> DataFrame:
     """For each probe (probe_id, lat, lng, name) the place in the radius whose name is most like it, if that is more than `least`.
 
-    An equi-join on grid cells, with the nine cells round each probe, finds the candidates; distance and name are compared on those.
+    An equi-join on cells of a grid in space finds the candidates, with the cells round each probe; distance and name are compared on those.  The grid is
+    cubes round the earth's centre, so poles and the date line are places like others.
     """
-    x, y = geo.cell(F.col("lat"), F.col("lng"), radius_m, widest_lat)
-    side = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
-    asked = probes.select("probe_id", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), F.col("name").alias("p_name"), x.alias("x"), y.alias("y"))
-    asked = asked.withColumn("x", F.explode(F.transform(side, lambda k: F.col("x") + k))).withColumn("y", F.explode(F.transform(side, lambda k: F.col("y") + k)))
-    there = places.filter(visible() & has_point()).select("id", "name_he", "lat", "lng", x.alias("x"), y.alias("y"))
+    cells = geo.cubes(F.col("lat"), F.col("lng"), radius_m)
+    asked = probes.select("probe_id", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), F.col("name").alias("p_name"), *[c.alias(n) for n, c in zip("xyz", cells, strict=True)])
+    for n in "xyz":
+        asked = asked.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
+    there = places.filter(visible() & has_point()).select("id", "name_he", "lat", "lng", *[c.alias(n) for n, c in zip("xyz", cells, strict=True)])
     distance = geo.geodesic_m(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))
-    near = asked.join(there, ["x", "y"]).withColumn("distance_m", distance).filter(F.col("distance_m") <= radius_m)
+    near = asked.join(there, ["x", "y", "z"]).withColumn("distance_m", distance).filter(F.col("distance_m") <= radius_m)
     scored = near.withColumn("name_similarity", name_similarity(F.col("name_he"), F.col("p_name"))).filter(F.col("name_similarity") > least)
     best = F.min_by(F.struct("id", "name_he", "name_similarity", "distance_m"), F.struct(-F.col("name_similarity"), "distance_m", "id"))
     return scored.groupBy("probe_id").agg(best.alias("best")).select("probe_id", "best.*")
@@ -185,6 +186,52 @@ def row_rail() -> Column:
     return F.when(F.col("status") == "reported_not_working", "dead").when(both, "both").when(F.col("benefit_vacation_voucher"), "voucher").otherwise("fighter")
 
 
+def icon_kind() -> Column:
+    """Which pin the map draws: dead, or its benefits, with a mark where one submitter's word is all there is."""
+    kind = F.when(F.col("benefit_fighter_card") & F.col("benefit_vacation_voucher"), "both").when(F.col("benefit_vacation_voucher"), "voucher").otherwise("fighter")
+    return F.when(F.col("status") == "reported_not_working", "dead").otherwise(F.concat(kind, F.when(dates.is_single_source(F.col("source"), F.col("confirm_count")), "-new").otherwise("")))
+
+
+def radius_of(metres: Column) -> Column:
+    """`clamp_radius` of a column."""
+    return F.when(metres.isNull() | F.isnan(metres), 25_000.0).otherwise(F.least(F.lit(200_000.0), F.greatest(F.lit(100.0), F.bround(metres))))
+
+
+def limit_of(limit: Column, query: Column) -> Column:
+    """`search_limit` of columns."""
+    return F.when(F.length(F.trim(query)) < 2, 0).otherwise(F.least(F.lit(20), F.greatest(F.lit(1), F.coalesce(limit, F.lit(8)))))
+
+
+def public_view(places: DataFrame) -> DataFrame:
+    """What anyone may select: visible places, the public columns."""
+    return place_view(places.filter(visible()))
+
+
+def public_reports(reports: DataFrame) -> DataFrame:
+    """What anyone may select of the reports: nothing, since they tell who reported."""
+    return reports.drop("reporter", "ip_hash").filter(F.lit(False))
+
+
+def fallback_places(rows: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """The importer's own rows as places, for when there is no database: published, at doorways, without reports; rows without a reference are named by their place."""
+    none = F.lit(None)
+    fixed = {
+        "id": F.coalesce("provider_ref", F.concat(F.lit("local-"), F.col(ord_col).cast("string"))), "status": F.lit("published"), "location_precision": F.lit("exact"), "source": F.lit("pdf_import"),
+        "confirm_count": F.lit(0), "report_count": F.lit(0), "last_confirmed_at": none.cast("timestamp"), "distance_m": none.cast("double"),
+    }
+    return rows.withColumns(fixed | {c: none.cast("double") for c in ("lat", "lng") if c not in rows.columns}).drop(ord_col)
+
+
+def top_towns(places: DataFrame, n: int = 6) -> DataFrame:
+    """The n towns of the most places; of equal counts by name."""
+    return places.filter(F.col("city") != "").groupBy("city").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "city").limit(n)
+
+
+def spot_check(rows: DataFrame, n: int = 10, seed: int = 11, id_col: str = "id") -> DataFrame:
+    """n rows to look at by hand, the same ones in every run: those of the least seeded hash of the id."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(n)
+
+
 def geojson(places: DataFrame) -> DataFrame:
     """(id, feature): a GeoJSON feature for each place with a point."""
     properties = F.struct("id", F.col("name_he").alias("name"), "category", row_rail().alias("rail"))

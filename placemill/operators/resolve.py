@@ -230,3 +230,13 @@ def refreshed_review(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def retryable(review: DataFrame) -> DataFrame:
     return review.filter(F.col("review_reason").isin(*RETRYABLE) & (F.col("kind") == "single_location"))
+
+
+def published_order(merged: DataFrame) -> DataFrame:
+    """The records to publish as they are written: by kind and name."""
+    return merged.orderBy("kind", "name_he", "id")
+
+
+def review_order(merged: DataFrame) -> DataFrame:
+    """The records for review, the least sure first."""
+    return merged.orderBy("confidence", "id")

@@ -55,17 +55,58 @@ def trailing_failures(reports: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     return failed.withColumn("failures", F.size(F.collect_set("reporter").over(own))).drop("_at")
 
 
+def running_failures(reports: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """(place_id, at, id, vouch, vouches, failures) of each report in the order (at, id): a place's distinct vouchers so far, and the distinct reporters of its failures in the last `days`.
+
+    A reporter's failure counts until it is `days` old, so a period begins with a failure that none of the same reporter comes before in time, and
+    ends with one that none follows in time: sums of beginnings and endings, without sets of reporters.
+    """
+    span = days * 86_400_000_000
+    rows = reports.select("place_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), F.col("id").cast("long").alias("id"), is_vouch().alias("vouch"), (F.col("kind") == "not_working").alias("failure"), "reporter")
+    own = Window.partitionBy("place_id", "reporter", "vouch", "failure").orderBy("at", "id")
+    rows = rows.filter("vouch OR failure").withColumns({"n": F.row_number().over(own), "before": F.lag("at").over(own), "after": F.lead("at").over(own)})
+    begins = F.col("failure") & (F.col("before").isNull() | (F.col("before") <= F.col("at") - span))
+    ends = F.col("failure") & (F.col("after").isNull() | (F.col("after") >= F.col("at") + span))
+    row = F.struct("at", F.lit(1).alias("side"), "id", "vouch", (F.col("vouch") & (F.col("n") == 1)).cast("int").alias("more"), begins.cast("int").alias("open"))
+    end = F.struct((F.col("at") + span).alias("at"), F.lit(0).alias("side"), "id", F.lit(None).cast("boolean").alias("vouch"), F.lit(0).alias("more"), F.lit(-1).alias("open"))
+    events = rows.select("place_id", F.inline(F.when(ends, F.array(row, end)).otherwise(F.array(row))))
+    place = Window.partitionBy("place_id").orderBy("at", "side", "id").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumns({"vouches": F.sum("more").over(place), "failures": F.sum("open").over(place)})
+    return events.filter("side = 1").select("place_id", "at", "id", "vouch", "vouches", "failures")
+
+
 def trust_state(places: DataFrame, reports: DataFrame, days: int = WINDOW_DAYS, moderation: DataFrame | None = None) -> DataFrame:
-    """(id, status, confirm_count, report_count, last_confirmed_at) after all reports: one ordered fold per place, in the JVM.
+    """(id, status, confirm_count, report_count, last_confirmed_at) after all reports, from running counts: windows and one row a place.
 
     Vouches publish a pending place at TO_PUBLISH reporters.  Failures flag a published one at TO_FLAG, or at TO_FLAG_SINGLE where it stands on one
     submitter's word before the event; a flag is never taken back by reports.  report_count is that of the last failure.
-    moderation (id, place_id, action approve/reject/restore, created_at) joins the same order; restore closes open failures.
+    moderation (id, place_id, action approve/reject/restore/locate, created_at) joins the same order; restore closes open failures.
     """
-    events = reports.select("place_id", F.struct(F.col("created_at").cast("timestamp").alias("at"), F.col("id").cast("long").alias("id"), F.col("kind").alias("kind"), F.col("reporter").cast("string").alias("who")).alias("e"))
     if moderation is not None:
-        acts = moderation.select("place_id", F.struct(F.col("created_at").cast("timestamp").alias("at"), F.col("id").cast("long").alias("id"), F.col("action").alias("kind"), F.lit(None).cast("string").alias("who")).alias("e"))
-        events = events.unionByName(acts)
+        return _folded(places, reports, days, moderation)
+    c = F.col
+    zero = lambda n: (F.coalesce(c(n), F.lit(0)) if n in places.columns else F.lit(0)).cast("int")
+    most = lambda k: F.max(F.when(~c("vouch") & k, c("failures")))
+    counts = running_failures(reports, days).groupBy("place_id").agg(
+        most(c("vouches") == 0).alias("alone"), most(c("vouches") == 1).alias("one"), most(c("vouches") > 1).alias("more"), F.max("vouches").alias("n"),
+        F.max(F.when(c("vouch"), c("at"))).alias("confirmed"), F.max_by(F.when(~c("vouch"), c("failures")), F.when(~c("vouch"), F.struct("at", "id"))).alias("last"),
+    )
+    known = places.join(counts, places["id"] == counts["place_id"], "left")
+    submitted = c("source") == "user_submission"
+    few = F.when(submitted & (zero("confirm_count") <= 1), TO_FLAG_SINGLE).otherwise(TO_FLAG)  # before the first vouch the count that a place came with decides
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    early = yes(c("alone") >= few) | yes(c("one") >= F.when(submitted, TO_FLAG_SINGLE).otherwise(TO_FLAG))
+    hit = ((c("status") == "published") & early) | (c("status").isin("published", "pending") & yes(c("more") >= TO_FLAG))
+    status = F.when(hit, "reported_not_working").when((c("status") == "pending") & (c("n") >= TO_PUBLISH), "published").otherwise(c("status"))
+    confirms = F.when(c("n") > 0, c("n").cast("int")).otherwise(zero("confirm_count"))
+    return known.select("id", status.alias("status"), confirms.alias("confirm_count"), F.coalesce(c("last").cast("int"), zero("report_count")).alias("report_count"), F.timestamp_micros("confirmed").alias("last_confirmed_at"))
+
+
+def _folded(places: DataFrame, reports: DataFrame, days: int, moderation: DataFrame) -> DataFrame:
+    """`trust_state` as one ordered fold per place, which acts of moderators need: they break into the order."""
+    events = reports.select("place_id", F.struct(F.col("created_at").cast("timestamp").alias("at"), F.col("id").cast("long").alias("id"), F.col("kind").alias("kind"), F.col("reporter").cast("string").alias("who")).alias("e"))
+    acts = moderation.select("place_id", F.struct(F.col("created_at").cast("timestamp").alias("at"), F.col("id").cast("long").alias("id"), F.col("action").alias("kind"), F.lit(None).cast("string").alias("who")).alias("e"))
+    events = events.unionByName(acts)
     logs = events.groupBy("place_id").agg(F.sort_array(F.collect_list("e")).alias("log"))
     zero = lambda c: (F.coalesce(F.col(c), F.lit(0)) if c in places.columns else F.lit(0)).cast("int")
     start = F.struct(
@@ -87,7 +128,7 @@ def trust_state(places: DataFrame, reports: DataFrame, days: int = WINDOW_DAYS,
         none = F.array().cast("array<struct<who:string,at:timestamp>>")
         return (
             F.when(e["kind"].isin(*VOUCHES), vouched).when(e["kind"] == "not_working", flagged)
-            .when(e["kind"] == "approve", keep(status=F.lit("published"))).when(e["kind"] == "reject", keep(status=F.lit("rejected")))
+            .when(e["kind"].isin("approve", "locate"), keep(status=F.lit("published"))).when(e["kind"] == "reject", keep(status=F.lit("rejected")))
             .when(e["kind"] == "restore", keep(status=F.lit("published"), failed=none, reports=F.lit(0))).otherwise(s)
         )
 
@@ -96,6 +137,26 @@ def trust_state(places: DataFrame, reports: DataFrame, days: int = WINDOW_DAYS,
     return joined.select("id", out.alias("s")).select("id", "s.status", F.col("s.confirms").alias("confirm_count"), F.col("s.reports").alias("report_count"), F.col("s.confirmed").alias("last_confirmed_at"))
 
 
+def edited(places: DataFrame, moderation: DataFrame) -> DataFrame:
+    """places with what moderators changed: of each field the last act that sets it wins.
+
+    moderation has id, place_id, action, created_at and any of provider_ref, lat, lng, address_he, city, name_he, category.  `locate` puts a place at a
+    doorway: the point is exact and no longer missing, and the address and the town are the act's, also where it has none.
+    """
+    fields = [f for f in ("provider_ref", "lat", "lng", "address_he", "city", "name_he", "category") if f in moderation.columns and f in places.columns]
+    order, located = F.struct("created_at", "id"), F.col("action") == "locate"
+    sets = lambda f: (located if f in ("provider_ref", "lat", "lng", "address_he") else located & F.lit(f == "city")) | ((F.col("action") == "edit") & F.col(f).isNotNull())
+    acts = moderation.filter(F.col("action").isin("locate", "edit")).groupBy("place_id").agg(
+        *[F.max_by(F.when(sets(f), F.struct(F.col(f).alias("v"))), F.when(sets(f), order)).alias(f"_{f}") for f in fields], F.bool_or(located).alias("_located")
+    )
+    joined = places.join(acts, places["id"] == acts["place_id"], "left")
+    found = F.coalesce("_located", F.lit(False))
+    new = {f: F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}")["v"]).otherwise(F.col(f)) for f in fields}
+    new |= {"location_precision": F.when(found, "exact").otherwise(F.col("location_precision"))} if "location_precision" in places.columns else {}
+    new |= {"pin_unavailable": F.when(found, False).otherwise(F.col("pin_unavailable"))} if "pin_unavailable" in places.columns else {}
+    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in places.columns])
+
+
 def badges(places: DataFrame, as_of: str) -> DataFrame:
     """(id, unverified, single_source, fresh, stale, badge): the badge is the gravest that applies."""
     at, now = F.col("last_confirmed_at"), F.lit(as_of).cast("timestamp")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from placemill.functions import dates
 from placemill.operators.reads import CATEGORIES
@@ -19,16 +20,20 @@ KINDS = ["single_location", "chain", "online_only", "unclear"]
 
 
 def sheet_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(row, reported_at, field, text) of a sheet (date, ignored, voucher, fighter) with a header; rows of under four columns and blank cells go."""
-    lines = spark.read.option("header", False).option("multiLine", True).option("escape", '"').csv(path)
-    found = lines.toDF(*[f"c{k}" for k in range(len(lines.columns))])
-    if len(found.columns) < 4:
-        raise ValueError("the sheet needs four columns")
-    numbered = found.withColumn("row", F.monotonically_increasing_id() + 1)
-    body = numbered.filter("row > 1 AND c3 IS NOT NULL OR row > 1 AND c2 IS NOT NULL")
+    """(row, reported_at, field, text) of sheets (date, ignored, voucher, fighter) that each have a header; rows of under four columns and blank cells go.
+
+    Rows are numbered as one sheet in the order of the files, the header of the first being row 1; a file is read whole by one task, since its cells may hold line breaks.
+    """
+    schema = "c0 string, c1 string, c2 string, c3 string, _corrupt_record string"
+    lines = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
+    placed = lines.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    numbered = placed.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("at")))
+    counts = numbered.groupBy("file").agg(F.max("n").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    body = numbered.join(F.broadcast(counts.select("file", before.alias("before"))), "file")  # one row a file
+    body = body.withColumn("row", F.col("before") + F.col("n") + 1).filter("_corrupt_record IS NULL OR c3 IS NOT NULL")
     fields = F.inline(F.array(F.struct(F.lit("vacation_voucher").alias("field"), F.col("c2").alias("text")), F.struct(F.lit("fighter_card").alias("field"), F.col("c3").alias("text"))))
-    cells = body.select("row", dates.parse_stamp(F.regexp_replace("c0", "^﻿", "")).alias("reported_at"), fields)
-    return cells.withColumn("text", F.trim("text")).filter("text <> ''")
+    return body.select("row", dates.parse_stamp(F.col("c0")).alias("reported_at"), fields).withColumn("text", F.trim("text")).filter("text <> ''")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
