@@ -28,7 +28,7 @@ def num(value) -> Column:
 def haversine_km(lat1, lng1, lat2, lng2) -> Column:
     a, b, c, d = (F.radians(num(x)) for x in (lat1, lng1, lat2, lng2))
     h = F.pow(F.sin((c - a) / 2), 2) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(h > 1.0, 1.0).otherwise(h)))  # null if a point is
 
 
 def geodesic_m(lat1, lng1, lat2, lng2) -> Column:

@@ -16,6 +16,8 @@ VOUCHES = ["confirm", "new_submission"]
 # Fixed values.
 WINDOW_DAYS, TO_PUBLISH, TO_FLAG, TO_FLAG_SINGLE = 60, 2, 3, 1
 RATE_LIMIT, RATE_SECONDS = 5, 3600
+#: What an act of locating sets, and what an edit may set.
+LOCATES, EDITS = ["provider_ref", "lat", "lng", "address_he", "city"], ["city", "name_he", "category", "benefit_fighter_card", "benefit_vacation_voucher", "note_he"]
 
 
 def is_vouch() -> Column:
@@ -143,9 +145,9 @@ def edited(places: DataFrame, moderation: DataFrame) -> DataFrame:
     moderation has id, place_id, action, created_at and any of provider_ref, lat, lng, address_he, city, name_he, category.  `locate` puts a place at a
     doorway: the point is exact and no longer missing, and the address and the town are the act's, also where it has none.
     """
-    fields = [f for f in ("provider_ref", "lat", "lng", "address_he", "city", "name_he", "category") if f in moderation.columns and f in places.columns]
+    fields = [f for f in LOCATES + EDITS[1:] if f in moderation.columns and f in places.columns]
     order, located = F.struct("created_at", "id"), F.col("action") == "locate"
-    sets = lambda f: (located if f in ("provider_ref", "lat", "lng", "address_he") else located & F.lit(f == "city")) | ((F.col("action") == "edit") & F.col(f).isNotNull())
+    sets = lambda f: (located & F.lit(f in LOCATES)) | ((F.col("action") == "edit") & F.lit(f in EDITS) & F.col(f).isNotNull())
     acts = moderation.filter(F.col("action").isin("locate", "edit")).groupBy("place_id").agg(
         *[F.max_by(F.when(sets(f), F.struct(F.col(f).alias("v"))), F.when(sets(f), order)).alias(f"_{f}") for f in fields], F.bool_or(located).alias("_located")
     )

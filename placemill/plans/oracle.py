@@ -42,7 +42,7 @@ def word_similarities(pairs: str, name: str = "near_words") -> str:
 GENERIC = "('hotel', 'cafe', 'coffee', 'restaurant', 'bar', 'pizza', 'burger', 'the', 'and', 'of', '')"
 CORE = f"array_to_string(list_filter(string_split({{0}}, ' '), lambda w: w NOT IN {GENERIC}), ' ')"
 SKELETON = "trim(regexp_replace(lower(regexp_replace({0}, '[aeiou]|[^a-zA-Z0-9 ]', '', 'g')), ' +', ' ', 'g'))"
-HAVERSINE = "2 * 6371::DOUBLE * asin(sqrt(least(pow(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin((radians({3}) - radians({1})) / 2), 2), 1::DOUBLE)))"
+HAVERSINE = "2 * 6371::DOUBLE * asin(sqrt(pow(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin((radians({3}) - radians({1})) / 2), 2)))"
 
 
 def located(with_places: str, asked: str, medians: str) -> str:

@@ -44,7 +44,7 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
 
 def read_answers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(valid places by index, (line, why) of what isn't) of a JSON Lines file of answers."""
-    lines = spark.read.schema(ANSWERS).json(path)
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", ANSWERS, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("a")).select("a.*")
     broken = lines.filter("_corrupt_record IS NOT NULL").select(F.col("_corrupt_record").alias("line"), F.lit("not JSON of this shape").alias("why"))
     places = lines.filter("_corrupt_record IS NULL").select("index", F.explode("places").alias("p"))
     p = F.col("p")

@@ -288,25 +288,107 @@ def test_layout(spark):
     assert sorted(r["text"] for r in layout.runs(chars).collect()) == ["ab c", "d"]
 
 
-def test_every_query_runs(spark):
-    from placemill.plans import catalogue
+TABLES = ["part", "events", "supplier", "customer", "orders", "documents", "lineitem", "nation", "region", "pages", "conversations"]
 
-    assert set(catalogue.oracle_sql()) <= set(catalogue.queries()) and len(catalogue.queries()) > 60
 
+def _catalogue():
+    from placemill.plans import catalogue, more  # noqa: F401
 
-@pytest.mark.parametrize("name", ["near_places", "trust_state", "cell_diff", "town_pins", "upsert_merge", "trailing_failures", "parse_links", "freshness_badges"])
-def test_queries_match_their_sql(spark, name):
-    import duckdb
+    return catalogue
 
-    from placemill.plans import catalogue
 
-    d = "/root/testdata/sf0.001"
+def test_every_query_has_its_sql():
+    c = _catalogue()
+    assert set(c.oracle_sql()) == set(c.queries()) and len(c.queries()) > 120
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
     c = duckdb.connect()
-    for t in ("part", "events", "supplier", "customer", "orders", "documents"):
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    df = catalogue.queries()[name](spark, d)
+    for t in TABLES:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(_catalogue().queries()))
+def test_queries_match_their_sql(spark, duck, name):
+    df = _catalogue().queries()[name](spark, "/root/testdata/sf0.001")
     order = sorted(df.columns)
-    want = c.sql(catalogue.oracle_sql()[name])
+    want = duck.sql(_catalogue().oracle_sql()[name])
+    assert sorted(want.columns) == order
     places = [want.columns.index(x) for x in order]
     text = lambda rows: sorted(map(str, rows))
     assert text(tuple(r[x] for x in order) for r in df.collect()) == text(tuple(r[k] for k in places) for r in want.fetchall())
+
+
+def test_locate_ties_go_by_position(spark):
+    none = None
+    pois = [(f"n/{k}", "dan hotel", none, none, none, "x", none, none, none, none, "cafe", 31.5 + (2.0 if k < 11 else 0.0), 35.0, k) for k in range(14)]
+    pois.append(("n/99", "hotel", none, none, none, "x", none, none, "03-1", "u", "cafe", 31.5, 35.0, 99))
+    frame = spark.createDataFrame(pois, "poi string, name string, name_he string, name_en string, brand string, city string, street string, housenumber string, phone string, website string, category string, lat double, lon double, ord long")
+    towns = spark.createDataFrame([("here", 31.5, 35.0)], "key string, lat double, lon double")
+    asked = [(1, "Dan hotel", None), (2, "dan hotel", "Here"), (3, "hotel", "Here"), (4, "dan hotel", "!!"), (5, "hotel dan", ""), (6, "dan", "Here")]
+    got = {r["place"]: r for r in resolve.locate(spark.createDataFrame(asked, "place long, name_he string, city string"), frame, towns).collect()}
+    # the first of the order without a town; of the twelve candidates only the last one is near the town; a town without letters is one that isn't known
+    assert (got[1]["poi"], got[2]["poi"], got[5]["poi"]) == ("n/0", "n/11", "n/0") and got[4]["reason"] == "city_unresolved"
+    assert got[3]["poi"] is None or got[3]["poi"] == "n/99"
+    assert got[2]["provider_ref"] == "osm:n/11" and got[2]["name_osm"] == "dan hotel" and got[6]["reason"] == "no_osm_match"
+
+
+def test_sheets_of_several_files(spark, tmp_path):
+    from placemill.sources import files
+
+    head = "\ufeff\u05ea\u05d0\u05e8\u05d9\u05da,x,v,f\n"
+    (tmp_path / "a.csv").write_text(head + '1/2/2024 10:00:00,,"Two\nlines", \n2/2/2024 10:00:00,,,card\nshort,row,gone\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text(head + "31/2/2024 10:00:00,,late,\n", encoding="utf-8")
+    got = sorted(tuple(r) for r in files.sheet_cells(spark, str(tmp_path)).collect())
+    assert got == sorted([(2, "2024-02-01T10:00:00", "vacation_voucher", "Two\nlines"), (3, "2024-02-02T10:00:00", "fighter_card", "card"), (5, None, "vacation_voucher", "late")])
+
+
+def test_json_files(spark, tmp_path):
+    from placemill.sources import files
+
+    rows = spark.createDataFrame([(2, "b"), (1, "a")], "id long, name string")
+    files.write_json(rows, f"{tmp_path}/out")
+    assert spark.read.json(f"{tmp_path}/out").count() == 2
+    (tmp_path / "array.json").write_text('[{"id": 1}, {"id": 2}]')
+    assert files.read_json(spark, f"{tmp_path}/array.json").count() == 2
+    files.replace_table(rows, f"{tmp_path}/v1", "id")
+    assert [r["id"] for r in spark.read.parquet(f"{tmp_path}/v1").orderBy("id").collect()] == [1, 2]
+    good = '{"name_he": "x", "kind": "chain", "category": "cafe", "confidence": 0.5}'
+    (tmp_path / "answers.jsonl").write_text(f'{{"index": 0, "places": [{good}, {{"name_he": "", "kind": "chain", "category": "cafe", "confidence": 2}}]}}\nnot json\n')
+    valid, wrong = files.read_answers(spark, f"{tmp_path}/answers.jsonl")
+    assert [(r["index"], r["name_he"]) for r in valid.collect()] == [(0, "x")]
+    assert sorted(r["why"] for r in wrong.collect()) == ["name,confidence", "not JSON of this shape"]
+    body = spark.range(1).select(files.parse_answers(F.lit(f'[{{"index": 3, "places": [{good}]}}]')).alias("a"), files.parse_answers(F.lit("no")).alias("b")).first()
+    assert body["a"][0]["index"] == 3 and body["b"] is None
+
+
+def test_pins_outside_the_country_are_refused(spark):
+    own = shops(spark, [(1, "a", None, None, "published")]).withColumns({"location_precision": F.lit("exact"), "pin_unavailable": F.lit(True)})
+    far = spark.createDataFrame([(1, 50.0, 10.0, "town")], "id long, lat double, lng double, location_precision string")
+    with pytest.raises(ValueError, match="outside"):
+        ingest.with_pins(own, far)
+    near = spark.createDataFrame([(1, 31.0, 35.0, "town")], "id long, lat double, lng double, location_precision string")
+    r = ingest.with_pins(own, near).first()
+    assert (r["lat"], r["location_precision"], r["pin_unavailable"]) == (31.0, "town", False)
+
+
+def test_near_matches_at_the_pole_and_the_date_line(spark):
+    own = shops(spark, [(1, "pole", 89.9999, 10.0, "published"), (2, "line", 0.0, 179.9999, "published"), (3, "far", 70.0, 20.0, "published")])
+    probes = spark.createDataFrame([(1, 89.9999, -170.0, "pole"), (2, 0.0, -179.9999, "line"), (3, 70.0, 20.001, "far")], "probe_id long, lat double, lng double, name string")
+    assert {r["probe_id"]: r["id"] for r in reads.near_matches(probes, own).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_window_trust_against_the_fold(spark):
+    import random
+
+    draw = random.Random(5)
+    own = [(k, draw.choice(["user_submission", "pdf_import"]), draw.choice(["pending", "published", "rejected"]), draw.randint(0, 3), draw.randint(0, 3)) for k in range(60)]
+    frame = spark.createDataFrame(own, "id long, source string, status string, confirm_count int, report_count int")
+    rows = events(spark, [(draw.randrange(60), draw.choice(["confirm", "not_working", "not_working", "new_submission"]), draw.choice("abcde"), draw.randint(1, 28)) for _ in range(900)])
+    none = spark.createDataFrame([], "id long, place_id long, action string, created_at timestamp_ntz")
+    a, b = (sorted(tuple(r) for r in trust.trust_state(frame, rows, 5, m).collect()) for m in (None, none))
+    assert a == b
