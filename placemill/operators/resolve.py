@@ -12,12 +12,15 @@ from pyspark.sql.window import Window
 
 from placemill.functions import geo, text
 from placemill.functions.similarity import set_ratio, sort_ratio, token_set_ratio, token_sort_ratio, word_grams
+from placemill.operators.settle import settled
 
 # Fixed values.
 SAME_NAME, MIN_CONFIDENCE = 88, 0.6
 MATCH_CONFIDENCE, MIN_SORT, MIN_CORE, CITY_KM, CANDIDATES, MIN_CITY_POIS = 0.87, 75.0, 80.0, 25.0, 12, 3
 SETTLEMENT_RANK = ["city", "town", "village", "suburb", "neighbourhood", "hamlet"]
 LOCATE_REASONS = ["no_osm_match", "low_match_confidence", "not_located", "not_geocoded", "no_google_result", "city_unresolved"]
+#: Distinct names of a block up to which it is clustered as one stream.
+STREAMED = 5000
 RETRYABLE = ["no_osm_match", "low_match_confidence", "not_located", "not_geocoded"]
 
 
@@ -61,17 +64,71 @@ class _Named:
         return token_sort_ratio(self.he, other.he) >= threshold and token_set_ratio(self.he, other.he) >= threshold
 
 
-def cluster(records: DataFrame, id_col: str = "id", threshold: float = SAME_NAME) -> DataFrame:
+def cluster(records: DataFrame, id_col: str = "id", threshold: float = SAME_NAME, streamed: int = STREAMED) -> DataFrame:
     """(id, block, cluster_id, position): greedy clusters inside blocks, longest name first; each record joins the first cluster whose head is the same place.
 
-    Exact repeats of (alias, English name, name) are compared once.  A block is one city, or all chains; it is read as a stream in
-    the clusters' order and only the heads are held, so a block needs the memory of its distinct places.
+    Exact repeats of (alias, English name, name) are compared once.  A block is one city, or all chains.  Where no block has more than `streamed`
+    distinct names, blocks are read as streams in the clusters' order and only the heads are held.  Larger blocks are clustered by joins: names that share
+    a trigram are compared, and the heads are found in rounds, with the same result.
     """
     canonical = records.select(
         F.col(id_col).alias("id"), block_key(F.col("kind"), F.col("city")).alias("block"), "name_he", F.col("alias"),
         text.canon(F.col("name_en")).alias("_en"), text.canon(F.col("name_he")).alias("_he"), (-F.length("name_he")).alias("_size"),
     )
+    largest = canonical.groupBy("block").agg(F.approx_count_distinct("_he").alias("n")).agg(F.max("n")).first()[0] or 0
+    return _streamed_clusters(canonical, threshold) if largest <= streamed else _joined_clusters(canonical, threshold)
 
+
+def _alike(names: DataFrame, threshold: float) -> DataFrame:
+    """(block, x, y), x < y: the names (block, _he) of a block that are the same place by their letters.
+
+    A pair's letters differ by d = (1 - threshold / 100) of both lengths at most, and each insertion or deletion costs a name three of its trigrams at most; so each name meets
+    others under its rarest trigrams only, one more than it can lose.  Names with fewer trigrams than that meet under all of them.
+    """
+    share = 1 - threshold / 100
+    lost = F.floor(3 * share * (1 + (1 + share) / (1 - share)) * F.length("_he"))
+    grams = names.select("block", "_he", F.explode(word_grams(F.col("_he"))).alias("t"))
+    counted = grams.join(grams.groupBy("block", "t").agg(F.count("*").alias("df")), ["block", "t"])
+    ranked = counted.withColumn("_n", F.row_number().over(Window.partitionBy("block", "_he").orderBy("df", "t"))).filter(F.col("_n") <= lost + 1).select("block", "t", "_he")
+    met = ranked.withColumnRenamed("_he", "x").join(ranked.withColumnRenamed("_he", "y"), ["block", "t"]).filter("x < y").select("block", "x", "y").distinct()
+    near = met.filter(200.0 * F.least(F.length("x"), F.length("y")) >= threshold * (F.length("x") + F.length("y")))
+    texts = near.select("x", "y").distinct().filter(sort_ratio(F.col("x"), F.col("y")) >= threshold).filter(set_ratio(F.col("x"), F.col("y")) >= threshold)
+    return near.join(texts, ["x", "y"]).select("block", "x", "y")
+
+
+def _joined_clusters(canonical: DataFrame, threshold: float) -> DataFrame:
+    """The heads are the names that match no earlier head: in each round those without an undecided earlier match are heads, and what matches them is decided too."""
+    nodes = settled(canonical.groupBy("block", "alias", "_en", "_he").agg(F.min(F.struct("_size", "name_he", "id")).alias("first")).withColumn("node", F.col("first")["id"]))
+    side = lambda n: nodes.select("block", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "first", "alias", "_en", "_he")])
+    a, b = side("a"), side("b")
+    apart = F.col("first_a") < F.col("first_b")
+    both = lambda c: a.join(b, (a["block"] == b["block"]) & (F.col(f"{c}_a") == F.col(f"{c}_b")) & ((F.col(f"{c}_a") != "") | F.lit(c == "_he"))).filter(apart).select("node_a", "node_b")
+    letters = _alike(nodes.select("block", "_he").distinct(), threshold)
+    letters = letters.union(letters.select("block", F.col("y").alias("x"), F.col("x").alias("y"))).toDF("block", "_he_a", "_he_b")
+    spelled = letters.join(a, ["block", "_he_a"]).join(b, ["block", "_he_b"]).filter(apart).select("node_a", "node_b")
+    matches = settled(both("alias").union(both("_en")).union(both("_he")).union(spelled).distinct())
+    edges, open_, heads = matches, nodes.select("node"), None
+    while True:
+        new = settled(open_.join(edges.select(F.col("node_b").alias("node")).distinct(), "node", "left_anti"))
+        heads = new if heads is None else heads.unionByName(new)
+        if edges.isEmpty():
+            break
+        members = edges.join(new, F.col("node_a") == F.col("node")).select(F.col("node_b").alias("node")).distinct()
+        open_ = settled(open_.join(new, "node", "left_anti").join(members, "node", "left_anti"))
+        left = edges.join(open_, F.col("node_a") == F.col("node"), "left_semi")
+        edges = settled(left.join(open_, F.col("node_b") == F.col("node"), "left_semi"))
+    heads = settled(heads.join(nodes, "node").select("block", F.col("node").alias("head"), "first"))
+    joined = matches.join(heads.select(F.col("head").alias("node_a"), "first"), "node_a").groupBy("node_b").agg(F.min(F.struct("first", F.col("node_a").alias("head"))).alias("h"))
+    own = heads.select(F.col("head").alias("node"), "head").unionByName(joined.select(F.col("node_b").alias("node"), F.col("h")["head"].alias("head")).join(heads.select(F.col("head").alias("node")), "node", "left_anti"))
+    numbered = heads.select("head", (F.row_number().over(Window.partitionBy("block").orderBy("first")) - 1).cast("long").alias("cluster_id"))
+    placed = nodes.join(own, "node").join(numbered, "head").select("block", "alias", "_en", "_he", "cluster_id")
+    keys = [canonical[c].eqNullSafe(placed[c]) for c in ("block", "alias", "_en", "_he")]
+    rows = canonical.join(placed, keys[0] & keys[1] & keys[2] & keys[3]).select(canonical["id"], canonical["block"], "cluster_id", "_size", "name_he")
+    position = F.row_number().over(Window.partitionBy("block", "cluster_id").orderBy("_size", "name_he", "id")) - 1
+    return rows.select("id", "block", "cluster_id", position.cast("long").alias("position"))
+
+
+def _streamed_clusters(canonical: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, heads, known = None, [], {}
         for batch in batches:

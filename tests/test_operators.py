@@ -207,6 +207,16 @@ def test_clusters_and_collapse(spark):
         "מלון דן.", "b a", "2024-01-01", "2024-02-01", 2, 0.9, True, True)
 
 
+def test_joined_clusters_are_the_streamed_ones(spark):
+    draw = random.Random(3)
+    words = ["cafe", "coffee", "dan", "danny", "hotel", "hotels", "garden", "gardens", "burger", "burgers", "a"]
+    name = lambda: " ".join(draw.choice(words) for _ in range(draw.randint(1, 3)))
+    rows = [(k, name(), draw.choice(["", "", name()]), draw.choice(["x", "Y"]), draw.choice(["chain", "single_location", "online_only"]), draw.choice([None, None, "brand"])) for k in range(300)]
+    records = spark.createDataFrame(rows, "id long, name_he string, name_en string, city string, kind string, alias string")
+    streamed, joined = (sorted(tuple(r) for r in resolve.cluster(records, streamed=n).collect()) for n in (10_000, 0))
+    assert streamed == joined and len(streamed) == 300
+
+
 def test_locate_guards(spark):
     none = F.lit(None).cast("string")
     pois = spark.createDataFrame([("n1", "מלון הילטון", 32.0, 34.8), ("n2", "מלון הרלינגטון", 32.0, 34.8), ("n3", "גולדה", 32.0, 34.8), ("n4", "גולדה", 31.2, 34.8)], "poi string, name string, lat double, lon double")
