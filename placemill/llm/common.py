@@ -70,14 +70,16 @@ def as_rows(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, dear: bool = False) -> DataFrame:
     """df written to the folder of spark.checkpoint.dir and read again, so that lost executors repeat nothing before it.
 
-    rows: how many there are at most, if the caller knows; few rows are written by few tasks, CUT_ROWS each.
+    rows: how many there are at most, if the caller knows; few rows are written by few tasks, CUT_ROWS each, so that small tables aren't hundreds of
+    files.  dear: what makes the rows is work for many tasks, so that the rows are shuffled to the few.
     """
     shared_folder(df.sparkSession)
     if rows is not None:
-        df = df.coalesce(max(2, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // CUT_ROWS))))
+        parts = max(2, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // CUT_ROWS)))
+        df = df.repartition(parts) if dear else df.coalesce(parts)
     return df.checkpoint(eager=True)
 
 

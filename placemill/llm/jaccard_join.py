@@ -312,8 +312,9 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     often = cut(frequent(rows, size))
-    all_docs = cut(hashes(rows, size))
-    classes = cut(all_docs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
+    n = docs.count()
+    all_docs = cut(hashes(rows, size), n, dear=True)
+    classes = cut(all_docs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), n)
     with Store(spark, "jaccard") as store:
         own = rows.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
         texts = store.put(own, "doc_id")
@@ -324,7 +325,7 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple
         heads = reps.select(F.col("doc_id").alias("doc"), F.explode("heads").alias("t"))
         hubs = store.put(heads.groupBy("t").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"))  # stored, so that Spark can split the join
         near = heads.join(hubs, "t").filter("doc > hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-        near = cut(_verified(cut(_possible(near, reps, percent)), texts, size, percent))
+        near = cut(_verified(cut(_possible(near, reps, percent), HUBS * n, dear=True), texts, size, percent), HUBS * n, dear=True)
         family = near.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("one"))
         up = family.join(family.toDF("one", "two"), "one", "left").select("doc", F.coalesce("two", "one").alias("family"))
         up = up.union(near.select(F.col("a").alias("doc"), F.col("a").alias("family")).distinct()).groupBy("doc").agg(F.min("family").alias("family"))
@@ -335,8 +336,8 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple
         dealt = _blocked(entries, often)
         key = ["t", "ba", "bb"]
         met = _pairs(dealt.withColumn("pos", F.col("pos").cast("long")).repartition(*key).sortWithinPartitions(*key, "n_doc"), percent)
-        found = _verified(cut(_possible(met, reps, percent)), texts, size, percent)
-        linked = cut(near.union(found).distinct())
+        possible = cut(_possible(met, reps, percent))
+        linked = cut(near.union(_verified(possible, texts, size, percent)).distinct(), HUBS * n + possible.count(), dear=True)
     tidy(spark)
     return all_docs, classes, linked
 

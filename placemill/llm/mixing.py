@@ -36,10 +36,11 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most: int) -> DataFr
     one sorted pass instead of repeated resharing.
     """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    at = ranked(sources, [F.col("no_source"), F.col("source")]).withColumn("weight", weight).drop("rank")
+    n = sources.count()
+    at = ranked(sources, [F.col("no_source"), F.col("source")], rows=n).withColumn("weight", weight).drop("rank")
     at = at.withColumn("full_at", most * F.col("source_size") / F.col("weight"))
     order = [F.col("full_at"), F.col("no_source"), F.col("source")]
-    at = cut(ranked(ranked(at, order, F.col("source_size"), "size_to"), order, F.col("weight"), "weight_to"))
+    at = cut(ranked(ranked(at, order, F.col("source_size"), "size_to", rows=n), order, F.col("weight"), "weight_to", rows=n), n)
     all_size, all_weight = at.agg(F.sum("source_size"), F.sum("weight")).first()
     if all_size is None:
         return at.select("no_source", "source", "source_size", "weight", F.lit(0.0).alias("target"))
@@ -79,14 +80,14 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: in
     tick = lambda t: F.floor((1 - 1 / (1 + t)) * TICKS).cast("int")
     each = F.array(*[F.struct(f.alias("finish"), tick(f).alias("tick"), F.lit(e).alias("copy")) for e, f in enumerate(finishes)])
     copies = queued.filter("size > 0").select("doc_id", "shuffled", "size", F.inline(each))
-    ticks = cut(copies.groupBy("tick").agg(F.sum("size").alias("words")))  # at most TICKS + 1 rows
+    ticks = cut(copies.groupBy("tick").agg(F.sum("size").alias("words")), TICKS + 1)
     budget = sizes.agg(F.sum("size")).first()[0] or 0
     run = ticks.withColumn("to", F.sum("words").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)))
-    last = run.filter(F.col("to") > budget).orderBy("tick").select("tick", (F.col("to") - F.col("words")).alias("before")).first()
+    last = run.filter(F.col("to") > budget).orderBy("tick").select("tick", "words", (F.col("to") - F.col("words")).alias("before")).first()
     key = ["finish", "shuffled", "doc_id", "copy"]
     end = None  # of the copies in the part in which the budget ends, the last one taken
     if last is not None:
-        inside = ranked(copies.filter(F.col("tick") == last["tick"]).select(*key, "size"), [F.col(k) for k in key], F.col("size"), "to")
+        inside = ranked(copies.filter(F.col("tick") == last["tick"]).select(*key, "size"), [F.col(k) for k in key], F.col("size"), "to", rows=last["words"])  # a copy has a word at least
         end = inside.filter(F.col("to") + last["before"] <= budget).agg(F.max(F.struct(*key)).alias("end")).first()["end"]
 
     def goes(e: int) -> Column:

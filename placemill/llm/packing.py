@@ -30,8 +30,8 @@ from placemill.llm.common import cut, mapped, table
 CAPACITY = 2048
 #: Pieces that one task packs.
 SHARD = 16_384
-#: Words, and the vocabulary's matches in them, whose ids a worker remembers: under 100 MB a worker.
-WORDS, PARTS = 250_000, 200_000
+#: Words, and the vocabulary's matches in them, whose ids a worker remembers in each of two generations: up to about 0.2 GB a worker.
+WORDS, PARTS = 200_000, 400_000
 #: Characters up to which a word is remembered.
 SHORT = 32
 
@@ -63,8 +63,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        # what is full becomes the old generation, from which what is met again is taken over
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,18 +79,21 @@ class Encoder:
                 split[w] = match(w.lower())
             else:
                 whole.append(w)
-        parts = self.parts
-        if missing := list({p for ps in split.values() for p in ps}.difference(parts)):
+        parts, needed = self.parts, {p for ps in split.values() for p in ps}
+        if missing := needed.difference(parts):
             if len(parts) + len(missing) > PARTS:
-                parts = self.parts = {}
-                missing = list({p for ps in split.values() for p in ps})
+                self.old_parts, self.parts = parts, {p: parts[p] for p in needed if p in parts}
+                parts = self.parts
+            again = {p: self.old_parts[p] for p in missing if p in self.old_parts}
+            parts.update(again)
+            missing = list(missing.difference(again))
             parts.update(zip(missing, self._library(missing), strict=True))
         found = {w: b"".join([parts[p] for p in ps]) for w, ps in split.items()}
         if whole:
             found.update(zip(whole, self._library(whole), strict=True))
         for p in missing:
             if len(p) > SHORT:  # used once, not remembered
-                del parts[p]
+                parts.pop(p, None)
         return found
 
     def ids(self, text: str) -> bytes:
@@ -97,14 +103,16 @@ class Encoder:
         new = set(listed).difference(words)
         if not new:
             return b"".join(map(words.__getitem__, listed))
-        found = self._learn(new)
-        if len(words) + len(new) > WORDS:
-            found.update({w: words[w] for w in set(listed).intersection(words)})
-            self.words = {}
+        found = {w: self.old_words[w] for w in new if w in self.old_words}
+        if len(new) > len(found):
+            found.update(self._learn(new.difference(found)))
+        if len(words) + len(found) > WORDS:
+            found.update((w, words[w]) for w in set(listed) if w in words)
+            self.old_words, self.words = words, {w: v for w, v in found.items() if len(w) <= SHORT} if len(found) <= WORDS else {}
             return b"".join(map(found.__getitem__, listed))
         words.update(found)
         out = b"".join(map(words.__getitem__, listed))
-        for w in new:
+        for w in found:
             if len(w) > SHORT:
                 del words[w]
         return out
