@@ -30,8 +30,8 @@ from placemill.llm.common import cut, mapped, table
 CAPACITY = 2048
 #: Pieces that one task packs.
 SHARD = 16_384
-#: Words, and the vocabulary's matches in them, whose ids a worker remembers in each of two generations: up to about 0.2 GB a worker.
-WORDS, PARTS = 200_000, 400_000
+#: Words, and the vocabulary's matches in them, whose ids a worker remembers in each of two generations: up to about 0.4 GB a worker where all words differ.
+WORDS, PARTS = 300_000, 800_000
 #: Characters up to which a word is remembered.
 SHORT = 32
 
