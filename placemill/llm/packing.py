@@ -118,6 +118,11 @@ class Encoder:
         return out
 
 
+    def forget(self) -> None:
+        """Forgets all words: an idle worker needs none, and most words of a partition are in no other."""
+        self.words, self.parts, self.old_words, self.old_parts = {}, {}, {}, {}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -141,6 +146,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, closing: int = 0, path: st
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=False)], names)
+        e.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return mapped(rows, encode, PIECE_SCHEMA + (", ids binary" if with_ids else ""))
