@@ -128,8 +128,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, closing: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of all documents; with_ids: and ids, the piece's ids as bytes."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, closing: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, frugal: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of all documents; with_ids: and ids, the piece's ids as bytes.
+
+    frugal: workers forget the words of a partition when it ends, for jobs whose other stages need the memory; it takes some tenths more time.
+    """
     path = path or vocabulary_path()
     end = np.asarray([closing], dtype="<u4").tobytes()
 
@@ -146,7 +149,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, closing: int = 0, path: st
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=False)], names)
-        e.forget()
+        if frugal:
+            e.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return mapped(rows, encode, PIECE_SCHEMA + (", ids binary" if with_ids else ""))
