@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemill.llm.common import mapped, shared_folder, table
-from placemill.llm.words import slices
+from placemill.llm.words import Words, mix, slices
+from placemill.llm.words import table as multipliers
 
 WINDOW, SUB = 13, 5
 SORTED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
@@ -42,22 +43,32 @@ FAN = 2
 BATCHES = 4
 
 
-def _windows(w, window: int, sub: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, fingerprint, hash, other hash) of the windows of a slice."""
-    words = w.hashes()
-    h1, whole = w.windows(words, window, 3)
-    at = np.flatnonzero(whole)
-    if not len(at):
-        return at, at.astype(np.uint64), at.astype(np.uint64), at.astype(np.uint64)
-    h2, _ = w.windows(words, window, 5)
-    least, _ = w.windows(words, sub, 7)
+def _fingerprints(w: Words, words: np.ndarray, window: int, sub: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, fingerprint) of the windows of a slice, from the hashes of its words."""
+    last = max(len(words) - window + 1, 0)
+    at = np.flatnonzero(w.row[:last] == w.row[len(words) - last :])
+    low, _ = w.windows(words, sub, 7)
     span, have = window - sub + 1, 1
-    low = least
     while have < span:  # the least of `have` neighbours becomes that of up to twice as many
         step = min(have, span - have)
         low = np.minimum(low[:-step], low[step:])
         have += step
-    return at, low[at], h1[at], h2[at]
+    return at, low[at]
+
+
+def _changes(row: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Where a run of windows of one text with one fingerprint begins."""
+    new = np.ones(len(fp), dtype=bool)
+    new[1:] = (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])
+    return new
+
+
+def _hash_at(words: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hashes of the windows of `size` words that start at `at`: those of `Words.windows`, without the others."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for j, m in enumerate(multipliers(size, seed)):
+        out += words[at + j] * m
+    return mix(out)
 
 
 def fingerprints(docs: DataFrame, window: int, sub: int) -> DataFrame:
@@ -67,12 +78,13 @@ def fingerprints(docs: DataFrame, window: int, sub: int) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for w in slices(batch.column(1)):
-                at, fp, _, _ = _windows(w, window, sub)
+                at, fp = _fingerprints(w, w.hashes(), window, sub)
                 row = w.row[at]
+                new = _changes(row, fp)  # neighbours mostly share one, so that few are left to sort
+                fp, row = fp[new], row[new]
                 order = np.lexsort((fp, row))
                 fp, row = fp[order], row[order]
-                new = np.ones(len(fp), dtype=bool)
-                new[1:] = (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])
+                new = _changes(row, fp)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), pa.array(keys[row[new] + w.first], pa.int64())], ["fp", "k1"])
 
     return mapped(docs.select("k1", "text"), emit, "fp long, k1 long")
@@ -87,17 +99,22 @@ def windows(docs: DataFrame, window: int, sub: int) -> DataFrame:
             lists = batch.column(3)
             values, at_list = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
             for w in slices(batch.column(2)):
-                at, fp, h1, h2 = _windows(w, window, sub)
+                words = w.hashes()
+                at, fp = _fingerprints(w, words, window, sub)
                 row = w.row[at] + w.first
-                ends = np.searchsorted(row, np.arange(w.first, w.first + w.rows + 1))
-                kept = np.zeros(len(at), dtype=bool)
+                new = _changes(row, fp)
+                begin = np.flatnonzero(new)
+                ends = np.searchsorted(row[begin], np.arange(w.first, w.first + w.rows + 1))
+                kept = np.zeros(len(begin), dtype=bool)
                 for k in range(w.rows):
                     r = w.first + k
-                    kept[ends[k] : ends[k + 1]] = np.isin(fp[ends[k] : ends[k + 1]], values[at_list[r] : at_list[r + 1]])
+                    kept[ends[k] : ends[k + 1]] = np.isin(fp[begin[ends[k] : ends[k + 1]]], values[at_list[r] : at_list[r + 1]])
+                kept = np.repeat(kept, np.diff(np.append(begin, len(at))))
                 row, at = row[kept], at[kept]
                 pos = at - w.bounds[row - w.first]
+                h1, h2 = _hash_at(words, at, window, 3), _hash_at(words, at, window, 5)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1[kept].view(np.int64)), pa.array(h2[kept].view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(keys[row], pa.int64()), pa.array(pos.astype(np.int64))],
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(keys[row], pa.int64()), pa.array(pos.astype(np.int64))],
                     ["h1", "h2", "doc_id", "k1", "pos"],
                 )
 

@@ -37,14 +37,8 @@ def table(n: int, seed: int) -> np.ndarray:
         return mix(x) | np.uint64(1)
 
 
-_MULT = table(4096, 1)
-
-
-def _multipliers(n: int) -> np.ndarray:
-    global _MULT
-    if n > len(_MULT):
-        _MULT = table(max(n, 2 * len(_MULT)), 1)
-    return _MULT
+#: Masks of the first 0 to 8 bytes of a little-endian 64-bit number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 @dataclass
@@ -64,17 +58,16 @@ class Words:
         """A 64-bit hash of each word's bytes."""
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
+        # eight bytes at a time: each group is mixed with its place, and their sum with the length
         lengths = self.end - self.start
-        r = _multipliers(int(lengths.max()))
-        firsts = np.cumsum(lengths) - lengths
-        kind = np.int32 if len(self.data) < 2**31 else np.int64
-        # the place of each word byte in its word, and in the data
-        place = np.arange(int(lengths.sum()), dtype=kind)
-        place -= np.repeat(firsts.astype(kind), lengths)
-        terms = self.data[place + np.repeat(self.start.astype(kind), lengths)].astype(np.uint64)
-        terms += np.uint64(1 + seed)
-        terms *= r[place]
-        sums = np.add.reduceat(terms, firsts)
+        groups = (lengths + 7) >> 3
+        firsts = np.cumsum(groups) - groups
+        place = np.arange(int(groups.sum())) - np.repeat(firsts, groups)
+        eight = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=np.append(self.data, np.zeros(8, dtype=np.uint8)), strides=(1,))
+        part = eight[np.repeat(self.start, groups) + 8 * place]
+        part &= _FIRST[np.minimum(np.repeat(lengths, groups) - 8 * place, 8)]
+        part += (place + 1 + seed).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sums = np.add.reduceat(mix(part), firsts)
         return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def windows(self, hashes: np.ndarray, size: int, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
