@@ -28,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemill.llm.common import mapped, shared_folder, table
@@ -156,7 +156,7 @@ class FingerprintIndex:
     with smaller ids; a batch with an id that isn't larger than all before is refused.
     """
 
-    KEYS = {"fp": ["fp"], "window": ["h1", "h2"], "texts": ["doc_id", "k1"], "reps": ["k1"], "rows": ["fp"]}
+    KEYS = {"fp": ["fp"], "window": ["h1", "h2"], "texts": ["doc_id", "k1"], "reps": ["k1"], "rows": ["fp"], "looked": ["fp"]}
     COLUMNS = {"fp": "fp long, owner long, shared boolean", "window": "h1 long, h2 long, first long, n long", "texts": "doc_id long, text string, k1 long, k2 long", "reps": "k1 long, doc_id long"}
 
     def __init__(self, spark: SparkSession, window: int = WINDOW, sub: int = SUB, fan: int = FAN):
@@ -236,6 +236,10 @@ class FingerprintIndex:
             self.runs[kind] = [n for n in self.runs[kind] if n not in pair] + [new]
             self._drop(*pair)
 
+    def _gathered(self, pairs: DataFrame) -> DataFrame:
+        """(k1, fps) from pairs (fp, k1), once each.  A text has few rows in a bucket, so nothing is combined before the shuffle, and no text has more than its own windows."""
+        return pairs.repartition(self.buckets, "k1").groupBy("k1").agg(F.collect_list("fp").alias("fps"))
+
     @staticmethod
     def _union(frames: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, frames)
@@ -284,28 +288,32 @@ class FingerprintIndex:
         rows = spark.table(self._store(fingerprints(known, self.window, self.sub).repartition(self.buckets, "fp"), "rows"))
         owners = rows.groupBy("fp").agg(F.min("k1").alias("owner"), F.max("k1").alias("_last"))
         new["fp"] = self._store(owners.select("fp", "owner", (F.col("owner") != F.col("_last")).alias("shared")), "fp")
-        own = spark.table(new["fp"])
-        shared, hits = own.filter("shared").select("fp"), None
-        if past["fp"]:
-            hits = spark.table(self._store(self._union([run.join(own.select("fp"), "fp") for run in past["fp"]]), "hits"))
-            shared = shared.union(hits.select("fp")).distinct()
-        wanted = rows.join(shared, "fp", "left_semi").groupBy("k1").agg(F.collect_set("fp").alias("fps"))
+        # the runs of the past are merge-joined with the batch's run one after the other: every side is in buckets and sorted, so nothing is shuffled
+        looked, n = spark.table(new["fp"]).select("fp", "shared"), len(past["fp"])
+        for i, run in enumerate(past["fp"]):
+            looked = looked.join(run.select("fp", F.col("owner").alias(f"owner_{i}"), F.col("shared").alias(f"shared_{i}")), "fp", "left")
+        had = sum((F.col(f"owner_{i}").isNotNull().cast("int") for i in range(n)), F.lit(0))
+        several = reduce(Column.__or__, [F.coalesce(f"shared_{i}", F.lit(False)) for i in range(n)], had > 1)
+        alone = F.when((had == 1) & ~several, F.coalesce(F.lit(None).cast("long"), *[f"owner_{i}" for i in range(n)]))
+        looked = spark.table(self._store(looked.filter(F.col("shared") | (had > 0)).select("fp", alone.alias("alone")), "looked"))
+        wanted = self._gathered(rows.join(looked.select("fp"), "fp", "left_semi").distinct())
         at = spark.table(self._store(windows(known.join(wanted.join(reps, "k1"), ["doc_id", "k1"]), self.window, self.sub), "at"))
 
         sides = at.select("h1", "h2", F.col("doc_id").alias("first"))
-        if hits is not None:
+        if n:
             # fingerprints that only one text of the past had: its windows under them are not in the index yet
-            alone = hits.groupBy("fp").agg(F.min("owner").alias("k1"), (F.bool_or("shared") | (F.count("*") > 1)).alias("shared")).filter("not shared")
-            owners = alone.groupBy("k1").agg(F.collect_set("fp").alias("fps"))
+            owners = self._gathered(looked.filter("alone IS NOT NULL").select("fp", F.col("alone").alias("k1")))
             placed = [owners.join(r, "k1") for r in past["reps"]]
             added = [windows(t.join(o, ["doc_id", "k1"]), self.window, self.sub) for t, o in zip(past["texts"], placed, strict=True)]
             sides = self._union([sides, *[a.select("h1", "h2", F.col("doc_id").alias("first")) for a in added]])
         new["window"] = self._store(sides.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("*").alias("n")), "window")
-        run = spark.table(new["window"])
-        twice = [run.filter("n > 1").select("h1", "h2", "first")]
-        twice += [p.select("h1", "h2", "first").join(run.select("h1", "h2"), ["h1", "h2"]) for p in past["window"]]
+        seen, least = spark.table(new["window"]), [F.col("first")]
+        for i, run in enumerate(past["window"]):
+            seen = seen.join(run.select("h1", "h2", F.col("first").alias(f"first_{i}")), ["h1", "h2"], "left")
+            least.append(F.col(f"first_{i}"))
+        twice = reduce(Column.__or__, [f.isNotNull() for f in least[1:]], F.col("n") > 1)
         # stored, so that the join below is one that Spark can split
-        firsts = spark.table(self._store(self._union(twice).groupBy("h1", "h2").agg(F.min("first").alias("first")), "firsts"))
+        firsts = spark.table(self._store(seen.filter(twice).select("h1", "h2", F.array_min(F.array(*least)).alias("first")), "firsts"))
         late = at.join(firsts, ["h1", "h2"]).filter("first < doc_id")
         starts = late.groupBy("doc_id", "k1").agg(F.collect_set("pos").alias("starts"))
         marks = starts.withColumn("copy", F.lit(False)).unionByName(copies.withColumns({"starts": F.lit(None).cast("array<bigint>"), "copy": F.lit(True)}))
