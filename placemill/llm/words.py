@@ -106,8 +106,8 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw, at
 
 
-def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[Words]:
-    """The words of consecutive rows, about `limit` bytes at a time; lower: A-Z become a-z first."""
+def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = SLICE_BYTES, blank: np.ndarray = _WS) -> Iterator[Words]:
+    """The words of consecutive rows, about `limit` bytes at a time; lower: A-Z become a-z first; blank: by byte, whether it stands between words."""
     raw, at = text_buffers(column)
     n, a = len(at) - 1, 0
     while a < n:
@@ -116,7 +116,7 @@ def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int =
         if lower:
             data = _LOWER[data]
         offsets = at[a : b + 1] - at[a]
-        word = ~_WS[data]
+        word = ~blank[data]
         if len(word):
             begin = word.copy()
             begin[1:] &= ~word[:-1]

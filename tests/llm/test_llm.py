@@ -686,7 +686,7 @@ def test_an_index_is_saved_and_opened_again(spark, docs, rows, tmp_path):
 
 def test_queries_are_registered():
     names = sorted(registry.queries(), key=lambda n: int(re.match(r"op(\d+)_", n)[1]))
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14)) and set(registry.oracle_sql()) <= set(names)
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -695,7 +695,8 @@ def test_queries_match_their_sql(spark, name):
 
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    for t in ("documents", "benchmark", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     df = registry.queries()[name](spark, d)
     want = c.sql(registry.oracle_sql()[name])
     order = sorted(df.columns)
