@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placemill.llm import exact_dedup, importance, jaccard_join, language_id, line_dedup, merkle, mixing, packing, page_text, quality, substring_dedup, token_count
+from placemill.llm import exact_dedup, importance, jaccard_join, language_id, line_dedup, merkle, mixing, packing, page_text, quality, substring_dedup, token_count, vector_dedup
 
 QUERIES = {
     "op1_evidence_fusion": language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_adaptive_prefix_join": jaccard_join,
     "op10_fingerprint_index": substring_dedup,
     "op11_merkle_manifest": merkle,
+    "op12_inverted_multi_index": vector_dedup,
     "op13_importance_resampling": importance,
 }
 
