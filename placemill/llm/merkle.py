@@ -250,7 +250,7 @@ def manifest(docs: DataFrame, seen: Column | None = None, columns: Sequence[str]
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), leaf([F.col(c) for c in columns]).alias("digest"), (F.lit(None).cast("binary") if seen is None else seen).alias("seen"))
-    placed = ranked(rows, [F.asc_nulls_first("source"), F.asc_nulls_first("doc_id"), F.col("digest")], name="at")
+    placed = ranked(cut(rows), [F.asc_nulls_first("source"), F.asc_nulls_first("doc_id"), F.col("digest")], name="at")
     placed = cut(placed)
     sources = cut(placed.groupBy("source").agg(F.min("at").alias("first"), F.count("*").alias("n")))
     n_sources, total = sources.agg(F.count("*"), F.sum("n")).first()
