@@ -12,11 +12,13 @@ doc_id, source and text are carried along and never clash with the operator's ow
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placemill.llm.common import WORD, as_rows, cut, ranked, table
+from placemill.llm.common import WORD, as_rows, cut, ranked, shared_folder, table
 
 #: Hex digits of the shuffling hash that name a part of a source's order: each of the 4096 is summed by itself, so a source that has
 #: a third of all rows is dealt to as many tasks.
@@ -53,7 +55,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most: int) -> DataFr
 
 
 def queue(sizes: DataFrame, weights: tuple[float, ...], most: int, seed: int) -> DataFrame:
-    """sizes (doc_id, source, size) with source_size, target and first: the virtual time at which a document's first copy finishes."""
+    """sizes (doc_id, source, size; a column `key` is carried along) with source_size, target and first: the virtual time at which a document's first copy finishes."""
+    carried = [c for c in sizes.columns if c == "key"]
     keyed = sizes.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
     keyed = keyed.withColumn("shuffled", F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), F.lit("")))
     keyed = cut(keyed.withColumn("bucket", F.substring("shuffled", 1, DIGITS)))
@@ -66,7 +69,7 @@ def queue(sizes: DataFrame, weights: tuple[float, ...], most: int, seed: int) ->
     served = keyed.withColumn("served", F.sum("size").over(within)).join(offsets, [*by, "bucket"])
     return cut(
         served.select(
-            "doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", "shuffled",
+            *carried, "doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", "shuffled",
             ((F.col("before") + F.col("served")) / F.nullif(F.col("target"), F.lit(0.0))).alias("first"),
         )
     )
@@ -101,7 +104,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: in
         return before | ((tick(finishes[e]) == last["tick"]) & (row <= stop))
 
     taken = sum((F.when((F.col("size") > 0) & goes(e), F.col("size")).otherwise(F.lit(0)).cast("long") for e in range(most)), F.lit(0).cast("long"))
-    return queued.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return queued.select(*[c for c in sizes.columns if c == "key"], "doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -111,12 +114,16 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs (doc_id, source, text and more) with each row as often as the mix takes it, all columns kept, whatever they are called.
 
-    Rows that repeat an id and a size are repeated alike, by the most copies that one of them got.
+    Every row has a key of its own, its place in a copy of docs beside the checkpoints, so rows that repeat an id get their own copies, and what is written
+    is what is taken.
     """
-    taken = mix_documents(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("id"), "size", F.expr("taken div size").cast("int").alias("n"))
-    copies = taken.groupBy("id", "size").agg(F.max("n").alias("n"))
-    sized = docs.select(F.col("doc_id").cast("long").alias("own"), word_count(F.col("text")).alias("words"), as_rows(docs).alias("row"))
-    out = sized.join(copies, F.col("own").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
+    spark = docs.sparkSession
+    keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), as_rows(docs).alias("row"))
+    folder = f"{shared_folder(spark)}/mixed-{uuid.uuid4().hex}"
+    keyed.write.option("compression", "zstd").parquet(folder)
+    rows = spark.read.parquet(folder)
+    copies = mix(rows.select("key", "doc_id", "source", "size"), **options).filter("taken > 0").select("key", F.expr("taken div size").cast("int").alias("n"))
+    out = rows.select("key", "row").join(copies, "key")
     return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("copy")).select("row.*")
 
 
