@@ -10,11 +10,13 @@ log P(lang | row) = prior of the host + P(declared markup language | lang) + P(a
 * Host: counts of the text posteriors by host, smoothed to those of its domain, and these to all rows; a row's own count is left out.
 
 Null and empty texts have no text evidence; with no evidence at all the prior decides.  Below CONFIDENT the language is "und" and
-kept is false.  Repeated rows get the same result.  Without labelled rows every language is "und".  A null host shares the empty host.
+kept is false.  Repeated rows get the same result.  Texts and pages of any length are read whole, in time proportional to their length, broken markup
+included.  Without labelled rows every language is "und".  A null host shares the empty host.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from placemill.llm.common import cut, mapped, table
+from placemill.llm.common import cut, mapped, small_batches, table
+from placemill.llm.page_text import tokens
 from placemill.llm.words import _LOWER, text_buffers
 
 SAMPLE, BINS = 4000, 32_768
@@ -148,19 +152,50 @@ def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
     return out.select(*KEYS, "lang", "confidence", "text_lang", "kept")
 
 
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([a-z]{2,3})\b", re.IGNORECASE)
+_CLOSED = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
+
+
+def read_page(page: str) -> tuple[str | None, str]:
+    """(declared language of the first html tag that has one, text outside tags, comments, scripts and styles), in one linear pass over the page.
+
+    A script or a style that isn't closed reaches to the end of the page.
+    """
+    parts, declared, jump = [], None, None
+    source = tokens(page)
+    while True:
+        try:
+            text, tag, attributes, to = source.send(jump)
+        except StopIteration:
+            return declared, " ".join(parts)
+        jump = None
+        parts.append(text)
+        if tag == "html" and declared is None and (found := _LANG.search(attributes)):
+            declared = found[1].lower()
+        if tag in _CLOSED and not attributes.endswith("/"):
+            end = _CLOSED[tag].search(page, to)
+            jump = end.end() if end else len(page)
+
+
+@F.arrow_udf(returnType=T.StructType([T.StructField("declared", T.StringType()), T.StructField("text", T.StringType())]))
+def _read(pages: pa.Array) -> pa.Array:
+    found = [read_page(x.as_py() or "") for x in pages]
+    return pa.StructArray.from_arrays([pa.array([d for d, _ in found], pa.string()), pa.array([t for _, t in found], pa.string())], ["declared", "text"])
+
+
 def web_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """KEYS and text of pages: the markup's language, and from the address host, domain, suffix and a language code in the path."""
-    url, page = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
+    small_batches(pages.sparkSession)
+    url = F.col(url_col)
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     empty = lambda c: F.when(c != "", c)
-    declared = F.lower(F.regexp_extract(page, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
-    text = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    return pages.select(
+    rows = pages.select(
         F.lit("pages").alias("kind"), F.col(id_col).cast("long").alias("id"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"),
         empty(F.regexp_extract(host, r"\.([a-z0-9-]+)$", 1)).alias("suffix"),
         empty(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"//[^/]*/([a-zA-Z]{2})(?:[-_][a-zA-Z]{2})?(?:[/?#]|$)", 1))).alias("code"),
-        empty(declared).alias("declared"), text.alias("text"),
+        _read(html_col).alias("read"),
     )
+    return rows.select("kind", "id", "host", "domain", "suffix", "code", "read.declared", "read.text")
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
