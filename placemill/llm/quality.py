@@ -2,7 +2,8 @@
 
 `learn` is sequential covering: a rule, a conjunction of thresholds on statistics, is grown on two thirds of the rows that no
 earlier rule covers, literal by literal with the largest gain, then pruned on the other third from its end; it enters the list if it is
-precise enough there.  `verdict` emits the list as an ordered Spark conditional expression; rows under no rule are kept.
+precise enough there.  Rules that drop may need exceptions, rules that keep, which come before them.  The first rule that holds decides: `verdict` emits
+the list as an ordered Spark conditional expression; rows under no rule are kept.
 
 A document also fails outright, whatever the list says, below 20 words or if more than 30 % of its words stand in repeated
 8-word windows.  Null and empty texts have all statistics 0 and so fail.  Repeated rows get a result each.  Without labels, or
@@ -113,7 +114,12 @@ class Literal:
         return values > self.threshold if self.above else values <= self.threshold
 
 
-Rule = tuple[Literal, ...]
+class Shield(tuple):
+    """A rule whose texts are kept, whatever later rules say."""
+
+
+#: Literals that all have to hold; its verdict is to drop, unless it is a Shield.
+Rule = tuple[Literal, ...] | Shield
 
 
 def _covers(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
@@ -143,31 +149,53 @@ def _best(x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, Literal | N
     return best
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 16, max_literals: int = 4, precision: float = 0.9, support: int = 5) -> list[Rule]:
-    """Rules that cover bad rows, in their order."""
-    n = len(bad)
+def _rule(x: dict[str, np.ndarray], wanted: np.ndarray, rows: np.ndarray, alive: np.ndarray, grow: np.ndarray) -> tuple[Literal, ...]:
+    """A conjunction for the wanted ones of rows: grown on the part `grow` of them until it covers no other, then pruned from its end on the other part of those alive."""
+    n, rule, rows = len(wanted), (), rows & grow
+    while (wanted & rows).any() and (~wanted & rows).any():
+        gain, literal = _best({k: v[rows] for k, v in x.items()}, wanted[rows])
+        if literal is None:
+            break
+        rule += (literal,)
+        rows = rows & literal.holds(x[literal.feature])
+    test = alive & ~grow
+
+    def worth(r: tuple[Literal, ...]) -> float:
+        c = _covers(r, x, n) & test
+        return ((c & wanted).sum() - (c & ~wanted).sum()) / max(1, c.sum())
+
+    while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
+        rule = rule[:-1]
+    return rule
+
+
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, support: int = 5) -> list[Rule]:
+    """The decision list, in its order, its default being to keep.
+
+    Rules that drop are learned one after the other, each on the rows that no earlier rule covers.  One that isn't precise enough gets exceptions before it: a
+    rule that keeps (`Shield`) is learned among what it covers, and it is learned again.  A rule enters if at least `support` of the rows
+    that it covers are of its verdict, and the share `precision` of them, on all rows and on those it wasn't grown on.  The list ends
+    when no rule is good enough; neither its length nor that of a rule has a limit.
+    """
+    n, grow = len(bad), np.arange(len(bad)) % 3 != 2
     rules: list[Rule] = []
     alive = np.ones(n, dtype=bool)
-    grow = np.arange(n) % 3 != 2
-    while len(rules) < max_rules and (bad & alive & grow).sum() >= support:
-        rule: Rule = ()
-        rows = alive & grow
-        while len(rule) < max_literals and (~bad & rows).any():
-            gain, literal = _best({k: v[rows] for k, v in x.items()}, bad[rows])
-            if literal is None:
-                break
-            rule += (literal,)
-            rows = rows & literal.holds(x[literal.feature])
-        test = alive & ~grow
-        worth = lambda r: (lambda c: ((c & bad).sum() - (c & ~bad).sum()) / max(1, c.sum()))(_covers(r, x, n) & test)  # noqa: B023, E731
-        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
-            rule = rule[:-1]
+
+    def enters(rule: tuple[Literal, ...], wanted: np.ndarray) -> bool:
         covered = _covers(rule, x, n) & alive
-        seen = covered & test
-        if not rule or (covered & bad).sum() < support or (covered & bad).sum() < precision * covered.sum() or (seen & bad).sum() < precision * seen.sum():
-            break
+        seen = covered & ~grow
+        return bool(rule) and (covered & wanted).sum() >= support and all((c & wanted).sum() >= precision * c.sum() for c in (covered, seen))
+
+    while (bad & alive & grow).sum() >= support:
+        rule: Rule = _rule(x, bad, alive, alive, grow)
+        if not enters(rule, bad):
+            rule = Shield(_rule(x, ~bad, alive & _covers(rule, x, n), alive, grow)) if rule else ()
+            if not enters(rule, ~bad):
+                break
         rules.append(rule)
-        alive &= ~covered
+        alive &= ~_covers(rule, x, n)
+    while rules and isinstance(rules[-1], Shield):  # nothing comes after it that it could keep a row from
+        rules.pop()
     return rules
 
 
@@ -178,7 +206,8 @@ def verdict(rules: list[Rule], s: Column) -> Column:
         held = F.lit(True)
         for lit in rule:
             held = held & (x[lit.feature] > lit.threshold if lit.above else x[lit.feature] <= lit.threshold)
-        chain = F.when(held, F.lit(False)) if chain is None else chain.when(held, F.lit(False))
+        keep = F.lit(isinstance(rule, Shield))
+        chain = F.when(held, keep) if chain is None else chain.when(held, keep)
     return F.lit(True) if chain is None else chain.otherwise(F.lit(True))
 
 

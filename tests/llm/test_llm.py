@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -87,6 +88,23 @@ def test_markup_address_and_host_decide_where_the_text_is_silent(spark):
     assert (got[900]["lang"], got[901]["lang"], got[903]["lang"]) == ("fr", "en", "fr") and got[902]["confidence"] <= 0.6
 
 
+@pytest.mark.parametrize("part", ["<script>", "<html ", "<!--", "<style>", "<html lang=", "<", "<a '", "</script", "<script>x</style>"])
+def test_broken_pages_are_read_in_linear_time(part):
+    took = []
+    for n in (50_000, 200_000):
+        start = time.process_time()
+        language_id.read_page(part * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 12 * max(took[0], 0.05)
+
+
+def test_pages_are_read_like_their_markup():
+    page = '<!doctype html><HTML class=x LANG="DE-at"><head><title>T</title><style>p {}</style ></head><!-- <html lang=fr> --><script type="a>b">if (a < b) "</p>"</SCRIPT><p>one<b>two</b></p><script/>three'
+    declared, text = language_id.read_page(page)
+    assert declared == "de" and text.split() == ["T", "one", "two", "three"]
+    assert language_id.read_page("") == (None, "") and language_id.read_page("a < b <script>c") == (None, "a < b  ")
+
+
 def test_language_without_labels_or_rows(spark, docs, empty):
     none = docs.limit(0).select(F.col("doc_id").alias("id"), "text", "lang")
     found = language_id.identify(language_id.document_rows(docs), none)
@@ -196,6 +214,97 @@ def test_covering_finds_planted_rules():
     assert quality.learn(x, np.zeros(3000, dtype=bool)) == [] and quality.learn(x, r.random(3000) < 0.2) == []
 
 
+def test_exceptions_come_before_the_rule(spark):
+    """Good rows without a pattern inside a bad region: the list needs a rule that keeps, and its place in the list decides."""
+    r = np.random.default_rng(11)
+    x = {k: r.random(6000) for k in ("n_words", "upper", "digits")}
+    bad = (x["upper"] > 0.5) & ((x["digits"] <= 0.7) | (r.random(6000) < 0.02)) & (r.random(6000) > 0.06)
+    rules = quality.learn(x, bad)
+    assert rules and not isinstance(rules[-1], quality.Shield)
+    kept = np.array([brute_verdict(rules, {k: v[i] for k, v in x.items()}) for i in range(6000)])
+    assert (kept == ~bad).mean() > 0.95
+
+    lit = quality.Literal
+    keep, drop = quality.Shield((lit("digits", True, 0.7),)), (lit("upper", True, 0.5),)
+    for rules, want in (([keep, drop], [True, False, True]), ([drop, keep], [False, False, True])):
+        assert [brute_verdict(rules, {"digits": d, "upper": u}) for d, u in ((0.8, 0.9), (0.1, 0.9), (0.1, 0.1))] == want
+    text = "AB 12 " * 3 + " ".join(f"Ab{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    keep, drop = quality.Shield((lit("digits", True, 0.1),)), (lit("upper", True, 0.1),)
+    assert [quality.judged(docs, rules).first()["kept"] for rules in ([keep, drop], [drop, keep])] == [True, False]
+
+
+def brute_verdict(rules, x):
+    for rule in rules:
+        if all(x[lit.feature] > lit.threshold if lit.above else x[lit.feature] <= lit.threshold for lit in rule):
+            return isinstance(rule, quality.Shield)
+    return True
+
+
+def brute_covering(x, bad, precision=0.9, support=5):
+    """The covering, written again over all thresholds of a small table."""
+    n = len(bad)
+    holds = lambda rule, i: all(x[f][i] > t if above else x[f][i] <= t for f, above, t in rule)
+
+    def grown(wanted, rows, alive):
+        rule, rows = [], [i for i in rows if i % 3 != 2]
+        while any(wanted[i] for i in rows) and not all(wanted[i] for i in rows):
+            p, best = sum(wanted[i] for i in rows), (0.0, None)
+            for f in x:
+                values = sorted({x[f][i] for i in rows})
+                cuts = [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
+                for above in (False, True):
+                    top = (0.0, None)
+                    for t in cuts:
+                        inside = [i for i in rows if (x[f][i] > t) == above]
+                        pos = sum(wanted[i] for i in inside)
+                        gain = pos * (np.log2(pos / len(inside)) - np.log2(p / len(rows))) if pos else 0.0
+                        if top[1] is None or gain > top[0] + 1e-12:
+                            top = (gain, (f, above, t))
+                    if top[1] is not None and top[0] > best[0] + 1e-9:
+                        best = top
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            rows = [i for i in rows if holds(rule, i)]
+
+        def worth(r):
+            c = [i for i in alive if i % 3 == 2 and holds(r, i)]
+            return sum(1 if wanted[i] else -1 for i in c) / max(1, len(c))
+
+        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
+            rule.pop()
+        return rule
+
+    def enters(rule, wanted, alive):
+        c = [i for i in alive if holds(rule, i)]
+        seen = [i for i in c if i % 3 == 2]
+        return bool(rule) and sum(wanted[i] for i in c) >= support and all(sum(wanted[i] for i in g) >= precision * len(g) for g in (c, seen))
+
+    good, alive, out = [not b for b in bad], list(range(n)), []
+    while sum(bad[i] for i in alive if i % 3 != 2) >= support:
+        rule, keep = grown(bad, alive, alive), False
+        if not enters(rule, bad, alive):
+            rule, keep = grown(good, [i for i in alive if holds(rule, i)], alive) if rule else [], True
+            if not enters(rule, good, alive):
+                break
+        out.append((keep, tuple(rule)))
+        alive = [i for i in alive if not holds(rule, i)]
+    while out and out[-1][0]:
+        out.pop()
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_covering_against_brute_force(seed):
+    r = np.random.default_rng(seed)
+    n = 120
+    x = {"a": r.integers(0, 12, n) / 4, "b": r.integers(0, 9, n) / 2, "c": r.random(n)}
+    bad = (x["a"] > 1.5) & (x["b"] <= 3) & (r.random(n) < [0.97, 0.85, 0.7][seed % 3])
+    got = [(isinstance(rule, quality.Shield), tuple((t.feature, t.above, t.threshold) for t in rule)) for rule in quality.learn(x, bad)]
+    assert got == brute_covering({k: v.tolist() for k, v in x.items()}, bad.tolist())
+
+
 def test_quality_on_held_out_labels(spark, docs):
     d = "/root/testdata/sf0.01"
     table, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -304,6 +413,20 @@ def test_columns_of_clashing_names_are_carried_along(spark):
         assert found and all(r[c] == f"{c}-{r['doc_id']}" for r in found for c in CLASH), name
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_what_is_written_is_what_is_taken(spark, seed):
+    """Repeated ids, in one and in several sources, of equal and of other sizes."""
+    r = random.Random(seed)
+    rows = [(r.choice([None, *range(4)]), " ".join(["w"] * r.randint(0, 9)), r.choice(["a", "b", None]), k) for k in range(r.randint(1, 25))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, own int").repartition(3)
+    taken, written = mixing.mix_documents(docs), mixing.mixed(docs)
+    by = lambda frame, n: collections.Counter({(x["doc_id"], x["source"]): x["s"] for x in frame.groupBy("doc_id", "source").agg(F.sum(n).alias("s")).collect() if x["s"]})
+    copies = written.withColumn("n", mixing.word_count(F.col("text")))
+    assert by(copies, F.col("n")) == by(taken, F.col("taken"))
+    assert (copies.agg(F.sum("n")).first()[0] or 0) <= sum(len(t.split()) for _, t, _, _ in rows)
+    assert all(x["count"] <= 3 for x in written.groupBy("own").count().collect())
+
+
 def test_mixed_rows_repeat_as_taken(docs, empty):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
@@ -404,6 +527,15 @@ def test_pages_against_their_articles(spark):
 # 5
 
 
+def test_a_short_page_of_a_template_is_no_copy(spark):
+    """A neighbour that has nearly all of a short page's text may still be another page; pages without an id are compared too."""
+    lines = {"http://h.x/a/1": ["nav", "same line", "two"], "http://h.x/a/2": ["nav", "same line", "three", "four five six"]}
+    for ids in ([1, 2], [None, None]):
+        pages = [(i, url, "".join(f"<p>{t}</p>" for t in ts)) for i, (url, ts) in zip(ids, lines.items(), strict=True)]
+        got = {r["url"]: r["text"] for r in page_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+        assert got == {"http://h.x/a/1": "two", "http://h.x/a/2": "three\nfour five six"}
+
+
 def test_runs_of_copies_are_compared_beyond_the_run(spark):
     frame = "<div>Home of all things</div><div>{}</div><div>Imprint of the host</div>"
     body = "One long report that stands in several copies on this host with many words to it"
