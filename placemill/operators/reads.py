@@ -162,20 +162,27 @@ def map_clusters(places: DataFrame, zoom: int, max_zoom: int = 13) -> DataFrame:
     return shown.groupBy(*cells).agg(n.alias("n"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.when(n < 10, 0).when(n < 100, 1).otherwise(2).alias("step"))
 
 
-def near_matches(probes: DataFrame, places: DataFrame, radius_m: float = 75, least: float = 0.9) -> DataFrame:
-    """For each probe (probe_id, lat, lng, name) the place in the radius whose name is most like it, if that is more than `least`.
+def near_scored(probes: DataFrame, places: DataFrame, radius_m: float = 75, least: float = 0.9, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(probe_id, id, name_he, name_similarity, distance_m) of the visible places in the radius of each probe (probe_id, lat, lng, name) whose names are like its own; with the columns `carry` of both.
 
     An equi-join on cells of a grid in space finds the candidates, with the cells round each probe; distance and name are compared on those.  The grid is
     cubes round the earth's centre, so poles and the date line are places like others.
     """
     cells = geo.cubes(F.col("lat"), F.col("lng"), radius_m)
-    asked = probes.select("probe_id", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), F.col("name").alias("p_name"), *[c.alias(n) for n, c in zip("xyz", cells, strict=True)])
+    own = [c for c in carry if c in probes.columns]
+    asked = probes.select("probe_id", *own, F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), F.col("name").alias("p_name"), *[c.alias(n) for n, c in zip("xyz", cells, strict=True)])
     for n in "xyz":
         asked = asked.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
-    there = places.filter(visible() & has_point()).select("id", "name_he", "lat", "lng", *[c.alias(n) for n, c in zip("xyz", cells, strict=True)])
+    there = places.filter(visible() & has_point()).select("id", "name_he", "lat", "lng", *[c for c in carry if c in places.columns], *[c.alias(n) for n, c in zip("xyz", cells, strict=True)])
     distance = geo.geodesic_m(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))
     near = asked.join(there, ["x", "y", "z"]).withColumn("distance_m", distance).filter(F.col("distance_m") <= radius_m)
     scored = near.withColumn("name_similarity", name_similarity(F.col("name_he"), F.col("p_name"))).filter(F.col("name_similarity") > least)
+    return scored.select("probe_id", "id", "name_he", "name_similarity", "distance_m", *carry)
+
+
+def near_matches(probes: DataFrame, places: DataFrame, radius_m: float = 75, least: float = 0.9) -> DataFrame:
+    """For each probe (probe_id, lat, lng, name) the place in the radius whose name is most like it, if that is more than `least`."""
+    scored = near_scored(probes, places, radius_m, least)
     best = F.min_by(F.struct("id", "name_he", "name_similarity", "distance_m"), F.struct(-F.col("name_similarity"), "distance_m", "id"))
     return scored.groupBy("probe_id").agg(best.alias("best")).select("probe_id", "best.*")
 

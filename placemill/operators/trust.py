@@ -49,12 +49,14 @@ def running_vouches(reports: DataFrame) -> DataFrame:
 
 
 def trailing_failures(reports: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
-    """The distinct reporters of a place's failures in the last `days` before each failure, itself included and the far end not."""
-    at = F.unix_micros(F.col("created_at").cast("timestamp"))
-    span = days * 86_400_000_000
-    own = Window.partitionBy("place_id").orderBy("_at").rangeBetween(-(span - 1), 0)
-    failed = reports.filter("kind = 'not_working'").withColumn("_at", at)
-    return failed.withColumn("failures", F.size(F.collect_set("reporter").over(own))).drop("_at")
+    """The distinct reporters of a place's failures in the last `days` before each failure, itself included and the far end not.
+
+    Failures of one time see one another, so a failure has the count of the last one of its time.
+    """
+    failed = reports.filter("kind = 'not_working'")
+    counts = running_failures(failed, days).groupBy("place_id", "at").agg(F.max_by("failures", "id").alias("failures"))
+    timed = failed.withColumn("at", F.unix_micros(F.col("created_at").cast("timestamp")))
+    return timed.join(counts, ["place_id", "at"]).select(*reports.columns, F.col("failures").cast("int").alias("failures"))
 
 
 def running_failures(reports: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
@@ -81,62 +83,68 @@ def trust_state(places: DataFrame, reports: DataFrame, days: int = WINDOW_DAYS,
     """(id, status, confirm_count, report_count, last_confirmed_at) after all reports, from running counts: windows and one row a place.
 
     Vouches publish a pending place at TO_PUBLISH reporters.  Failures flag a published one at TO_FLAG, or at TO_FLAG_SINGLE where it stands on one
-    submitter's word before the event; a flag is never taken back by reports.  report_count is that of the last failure.
+    submitter's word before the event; a flag is never taken back by reports.  report_count is that of the last failure.  Reports that are superseded
+    (superseded_at, if there is such a column) don't count.
     moderation (id, place_id, action approve/reject/restore/locate, created_at) joins the same order; restore closes open failures.
     """
-    if moderation is not None:
-        return _folded(places, reports, days, moderation)
+    reports = reports.filter(_open(reports))
     c = F.col
     zero = lambda n: (F.coalesce(c(n), F.lit(0)) if n in places.columns else F.lit(0)).cast("int")
     most = lambda k: F.max(F.when(~c("vouch") & k, c("failures")))
-    counts = running_failures(reports, days).groupBy("place_id").agg(
-        most(c("vouches") == 0).alias("alone"), most(c("vouches") == 1).alias("one"), most(c("vouches") > 1).alias("more"), F.max("vouches").alias("n"),
-        F.max(F.when(c("vouch"), c("at"))).alias("confirmed"), F.max_by(F.when(~c("vouch"), c("failures")), F.when(~c("vouch"), F.struct("at", "id"))).alias("last"),
-    )
+    if moderation is not None:
+        counts = _moderated(reports, days, moderation)
+    else:
+        counts = running_failures(reports, days).groupBy("place_id").agg(
+            most(c("vouches") == 0).alias("alone"), most(c("vouches") == 1).alias("one"), most(c("vouches") > 1).alias("more"), F.max("vouches").alias("n"),
+            F.max(F.when(c("vouch"), c("at"))).alias("confirmed"), F.max_by(F.when(~c("vouch"), c("failures")), F.when(~c("vouch"), F.struct("at", "id"))).alias("last"),
+        ).withColumn("act", F.lit(None).cast("string"))
     known = places.join(counts, places["id"] == counts["place_id"], "left")
+    begins = F.when(c("act").isNull(), c("status")).when(c("act") == "reject", "rejected").otherwise("published")  # what the last act says
     submitted = c("source") == "user_submission"
     few = F.when(submitted & (zero("confirm_count") <= 1), TO_FLAG_SINGLE).otherwise(TO_FLAG)  # before the first vouch the count that a place came with decides
     yes = lambda x: F.coalesce(x, F.lit(False))
     early = yes(c("alone") >= few) | yes(c("one") >= F.when(submitted, TO_FLAG_SINGLE).otherwise(TO_FLAG))
-    hit = ((c("status") == "published") & early) | (c("status").isin("published", "pending") & yes(c("more") >= TO_FLAG))
-    status = F.when(hit, "reported_not_working").when((c("status") == "pending") & (c("n") >= TO_PUBLISH), "published").otherwise(c("status"))
+    hit = ((begins == "published") & early) | (begins.isin("published", "pending") & yes(c("more") >= TO_FLAG))
+    status = F.when(hit, "reported_not_working").when((begins == "pending") & (c("n") >= TO_PUBLISH), "published").otherwise(begins)
     confirms = F.when(c("n") > 0, c("n").cast("int")).otherwise(zero("confirm_count"))
     return known.select("id", status.alias("status"), confirms.alias("confirm_count"), F.coalesce(c("last").cast("int"), zero("report_count")).alias("report_count"), F.timestamp_micros("confirmed").alias("last_confirmed_at"))
 
 
-def _folded(places: DataFrame, reports: DataFrame, days: int, moderation: DataFrame) -> DataFrame:
-    """`trust_state` as one ordered fold per place, which acts of moderators need: they break into the order."""
-    events = reports.select("place_id", F.struct(F.col("created_at").cast("timestamp").alias("at"), F.col("id").cast("long").alias("id"), F.col("kind").alias("kind"), F.col("reporter").cast("string").alias("who")).alias("e"))
-    acts = moderation.select("place_id", F.struct(F.col("created_at").cast("timestamp").alias("at"), F.col("id").cast("long").alias("id"), F.col("action").alias("kind"), F.lit(None).cast("string").alias("who")).alias("e"))
-    events = events.unionByName(acts)
-    logs = events.groupBy("place_id").agg(F.sort_array(F.collect_list("e")).alias("log"))
-    zero = lambda c: (F.coalesce(F.col(c), F.lit(0)) if c in places.columns else F.lit(0)).cast("int")
-    start = F.struct(
-        F.col("status").alias("status"), F.array().cast("array<string>").alias("vouchers"), F.array().cast("array<struct<who:string,at:timestamp>>").alias("failed"),
-        zero("confirm_count").alias("confirms"), zero("report_count").alias("reports"), F.lit(None).cast("timestamp").alias("confirmed"),
+def _moderated(reports: DataFrame, days: int, moderation: DataFrame) -> DataFrame:
+    """What `trust_state` needs of each place where moderators act among the reports, from running counts over segments of its log.
+
+    An act sets the status whatever came before it, so only what follows the last act decides, and a restore closes the failures before it.  So a log is cut
+    at its acts (`part`) and at its restores (`open_part`), by running counts of both; failures are counted inside the stretch between restores, vouches
+    over the whole log, and a place's status is that of its last part.  No list of a place's events is made anywhere.
+    """
+    c, span = F.col, days * 86_400_000_000
+    at = F.unix_micros(F.col("created_at").cast("timestamp"))
+    acts = moderation.filter(F.col("action").isin("approve", "reject", "restore", "locate"))
+    events = reports.filter(is_vouch() | (F.col("kind") == "not_working")).select("place_id", at.alias("at"), F.col("id").cast("long").alias("id"), "kind", F.col("reporter").cast("string").alias("who"), F.lit(0).alias("act"))
+    events = events.unionByName(acts.select("place_id", at.alias("at"), F.col("id").cast("long").alias("id"), F.col("action").alias("kind"), F.lit(None).cast("string").alias("who"), F.lit(1).alias("act")))
+    order = ["at", "id", "kind", "who"]
+    so_far = Window.partitionBy("place_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumns({"part": F.sum("act").over(so_far), "open_part": F.sum((c("kind") == "restore").cast("int")).over(so_far)})
+    vouch, failure = is_vouch(), c("kind") == "not_working"
+    # a voucher counts at the first vouch of all; a reporter's failures of one stretch are periods that begin and end
+    own = Window.partitionBy("place_id", "who", F.when(vouch, -1).otherwise(F.when(failure, c("open_part")).otherwise(-2))).orderBy(*order)
+    events = events.withColumns({"n": F.row_number().over(own), "before": F.lag("at").over(own), "after": F.lead("at").over(own)})
+    begins = failure & (c("before").isNull() | (c("before") <= c("at") - span))
+    ends = failure & (c("after").isNull() | (c("after") >= c("at") + span))
+    row = F.struct("at", F.lit(1).alias("side"), "id", "kind", "who", "act", "part", (vouch & (c("n") == 1)).cast("int").alias("more"), begins.cast("int").alias("open"))
+    end = F.struct((c("at") + span).alias("at"), F.lit(0).alias("side"), "id", "kind", "who", F.lit(0).alias("act"), "part", F.lit(0).alias("more"), F.lit(-1).alias("open"))
+    counted = events.select("place_id", "open_part", F.inline(F.when(ends, F.array(row, end)).otherwise(F.array(row))))
+    line = ["at", "side", "id", "kind", "who"]
+    place = Window.partitionBy("place_id").orderBy(*line).rowsBetween(Window.unboundedPreceding, 0)
+    stretch = Window.partitionBy("place_id", "open_part").orderBy(*line).rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumns({"vouches": F.sum("more").over(place), "failures": F.sum("open").over(stretch)}).filter("side = 1")
+    most = lambda k: F.max(F.when(failure & k, c("failures")))
+    parts = counted.groupBy("place_id", "part").agg(
+        most(c("vouches") == 0).alias("alone"), most(c("vouches") == 1).alias("one"), most(c("vouches") > 1).alias("more"), F.max("vouches").alias("n"), F.max(F.when(c("act") == 1, c("kind"))).alias("act"),
+        F.max(F.when(vouch, c("at"))).alias("confirmed"), F.max(F.when(failure | (c("kind") == "restore"), F.struct(*order, F.when(failure, c("failures")).otherwise(0).alias("reports")))).alias("last"),
     )
-    span = F.make_dt_interval(F.lit(days))
-
-    def step(s: Column, e: Column) -> Column:
-        def keep(**new) -> Column:
-            return F.struct(*[new.get(c, s[c]).alias(c) for c in ("status", "vouchers", "failed", "confirms", "reports", "confirmed")])
-
-        vouchers = F.array_union(s["vouchers"], F.array(e["who"]))
-        vouched = keep(vouchers=vouchers, confirms=F.size(vouchers), confirmed=e["at"], status=F.when((s["status"] == "pending") & (F.size(vouchers) >= TO_PUBLISH), "published").otherwise(s["status"]))
-        failed = F.concat(s["failed"], F.array(F.struct(e["who"].alias("who"), e["at"].alias("at"))))
-        recent = F.size(F.array_distinct(F.transform(F.filter(failed, lambda f: f["at"] > e["at"] - span), lambda f: f["who"])))
-        needed = F.when((F.col("source") == "user_submission") & (s["confirms"] <= 1), TO_FLAG_SINGLE).otherwise(TO_FLAG)
-        flagged = keep(failed=failed, reports=recent, status=F.when((s["status"] == "published") & (recent >= needed), "reported_not_working").otherwise(s["status"]))
-        none = F.array().cast("array<struct<who:string,at:timestamp>>")
-        return (
-            F.when(e["kind"].isin(*VOUCHES), vouched).when(e["kind"] == "not_working", flagged)
-            .when(e["kind"].isin("approve", "locate"), keep(status=F.lit("published"))).when(e["kind"] == "reject", keep(status=F.lit("rejected")))
-            .when(e["kind"] == "restore", keep(status=F.lit("published"), failed=none, reports=F.lit(0))).otherwise(s)
-        )
-
-    joined = places.join(logs, places["id"] == logs["place_id"], "left")
-    out = F.aggregate(F.coalesce("log", F.array().cast("array<struct<at:timestamp,id:bigint,kind:string,who:string>>")), start, step)
-    return joined.select("id", out.alias("s")).select("id", "s.status", F.col("s.confirms").alias("confirm_count"), F.col("s.reports").alias("report_count"), F.col("s.confirmed").alias("last_confirmed_at"))
+    final = F.max_by(F.struct("alone", "one", "more", "act"), "part")
+    return parts.groupBy("place_id").agg(final.alias("f"), F.max("n").alias("n"), F.max("confirmed").alias("confirmed"), F.max("last").alias("last")).select("place_id", "f.*", "n", "confirmed", F.col("last.reports").alias("last"))
 
 
 def edited(places: DataFrame, moderation: DataFrame) -> DataFrame:
