@@ -4,7 +4,7 @@ A window is `WINDOW` consecutive words of one document.  Every word under a wind
 smaller id is removed; windows are judged on the input.  Batches come in order of their ids; for each one
 
 1. its texts are kept in a table bucketed by id, so that no later step shuffles them again;
-2. every window gives its fingerprint (made and shuffled once, into a table bucketed by fingerprint), the least hash of the SUB-word runs in it (equal windows have equal fingerprints, and
+2. every window gives its fingerprint (made once, into a table), the least hash of the SUB-word runs in it (equal windows have equal fingerprints, and
    neighbours mostly share one, so a text has about a fifth as many as windows);
 3. the batch's fingerprints become a run: bucketed and sorted, unique, immutable, with one text that has it and whether others do;
    runs of the past are merge-joined with it, bucket by bucket, without a shuffle;
@@ -39,6 +39,8 @@ WINDOW, SUB = 13, 5
 SORTED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 #: Runs of a kind beyond which they are compacted.
 FAN = 2
+#: Fingerprints (8 bytes each) up to which those that need a closer look are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Batches that the whole table is dealt into: the third one makes runs be compacted, and the fourth reads the compacted one.
 BATCHES = 4
 
@@ -156,7 +158,7 @@ class FingerprintIndex:
     with smaller ids; a batch with an id that isn't larger than all before is refused.
     """
 
-    KEYS = {"fp": ["fp"], "window": ["h1", "h2"], "texts": ["doc_id", "k1"], "reps": ["k1"], "rows": ["fp"], "looked": ["fp"]}
+    KEYS = {"fp": ["fp"], "window": ["h1", "h2"], "texts": ["doc_id", "k1"], "reps": ["k1"]}
     COLUMNS = {"fp": "fp long, owner long, shared boolean", "window": "h1 long, h2 long, first long, n long", "texts": "doc_id long, text string, k1 long, k2 long", "reps": "k1 long, doc_id long"}
 
     def __init__(self, spark: SparkSession, window: int = WINDOW, sub: int = SUB, fan: int = FAN):
@@ -284,8 +286,8 @@ class FingerprintIndex:
         reps = spark.table(new["reps"])
         copies = known.select("doc_id", "k1", "k2").join(first.filter("n > 1"), ["k1", "k2"]).filter("rep < doc_id").select("doc_id", "k1").distinct()
 
-        # fingerprints are made and shuffled once: the run and the texts that need a closer look both read the bucketed table
-        rows = spark.table(self._store(fingerprints(known, self.window, self.sub).repartition(self.buckets, "fp"), "rows"))
+        # fingerprints are made once; owners are combined before the shuffle, so one that all texts have is a row a task
+        rows = spark.table(self._store(fingerprints(known, self.window, self.sub), "rows"))
         owners = rows.groupBy("fp").agg(F.min("k1").alias("owner"), F.max("k1").alias("_last"))
         new["fp"] = self._store(owners.select("fp", "owner", (F.col("owner") != F.col("_last")).alias("shared")), "fp")
         # the runs of the past are merge-joined with the batch's run one after the other: every side is in buckets and sorted, so nothing is shuffled
@@ -296,7 +298,9 @@ class FingerprintIndex:
         several = reduce(Column.__or__, [F.coalesce(f"shared_{i}", F.lit(False)) for i in range(n)], had > 1)
         alone = F.when((had == 1) & ~several, F.coalesce(F.lit(None).cast("long"), *[f"owner_{i}" for i in range(n)]))
         looked = spark.table(self._store(looked.filter(F.col("shared") | (had > 0)).select("fp", alone.alias("alone")), "looked"))
-        wanted = self._gathered(rows.join(looked.select("fp"), "fp", "left_semi").distinct())
+        # where they are too many to broadcast, this is a join of two plain tables, which Spark can split at a fingerprint of very many texts
+        near = F.broadcast if looked.count() <= BROADCAST_ROWS else lambda df: df
+        wanted = self._gathered(rows.join(near(looked.select("fp")), "fp", "left_semi").distinct())
         at = spark.table(self._store(windows(known.join(wanted.join(reps, "k1"), ["doc_id", "k1"]), self.window, self.sub), "at"))
 
         sides = at.select("h1", "h2", F.col("doc_id").alias("first"))
@@ -315,7 +319,8 @@ class FingerprintIndex:
         # stored, so that the join below is one that Spark can split
         firsts = spark.table(self._store(seen.filter(twice).select("h1", "h2", F.array_min(F.array(*least)).alias("first")), "firsts"))
         late = at.join(firsts, ["h1", "h2"]).filter("first < doc_id")
-        starts = late.groupBy("doc_id", "k1").agg(F.collect_set("pos").alias("starts"))
+        # a text has few windows in a partition, so nothing is combined before the shuffle
+        starts = late.select("doc_id", "k1", "pos").repartition(self.buckets, "doc_id", "k1").groupBy("doc_id", "k1").agg(F.collect_list("pos").alias("starts"))
         marks = starts.withColumn("copy", F.lit(False)).unionByName(copies.withColumns({"starts": F.lit(None).cast("array<bigint>"), "copy": F.lit(True)}))
         left = stripped(texts.join(marks, ["doc_id", "k1"], "left"), self.window, with_text)
         path = f"{shared_folder(spark)}/{self.name}_left_{self.written}"
