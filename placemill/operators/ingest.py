@@ -293,6 +293,30 @@ def seed_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"status": F.when(ready, "published").otherwise("pending"), "review_reason": F.when(~ready, "not_geocoded"), "source": F.lit("user_submission")})
 
 
+def shape_contract(rows: DataFrame, shape: list[tuple[str, str]]) -> DataFrame:
+    """(column, position, expected, found, ok, filled, n_rows) of each column of the shape [(name, type)]: whether rows has it at that place and of that type, and in how many rows it has a value."""
+    there = {f.name: (k, f.dataType.simpleString()) for k, f in enumerate(rows.schema.fields)}
+    known = [c for c, _ in shape if c in there]
+    counts = rows.agg(F.count("*").alias("_n"), *[F.count(c).alias(c) for c in known])
+    each = [
+        F.struct(
+            F.lit(c).alias("column"), F.lit(k).alias("position"), F.lit(t).alias("expected"), F.lit(there[c][1] if c in there else "none").alias("found"), F.lit(there.get(c) == (k, t)).alias("ok"),
+            (F.col(c) if c in there else F.lit(0).cast("long")).alias("filled"), F.col("_n").alias("n_rows"),
+        )
+        for k, (c, t) in enumerate(shape)
+    ]
+    return counts.select(F.inline(F.array(*each)))
+
+
+def key_drift(frames: dict[str, DataFrame]) -> DataFrame:
+    """(column, tables): keys that rows of some of the frames have and those of others lack, with the number of frames that have them; a frame's keys are those of its rows."""
+    keys = None
+    for name, frame in frames.items():
+        own = frame.select(F.explode(F.array(*[F.lit(c) for c in frame.columns])).alias("column")).distinct().withColumn("frame", F.lit(name))
+        keys = own if keys is None else keys.unionByName(own)
+    return keys.groupBy("column").agg(F.count("*").alias("tables")).filter(F.col("tables") < len(frames))
+
+
 def schema_drift(**frames: DataFrame) -> list[str]:
     """Columns that some of the frames have and others lack."""
     sets = [set(f.columns) for f in frames.values()]

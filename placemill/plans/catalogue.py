@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from placemill.functions import color, dates, geo, similarity, text
 from placemill.operators import cells, ingest, layout, links, reads, resolve, trust
+from placemill.operators.settle import numbered
 from placemill.plans import oracle, tables
 from placemill.plans.tables import AS_OF, PLACES_SQL, REPORTS_SQL, duck, places, read, reports
 
@@ -130,7 +130,7 @@ SPONSORS = [{"name": "GREEN", "until": "2024-12-31"}, {"name": "x", "id": 12, "u
 def sponsored_order(spark, sf_dir):
     found = places(spark, sf_dir).filter(reads.visible())
     ordered = reads.sponsored_first(found, [F.col("name_he"), F.col("id")], SPONSORS, "2024-06-01")
-    return ordered.withColumn("place", F.row_number().over(Window.orderBy(F.desc("sponsored"), "name_he", "id")).cast("long")).select("id", "sponsored", "place")
+    return numbered(ordered).select("id", "sponsored", "place")
 
 
 def _queue(where: str, order: str, limit: int) -> str:
@@ -314,10 +314,10 @@ def nav_urls(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT o_orderkey AS id, o_totalprice AS m FROM orders) SELECT id, CASE WHEN m < 950 THEN (floor(m / 10 + 0.5) * 10)::BIGINT::VARCHAR || ' מ׳'
-    WHEN m < 9500 THEN printf('%.1f', m / 1000) || ' ק״מ' ELSE 'far' END AS label FROM m""")
+    WHEN m < 9500 THEN printf('%.1f', m / 1000) || ' ק״מ' ELSE printf('%.0f', m / 1000) || ' ק״מ' END AS label FROM m""")
 def distance_labels(spark, sf_dir):
     m = F.col("o_totalprice")
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(m < 9500, geo.distance_label(m)).otherwise("far").alias("label"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), geo.distance_label(m).alias("label"))
 
 
 # cells

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from placemill.functions import color, dates, geo, text
 from placemill.operators import cells, ingest, layout, links, reads, resolve, trust
+from placemill.operators.settle import numbered
 from placemill.plans.catalogue import CELLS_SQL, OLD, TAGS, TAGGED_SQL, TOWNS_SQL, VISIBLE_SQL, WITH_PLACES, WITH_REPORTS, _localities, _near_match_sql, _records, _rows, _tagged, MERGED_SQL, CLUSTERS_SQL, oracle, query
 from placemill.plans.tables import places, read, reports
 
@@ -513,12 +514,12 @@ def refreshed_review(spark, sf_dir):
 @query(f"{MERGED_SQL} SELECT id, row_number() OVER (ORDER BY kind, name_he, id) AS place FROM merged")
 def published_order(spark, sf_dir):
     """Merged records in the order in which they are written."""
-    return _numbered(resolve.published_order(_merged(spark, sf_dir)), ["kind", "name_he", "id"])
+    return numbered(resolve.published_order(_merged(spark, sf_dir))).select("id", "place")
 
 
 @query(f"{MERGED_SQL} SELECT id, row_number() OVER (ORDER BY confidence, id) AS place FROM merged")
 def review_order(spark, sf_dir):
-    return _numbered(resolve.review_order(_merged(spark, sf_dir)), ["confidence", "id"])
+    return numbered(resolve.review_order(_merged(spark, sf_dir))).select("id", "place")
 
 
 def _merged(spark, sf_dir) -> DataFrame:
@@ -526,10 +527,6 @@ def _merged(spark, sf_dir) -> DataFrame:
     return resolve.collapse(records, resolve.cluster(records))
 
 
-def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).select("id", "place")
-
-
 # moderation
 
 
@@ -592,19 +589,30 @@ def hourly_reports(spark, sf_dir):
 # contracts
 
 
-@query("SELECT * FROM (VALUES ('same', 0, 'none', 'none'), ('swapped', 0, 'id', 'name_he'), ('swapped', 1, 'name_he', 'id'), ('longer', 2, 'none', 'city')) AS v(frame, position, expected, found) WHERE expected <> found")
+#: What a table of events, and of places, has to look like: position, column and type.
+EVENT_SHAPE = [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"), ("props", "string"), ("session", "string")]
+SHAPE_SQL = ", ".join(f"('{c}', {k}, '{t}')" for k, (c, t) in enumerate(EVENT_SHAPE))
+KIND_SQL = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP_NS' THEN 'timestamp_ntz' ELSE column_type END"
+
+
+@query(f"""WITH want AS (SELECT * FROM (VALUES {SHAPE_SQL}) AS v(name, position, kind)), got AS (SELECT column_name AS name, row_number() OVER () - 1 AS position, {{KIND}} AS kind FROM (DESCRIBE SELECT * FROM events)),
+    n AS (SELECT count(*) AS n, count(event_id) AS event_id, count(ts) AS ts, count(user_id) AS user_id, count(event_type) AS event_type, count(value) AS value, count(props) AS props FROM events),
+    filled AS (UNPIVOT n ON event_id, ts, user_id, event_type, value, props INTO NAME name VALUE filled)
+    SELECT w.name AS "column", w.position::INT AS position, w.kind AS expected, coalesce(g.kind, 'none') AS found, g.position IS NOT DISTINCT FROM w.position AND g.kind = w.kind AS ok, coalesce(filled, 0) AS filled, (SELECT n FROM n) AS n_rows
+    FROM want w LEFT JOIN got g USING (name) LEFT JOIN filled f ON f.name = w.name""".replace("{KIND}", KIND_SQL))
 def column_contracts(spark, sf_dir):
-    """Where frames that have to have one shape differ from the first."""
-    own = places(spark, sf_dir)
-    base = own.select("id", "name_he")
-    found = ingest.column_contract(base=base, same=own.select("id", "name_he"), swapped=own.select("name_he", "id"), longer=own.select("id", "name_he", "city"))
-    return spark.createDataFrame([(a, b, c or "none", d or "none") for a, b, c, d in found], "frame string, position int, expected string, found string")
+    """The given events against the shape that is asked of them: place and type of each column, and in how many rows it is filled."""
+    return ingest.shape_contract(read(spark, sf_dir, "events"), EVENT_SHAPE)
+
 
+TABLES = ["customer", "supplier", "part", "orders", "lineitem"]
 
-@query("SELECT unnest(['city', 'name_he']) AS \"column\"")
+
+@query("SELECT column_name AS \"column\", count(DISTINCT table_name) AS tables FROM (" + " UNION ALL ".join(f"SELECT split_part(column_name, '_', 2) AS column_name, '{t}' AS table_name FROM (DESCRIBE SELECT * FROM {t})" for t in ("customer", "supplier", "part", "orders", "lineitem")) + ") GROUP BY 1 HAVING count(DISTINCT table_name) < 5")
 def schema_drift(spark, sf_dir):
-    own = places(spark, sf_dir)
-    return spark.createDataFrame([(c,) for c in ingest.schema_drift(a=own.select("id", "name_he"), b=own.select("id", "city"))], "column string")
+    """Fields, without their table's letter, that some of the given tables have and others lack, and how many have them: from the keys of their rows."""
+    own = {t: read(spark, sf_dir, t) for t in TABLES}
+    return ingest.key_drift({t: f.toDF(*[c.split("_", 1)[1] for c in f.columns]) for t, f in own.items()})
 
 
 def _palette_sql() -> str:

@@ -36,6 +36,41 @@ def sheet_cells(spark: SparkSession, path: str) -> DataFrame:
     return body.select("row", dates.parse_stamp(F.col("c0")).alias("reported_at"), fields).withColumn("text", F.trim("text")).filter("text <> ''")
 
 
+def split_sheet_cells(spark: SparkSession, path: str) -> DataFrame:
+    """`sheet_cells` of sheets of any size: each is read in splits, by as many tasks, also where cells hold line breaks.
+
+    A line begins a record where the number of quotes before it in its file is even.  Quotes and lines are counted by split, so that a split knows from the sums of
+    those before it whether it begins inside quotes and how many records there were.  Lines of one record meet in one row, and nothing else does.
+    Blank lines between records count as none.  Line breaks inside cells are \n.
+    """
+    schema = "c0 string, c1 string, c2 string, c3 string"
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.withColumn("value", F.regexp_replace(F.regexp_replace("value", "\\r$", ""), "^\ufeff", "")).withColumn("quotes", F.regexp_count("value", F.lit('"')))
+    inside = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("odd", F.coalesce(F.sum("quotes").over(inside), F.lit(0)) % 2)
+    # a blank line inside quotes is part of a cell, so whether it counts depends on how its split begins
+    filled = F.trim("value") != ""
+    splits = lines.groupBy("file", "split").agg(F.sum("quotes").alias("quotes"), F.count_if((F.col("odd") == 0) & filled).alias("even"), F.count_if((F.col("odd") == 1) & filled).alias("uneven"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = splits.withColumn("begins", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    splits = splits.withColumn("records", F.when(F.col("begins") == 0, F.col("even")).otherwise(F.col("uneven")))
+    splits = splits.select("file", "split", "begins", F.coalesce(F.sum("records").over(earlier), F.lit(0)).alias("before"))
+    joined = lines.join(splits, ["file", "split"])
+    outside = (F.col("odd") + F.col("begins")) % 2 == 0
+    upto = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    joined = joined.filter(filled | ~outside).withColumn("record", F.col("before") + F.sum((outside & filled).cast("int")).over(upto))
+    line = F.struct("split", "at", "value")
+    records = joined.groupBy("file", "record").agg(F.sort_array(F.collect_list(line)).alias("lines"))  # the lines of one record
+    text = F.array_join(F.transform("lines", lambda x: x["value"]), "\n")
+    counts = joined.groupBy("file").agg((F.max("record") - 1).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cell = F.from_csv(text, schema, {"escape": '"'})
+    body = records.filter("record > 1").select("file", "record", cell.alias("c")).join(F.broadcast(counts.select("file", before.alias("earlier"))), "file")  # one row a file
+    fields = F.inline(F.array(F.struct(F.lit("vacation_voucher").alias("field"), F.col("c.c2").alias("text")), F.struct(F.lit("fighter_card").alias("field"), F.col("c.c3").alias("text"))))
+    body = body.filter("c.c3 IS NOT NULL OR c.c2 IS NOT NULL").withColumn("row", F.col("earlier") + F.col("record"))
+    return body.select("row", dates.parse_stamp(F.col("c.c0")).alias("reported_at"), fields).withColumn("text", F.trim("text")).filter("text <> ''")
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A file that is one JSON array."""
     reader = spark.read.option("multiLine", True)
