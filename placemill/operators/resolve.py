@@ -79,23 +79,59 @@ def cluster(records: DataFrame, id_col: str = "id", threshold: float = SAME_NAME
     return _streamed_clusters(canonical, threshold) if largest <= streamed else _joined_clusters(canonical, threshold)
 
 
+def _lost(length: Column, threshold: float) -> Column:
+    """Trigrams that a text of this length can lose to one that is as like it as the threshold: their letters differ by d = (1 - threshold / 100) of both lengths at most, and each insertion or deletion costs three."""
+    share = 1 - threshold / 100
+    return F.floor(3 * share * (1 + (1 + share) / (1 - share)) * length)
+
+
+def _length_fits(x: Column, y: Column, threshold: float) -> Column:
+    return 200.0 * F.least(x, y) >= threshold * (x + y)
+
+
 def _alike(names: DataFrame, threshold: float) -> DataFrame:
     """(block, x, y), x < y: the names (block, _he) of a block that are the same place by their letters.
 
-    A pair's letters differ by d = (1 - threshold / 100) of both lengths at most, and each insertion or deletion costs a name three of its trigrams at most; so each name meets
-    others under its rarest trigrams only, one more than it can lose.  Names with fewer trigrams than that meet under all of them.
+    Each name meets others under its rarest trigrams only, one more than it can lose.  Names with fewer trigrams than that meet under all of them.
     """
-    share = 1 - threshold / 100
-    lost = F.floor(3 * share * (1 + (1 + share) / (1 - share)) * F.length("_he"))
     grams = names.select("block", "_he", F.explode(word_grams(F.col("_he"))).alias("t"))
     counted = grams.join(grams.groupBy("block", "t").agg(F.count("*").alias("df")), ["block", "t"])
-    ranked = counted.withColumn("_n", F.row_number().over(Window.partitionBy("block", "_he").orderBy("df", "t"))).filter(F.col("_n") <= lost + 1).select("block", "t", "_he")
+    ranked = counted.withColumn("_n", F.row_number().over(Window.partitionBy("block", "_he").orderBy("df", "t"))).filter(F.col("_n") <= _lost(F.length("_he"), threshold) + 1).select("block", "t", "_he")
     met = ranked.withColumnRenamed("_he", "x").join(ranked.withColumnRenamed("_he", "y"), ["block", "t"]).filter("x < y").select("block", "x", "y").distinct()
-    near = met.filter(200.0 * F.least(F.length("x"), F.length("y")) >= threshold * (F.length("x") + F.length("y")))
+    near = met.filter(_length_fits(F.length("x"), F.length("y"), threshold))
     texts = near.select("x", "y").distinct().filter(sort_ratio(F.col("x"), F.col("y")) >= threshold).filter(set_ratio(F.col("x"), F.col("y")) >= threshold)
     return near.join(texts, ["x", "y"]).select("block", "x", "y")
 
 
+def candidates(queries: DataFrame, names: DataFrame, least: float = MATCH_CONFIDENCE) -> DataFrame:
+    """(query, name): a superset of the pairs of distinct canonical texts whose set ratio is 100 * least or more, by two joins on rare parts.
+
+    A set ratio that high has one of three reasons.  All words of one text are in the other, or those of one text that aren't are at most 2 (1 - least) / (2 - least)
+    of its letters: then the texts meet under a word of the one's rarest words whose letters are more than that.  Or the texts, each word once, are alike by
+    their letters: then they meet under a trigram that is among the rarest of both, one more than each can lose, and their lengths are near.
+    """
+    threshold, sides = 100 * least, {}
+    once = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+    parts = {"w": once, "t": lambda c: word_grams(c)}
+    for kind, f in parts.items():
+        own = {n: df.select(n, F.explode(f(F.col(n))).alias(kind)) for n, df in (("query", queries), ("name", names))}
+        df = own["query"].select(kind).unionByName(own["name"].select(kind)).groupBy(kind).agg(F.count("*").alias("df"))
+        for n, rows in own.items():
+            rarest = Window.partitionBy(n).orderBy("df", kind)
+            length = F.length(F.array_join(once(F.col(n)), " "))
+            counted = rows.join(df, kind)
+            if kind == "w":
+                before = F.coalesce(F.sum(F.length("w")).over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                rare = counted.withColumn("_before", before).filter(F.col("_before") <= 2 * (1 - least) / (2 - least) * length)
+            else:
+                rare = counted.withColumn("_n", F.row_number().over(rarest)).filter(F.col("_n") <= _lost(length, threshold) + 1)
+            sides[kind, n] = rows, rare.select(n, kind, length.alias(f"{n}_length"))
+    pair = ["query", "name"]
+    words = sides["w", "query"][1].join(sides["w", "name"][0], "w").select(*pair).unionByName(sides["w", "query"][0].join(sides["w", "name"][1], "w").select(*pair))
+    letters = sides["t", "query"][1].join(sides["t", "name"][1], "t").filter(_length_fits(F.col("query_length"), F.col("name_length"), threshold)).select(*pair)
+    return words.unionByName(letters).distinct()
+
+
 def _joined_clusters(canonical: DataFrame, threshold: float) -> DataFrame:
     """The heads are the names that match no earlier head: in each round those without an undecided earlier match are heads, and what matches them is decided too."""
     nodes = settled(canonical.groupBy("block", "alias", "_en", "_he").agg(F.min(F.struct("_size", "name_he", "id")).alias("first")).withColumn("node", F.col("first")["id"]))
@@ -244,7 +280,7 @@ def _or_null(frame: DataFrame, column: str) -> Column:
 def locate(places: DataFrame, pois: DataFrame, localities: DataFrame, least: float = MATCH_CONFIDENCE, radius_km: float = CITY_KM) -> DataFrame:
     """(place, poi, provider_ref, name_osm, lat, lng, address_he, phone, url, osm_category, match_confidence, reason) for places (place, name_he, city, and phone and url if known).
 
-    Candidates come from an equi-join on trigrams, so no name is compared with all others.  It joins distinct queries and distinct names:
+    Candidates come from equi-joins on rare words and trigrams, so no name is compared with all others.  They join distinct queries and distinct names:
     the scores and the order of a query's candidates depend on nothing else, so each pair of texts is scored once, and of the points
     that share a name only the first of the order, as many as a query has candidates, can be among them.  Equal scores go by that order.
     A city that is said but not known leaves a place unresolved, also one that has no letters.
@@ -254,10 +290,7 @@ def locate(places: DataFrame, pois: DataFrame, localities: DataFrame, least: flo
     unresolved = F.coalesce(F.col("city") != "", F.lit(False)) & F.col("centre_lat").isNull()
     open_ = asked.filter((F.col("query") != "") & ~unresolved)
     space = search_space(pois)
-    # a set score of the cutoff needs a common word or most trigrams in common: both show as common trigrams
-    queries, names = open_.select("query").distinct(), space.select("name").distinct()
-    keys = queries.select("query", F.explode(word_grams(F.col("query"))).alias("t")).join(names.select("name", F.explode(word_grams(F.col("name"))).alias("t")), "t")
-    met = keys.groupBy("query", "name").agg(F.count("*").alias("common")).filter(F.col("common") >= 2).drop("common")
+    met = candidates(open_.select("query").distinct(), space.select("name").distinct(), least)
     scored = met.withColumn("set_score", set_ratio(F.col("query"), F.col("name"))).filter(F.col("set_score") >= least * 100)
     scored = _first(scored.join(_first(space, "name", CANDIDATES, F.col("hit")), "name"), "query", CANDIDATES, F.desc("set_score"), F.col("hit"))
     scored = _same_words(scored).join(pois.select("poi", "lat", "lon"), "poi").join(open_.select("place", "query", "centre_lat", "centre_lon"), "query")
