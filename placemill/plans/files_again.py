@@ -11,9 +11,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from placemill.functions import text
-from placemill.operators import reads, resolve
+from placemill.operators import reads, resolve, spatial
 from placemill.operators.settle import shared_folder
-from placemill.plans.catalogue import WITH_PLACES, oracle, query
+from placemill.plans.catalogue import AT, SQL, WITH_PLACES, oracle, query
 from placemill.plans.tables import places, read
 from placemill.sources import files
 
@@ -109,3 +109,11 @@ def judged_remote(spark, sf_dir):
     hits = own.select(F.col("id").alias("hit"), F.col("id").alias("poi"), named.alias("name"), "lat", F.col("lng").alias("lon"))
     found = resolve.judged(asked.join(hits, "hit"), limit=None)
     return found.filter(F.col("match_confidence") >= resolve.MATCH_CONFIDENCE).withColumn("match_confidence", F.round("match_confidence", 3))
+
+
+@query(SQL["near_places"])
+def near_sorted_places(spark, sf_dir):
+    """Places near a point, from a table that is sorted along a curve."""
+    path = _folder(spark, "curve")
+    spatial.write(places(spark, sf_dir), path)
+    return spatial.places_near(spark, path, *AT).select("id", "name_he", "category", F.round("distance_m", 3).alias("distance_m"))
