@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from placemill.functions import text
 from placemill.operators import reads, resolve, spatial
+from placemill.operators.search_index import SearchIndex
 from placemill.operators.settle import shared_folder
 from placemill.plans.catalogue import AT, SQL, WITH_PLACES, oracle, query
 from placemill.plans.tables import places, read
@@ -117,3 +118,12 @@ def near_sorted_places(spark, sf_dir):
     path = _folder(spark, "curve")
     spatial.write(places(spark, sf_dir), path)
     return spatial.places_near(spark, path, *AT).select("id", "name_he", "category", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query(SQL["search_places"])
+def search_indexed(spark, sf_dir):
+    """The search box on an index of trigrams, the places added in two runs."""
+    own, index = places(spark, sf_dir), SearchIndex(spark, _folder(spark, "search"))
+    index.add(own.filter("id % 3 = 0"))
+    index.add(own.filter("id % 3 <> 0"))
+    return index.search(" a  SMALL").select("id", "name_he")
