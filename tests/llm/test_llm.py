@@ -783,6 +783,18 @@ def test_substrings_against_brute_force(docs, rows, empty, batches, fan):
         assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_a_line_in_every_document(spark, monkeypatch, most):
+    """Eight batches that all have one line; the closer look is broadcast, or joined where that is too much."""
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", most)
+    r = random.Random(12)
+    line = " ".join(f"w{k}" for k in range(20))
+    some = lambda n: " ".join(r.choice("abcdefghij") + str(r.randint(0, 40)) for _ in range(n))
+    rows = [(k, f"{some(r.randint(0, 30))}\n{line}\n{some(r.randint(0, 30))}", "s") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert bag(substring_dedup.substring_dedup(docs, batches=8)) == brute_substrings(rows)
+
+
 def test_incremental_batches(spark, docs, rows):
     index = substring_dedup.FingerprintIndex(spark, fan=1)
     got = collections.Counter()
