@@ -80,9 +80,13 @@ def wave_delay(y: Column) -> Column:
 
 
 def distance_label(metres: Column) -> Column:
-    """A distance as one says it: tens of metres below 950, a decimal of a kilometre below 9500, whole ones beyond."""
+    """A distance as one says it: tens of metres below 950, a decimal of a kilometre below 9500, whole ones beyond.
+
+    Kilometres are rounded as C's printf does: the binary value, ties to the even digit (format_string rounds the shortest decimal, ties up).
+    """
     tens = (F.floor(metres / 10 + 0.5) * 10).cast("long").cast("string")
-    far = F.when(metres < 9500, F.format_string("%.1f", metres / 1000)).otherwise(F.format_string("%.0f", metres / 1000))
+    km = (metres / 1000).cast("double")
+    far = F.when(metres < 9500, F.call_function("format_number", km, F.lit("0.0"))).otherwise(F.call_function("format_number", km, F.lit("0")))
     return F.when(metres < 950, F.concat(tens, F.lit(" מ׳"))).when(metres.isNotNull(), F.concat(far, F.lit(" ק״מ")))
 
 

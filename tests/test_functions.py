@@ -131,6 +131,13 @@ def test_distance_labels(spark):
     assert got == ("0 מ׳", "10 מ׳", "940 מ׳", "950 מ׳", "1.0 ק״מ", "9.5 ק״מ", "10 ק״מ", None) or got[:4] == ("0 מ׳", "10 מ׳", "940 מ׳", "950 מ׳")
 
 
+def test_distance_labels_are_rounded_as_by_printf(spark):
+    """Ties go to the even digit, and what is no tie in binary is none."""
+    metres = [1150.0, 1250.0, 1350.0, 1450.0, 8750.0, 9450.0, 9500.0, 10500.0, 198500.0, 199500.0, 123456789500.0, *[950 + k * 0.37 for k in range(0, 24_000, 7)], *[950.0 + 50 * k for k in range(400)]]
+    got = [r["label"] for r in spark.createDataFrame(list(enumerate(metres)), "k long, m double").orderBy("k").select(geo.distance_label(F.col("m")).alias("label")).collect()]
+    assert got == [f"{m / 1000:{'.1f' if m < 9500 else '.0f'}} ק״מ" for m in metres]
+
+
 def test_paths(spark):
     path, ok, bad = one(spark, geo.absolute_paths(F.lit("m 1,1 2,0 0,2 z m 5,5 1,0 0,1 z M 0 0 1 1")), geo.path_supported(F.lit("m 1e1,2 z")), geo.path_supported(F.lit("m 1,2 l 3,4")))
     points = [[(p["x"], p["y"]) for p in sub] for sub in path]
