@@ -100,6 +100,15 @@ set_ratio = _pairwise(token_set_ratio)
 word_ratio = _pairwise(word_similarity)
 
 
+def gram_set(name: Column) -> Column:
+    """The distinct trigrams that `name_similarity` compares, in any order; null for null."""
+
+    def run(names: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else sorted(set(trigram_list(x))) for x in names.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, T.ArrayType(T.StringType()))(name)
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     return F.greatest(word_ratio(a, b), word_ratio(b, a))
 

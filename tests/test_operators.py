@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from placemill.functions.similarity import word_similarity
 from placemill.operators import cells, ingest, layout, links, reads, resolve, trust
 from placemill.streaming import trust_stream
 
@@ -402,3 +403,25 @@ def test_window_trust_against_the_fold(spark):
     none = spark.createDataFrame([], "id long, place_id long, action string, created_at timestamp_ntz")
     a, b = (sorted(tuple(r) for r in trust.trust_state(frame, rows, 5, m).collect()) for m in (None, none))
     assert a == b
+
+
+def test_near_matches_of_copies_are_not_paired(spark):
+    """A doorway of very many places and probes of one name: 400 million pairs, one comparison of names."""
+    at = [F.lit(31.777).alias("lat"), F.lit(35.298).alias("lng")]
+    own = spark.range(20_000).select((F.col("id") + 5).alias("id"), F.lit("golf").alias("name_he"), *at, F.lit("published").alias("status"))
+    probes = spark.range(20_000).select(F.col("id").alias("probe_id"), *at, F.lit("golf").alias("name"))
+    got = reads.near_matches(probes, own).groupBy("id", "distance_m", "name_similarity").count().collect()
+    assert [tuple(r) for r in got] == [(5, 0.0, 1.0, 20_000)]
+
+
+def test_names_that_may_be_alike_all_meet_and_others_seldom(spark):
+    """Against all pairs: none that is alike is missed, and names that share only a usual word don't meet."""
+    rng = random.Random(7)
+    words = ["golf", "castro", "zip", "קפה", "İzmir", "ß", "shop"]
+    names = sorted({" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(60)} | {f"shop {k * 7919 % 100_000}" for k in range(200)} | {"shop 123456", "shop 1234567", "!!", ""})
+    one = spark.createDataFrame([(n, n, 10 + k % 2, -3, 4) for k, n in enumerate(names)], "one string, name string, x long, y long, z long")
+    got = {(r["one"], r["other"]) for r in reads.alike_nearby(one, None, 1, 0.9).collect()}
+    alike = {(a, b) for a in names for b in names if max(word_similarity(a, b), word_similarity(b, a)) > 0.9}
+    assert alike <= got and len(got) < len(names) ** 2 / 20
+    far = one.withColumn("x", F.when(F.col("x") == 10, 12).otherwise(F.col("x"))).withColumnRenamed("one", "other").filter("x = 12")
+    assert reads.alike_nearby(one.filter("x = 10"), far, 1, 0.9).isEmpty() and not reads.alike_nearby(one.filter("x = 10"), far, 2, 0.9).isEmpty()
