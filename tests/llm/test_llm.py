@@ -808,6 +808,22 @@ def test_incremental_batches(spark, docs, rows):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("fingerprints_")]
 
 
+def test_runs_reach_their_writer_in_order(spark):
+    """Before a run is written its rows lie in the order of buckets and keys, so that the writer's sort of whole rows has nothing left to do."""
+    index = substring_dedup.FingerprintIndex(spark)
+    rows = spark.range(4000).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.col("id").alias("first"), F.lit(1).alias("n"))
+    before = spark.conf.get("spark.sql.optimizer.plannedWrite.enabled")
+    for kind, df in (("window", rows), ("fp", rows.select(F.col("h1").alias("fp"), F.col("h2").alias("owner"), (F.col("h2") > 5).alias("shared")))):
+        keys = index.KEYS[kind]
+        placed = index._arranged(df.repartition(3), kind).select(F.spark_partition_id().alias("task"), F.pmod(F.hash(*keys), F.lit(index.buckets)).alias("bucket"), *keys).collect()
+        for task in range(3):
+            got = [tuple(r)[1:] for r in placed if r["task"] == task]
+            assert len(got) > 1000 and {r[0] for r in got} == set(range(index.buckets)) and got == sorted(got)
+    assert sum(index.add(spark.createDataFrame([(1, "a " * 30), (2, "a " * 30)], "doc_id long, text string")).toPandas()["n_removed"]) == 30
+    index.close()
+    assert spark.conf.get("spark.sql.optimizer.plannedWrite.enabled") == before
+
+
 def test_an_index_is_saved_and_opened_again(spark, docs, rows, tmp_path):
     rows = [r for r in rows if r[0] is not None]
     part = lambda low, high: docs.filter(F.col("doc_id").between(low, high)).select("doc_id", "text")
