@@ -1,11 +1,13 @@
 """HTML extraction by nearest-URL page differencing.
 
 Pages are sorted by host and URL path; each is compared with the neighbour of its host whose path shares the longer start.  Their lines
-(blocks of text) are aligned by a longest common subsequence, and shared lines are deleted, except where an article or main element claims
-them: copies of an article and sentences that articles share would go otherwise.  A pair that shares most of both pages' text is a pair of copies
+(blocks of text) are aligned by a longest common subsequence, and shared lines are deleted.  A pair that shares most of both pages' text is a pair of copies
 and tells nothing, so neighbours that are copies form a run, and a page is compared with the nearest pages outside its run and with the
-ends of the run, the likest path first, until one is no copy.  Lines that only markup marks as menus, headers, footers, sidebars, notices, adverts, forms or comments are deleted
-too, since neighbours need not share them; in a page with a claimed article, so are lines outside it.
+ends of the run, the likest path first, until one is no copy.
+
+All pages of all hosts are differenced.  The markup is the check that follows.  Lines that it marks as menus, headers, footers, sidebars, notices, adverts,
+forms or comments are deleted too, since neighbours need not share them.  Where an article or main element claims lines, it takes back those that were deleted
+as shared (copies of an article and sentences that articles share would go otherwise), and the lines outside it go.
 
 All lines are read whole by one linear pass over the page, and pages of very many lines are aligned in bounded memory.
 
@@ -16,18 +18,18 @@ Nothing is cut off or capped; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import copy
 import html
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm.common import cut, mapped, ranked, shared_folder, table
+from placemill.llm.common import cut, mapped, table, tidy
 
 #: Above this share of both pages' characters two neighbours are copies; of the shorter page alone, it may be a template's share.
 COPY_SHARE = 0.6
@@ -273,116 +275,220 @@ def shared_lines(mine: list[int], other: list[int], cells: int = CELLS) -> list[
     return [*range(head), *[head + k for k in found], *range(len(mine) - tail, len(mine))]
 
 
-PARSED = "page_id long, key long, url string, text string, lines array<long>, chars array<int>, blocks array<struct<text:string,away:boolean>>"
+LINES = "page_id long, key long, url string, lines array<long>, chars array<int>"
+TEXTS = "page_id long, key long, url string, text string, marks binary"
+OUT = "page_id long, url string, text string, n_shared long, n_taken_back long"
+PAGE = "struct<host:string,path:string,page_id:long,key:long,lines:array<long>,chars:array<int>>"
+EDGES = f"part int, runs long, head {PAGE}, head_end {PAGE}, second {PAGE}, tail {PAGE}, tail_begin {PAGE}, before_tail {PAGE}"
+
+_PAGE = [("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("key", pa.int64()), ("lines", pa.list_(pa.int64())), ("chars", pa.list_(pa.int32()))]
+_EDGES = pa.schema([("part", pa.int32()), ("runs", pa.int64()), *[(c, pa.struct(_PAGE)) for c in ("head", "head_end", "second", "tail", "tail_begin", "before_tail")]])
+_ONWARD = pa.schema([*_PAGE, ("part", pa.int32()), ("place", pa.int64()), ("begins", pa.bool_()), ("like", pa.int64()), ("number", pa.int32()), ("shared", pa.list_(pa.int32()))])
+_SHARED = pa.schema([("page_id", pa.int64()), ("key", pa.int64()), ("shared", pa.list_(pa.int32()))])
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """PARSED of pages (page_id, key, url, html): the text where an article or main element claims lines, else null and the blocks; the keys and lengths of all lines."""
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.struct([("text", pa.string()), ("away", pa.bool_())]))]
-    names = ["page_id", "key", "url", "text", "lines", "chars", "blocks"]
+def line_keys(pages: DataFrame) -> DataFrame:
+    """LINES of pages (page_id, key, url, html): keys and lengths of all lines."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(x.as_py()) for x in batch.column(3)]
-            claimed = [any(c and not away for _, c, away in f) for f in found]
-            texts = ["\n".join(t for t, c, away in f if c and not away) if claim else None for f, claim in zip(found, claimed, strict=True)]
-            open_ = [None if claim else [{"text": t, "away": away} for t, _, away in f] for f, claim in zip(found, claimed, strict=True)]
-            columns = [batch.column(0), batch.column(1), batch.column(2), texts, [[line_key(t) for t, _, _ in f] for f in found], [[len(t) for t, _, _ in f] for f in found], open_]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            found = [[t for t, _, _ in blocks(x.as_py())] for x in batch.column(3)]
+            lines, chars = [[line_key(t) for t in f] for f in found], [[len(t) for t in f] for f in found]
+            columns = [*batch.columns[:3], pa.array(lines, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "key", "url", "lines", "chars"])
+
+    return mapped(pages.select("page_id", "key", "url", "html"), emit, LINES)
+
 
-    return mapped(pages.select("page_id", "key", "url", "html"), emit, PARSED)
+def line_texts(pages: DataFrame) -> DataFrame:
+    """TEXTS of pages (page_id, key, url, html): all lines, joined, and a byte for each: 1 where an article or main element has it, 2 where it is away, 3 for both."""
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [blocks(x.as_py()) for x in batch.column(3)]
+            texts, marks = ["\n".join(t for t, _, _ in f) for f in found], [bytes(claimed | away << 1 for _, claimed, away in f) for f in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(marks, pa.binary())], ["page_id", "key", "url", "text", "marks"])
 
-def _host(url: str = "url") -> Column:
-    return F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
+    return mapped(pages.select("page_id", "key", "url", "html"), emit, TEXTS)
 
 
 def _copies(mine: dict, other: dict, shared: list[int]) -> bool:
     return sum(mine["chars"][k] for k in shared) > COPY_SHARE * max(1, sum(mine["chars"]), sum(other["chars"]))
 
 
-def differences(lines: DataFrame) -> DataFrame:
-    """(page_id, key, shared) for the pages that share lines with their nearest neighbour of the host, from `parsed`."""
-    path = F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
-    sited = lines.withColumns({"host": _host(), "path": path}).filter("host <> ''").dropDuplicates(["page_id", "key", "url"])
-    order = [F.col(c) for c in ("host", "path", "page_id", "key")]
-    placed = cut(ranked(sited.select("page_id", "key", "host", "path", "lines", "chars"), order))
-    before = placed.select((F.col("rank") + 1).alias("rank"), F.col("host").alias("before_host"), F.struct("lines", "chars").alias("before"))
-    pairs = placed.join(before, "rank", "left").select("rank", "lines", "chars", F.when(F.col("before_host") == F.col("host"), F.col("before")).alias("before"))
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _page(row: dict) -> dict:
+    return {c: row[c] for c, _ in _PAGE}
+
+
+def _begins(page: dict, before: dict | None) -> bool:
+    """Whether a page begins a run of copies, after the page before it in the order."""
+    return before is None or before["host"] != page["host"] or not _copies(page, before, shared_lines(page["lines"], before["lines"]))
+
+
+def likest(page: dict, near: list[tuple[int, dict | None]], best: tuple[int, int, list[int]] | None = None) -> tuple[int, int, list[int]] | None:
+    """(less the characters that the paths begin with alike, number, shared lines) of the first of near (number, page) that is no copy, unless best comes before it."""
+
+    def alike(a: str, b: str) -> int:
+        return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    others = [(-alike(o["path"], page["path"]), k, o) for k, o in near if o and o["host"] == page["host"] and (o["page_id"], o["key"]) != (page["page_id"], page["key"])]
+    for like, k, o in sorted(others, key=lambda x: x[:2]):
+        if best and best[:2] < (like, k):
+            break
+        found = shared_lines(page["lines"], o["lines"])
+        if not _copies(page, o, found):
+            return like, k, found
+    return best
+
+
+class Onward:
+    """What is known of a page from those before it: the first page of its run, and the last one of the run before."""
+
+    def __init__(self, last: dict | None = None, first: dict | None = None, before: dict | None = None):
+        self.last, self.first, self.before = last, first, before
+
+    def step(self, page: dict) -> bool:
+        if begins := _begins(page, self.last):
+            self.first, self.before = page, self.last
+        self.last = page
+        return begins
+
+
+class Backward:
+    """What is known of a page from those behind it: the last page of its run, and the first one of the run behind."""
+
+    def __init__(self, next_: dict | None = None, begins: bool = True, last: dict | None = None, after: dict | None = None):
+        self.next, self.begins, self.last, self.after = next_, begins, last, after
+
+    def step(self, page: dict, begins: bool) -> None:
+        if self.begins:
+            self.last, self.after = page, self.next
+        self.next, self.begins = page, begins
+
+
+def edges(placed: DataFrame) -> DataFrame:
+    """EDGES of each part of placed: its first and last pages, and where its first and last runs end and begin."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, out = Onward(), {"runs": 0}
         for batch in batches:
-            begins = [int(r["before"] is None or not _copies(r, r["before"], shared_lines(r["lines"], r["before"]["lines"]))) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(begins, pa.int64())], ["rank", "begins"])
-
-    # neighbours that are copies are one run, which counts as one page for its neighbours
-    runs = ranked(mapped(pairs, begin, "rank long, begins long"), [F.col("rank")], F.col("begins"), "run").select("rank", "run")
-    sited = placed.join(runs, "rank")
-    page = F.struct("rank", "path", "lines", "chars")
-    ends = cut(sited.groupBy("run").agg(F.min_by("host", "rank").alias("host"), F.min_by(page, "rank").alias("first"), F.max_by(page, "rank").alias("last")))
-    near = ends
-    for side, shift, end in (("before", 1, "last"), ("after", -1, "first")):
-        other = ends.select((F.col("run") + shift).alias("run"), F.col("host").alias(f"{side}_host"), F.col(end).alias(side))
-        near = near.join(other, "run", "left").withColumn(side, F.when(F.col(f"{side}_host") == F.col("host"), F.col(side))).drop(f"{side}_host")
-    joined = sited.join(near.drop("host"), "run")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def alike(a: str, b: str) -> int:
-            return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            for row in batch.to_pylist():
+                page, end = _page(row), at.last
+                if at.step(page):
+                    out["runs"] += 1
+                    if out["runs"] == 1:
+                        out |= {"part": row["part"], "head": page}
+                    elif out["runs"] == 2:
+                        out |= {"head_end": end, "second": page}
+        if out["runs"]:
+            yield pa.RecordBatch.from_pylist([{"head_end": at.last} | out | {"tail": at.last, "tail_begin": at.first, "before_tail": at.before}], _EDGES)
+
+    return mapped(placed, emit, EDGES)
+
+
+def across(parts: list[dict]) -> dict[int, tuple[Onward, Backward]]:
+    """What is known on either side of each part, from the EDGES of all in order: runs may go on over any number of them."""
+    onward, backward, begun = {}, {}, {}
+    at = Onward()
+    for e in parts:
+        onward[e["part"]], begun[e["part"]] = at, _begins(e["head"], at.last)
+        if e["runs"] > 1:
+            at = Onward(e["tail"], e["tail_begin"], e["before_tail"])
+        else:
+            at = Onward(e["tail"], e["head"], at.last) if begun[e["part"]] else Onward(e["tail"], at.first, at.before)
+    back = Backward()
+    for e in reversed(parts):
+        backward[e["part"]] = back
+        if e["runs"] > 1:
+            last, after = e["head_end"], e["second"]
+        else:
+            last, after = (e["tail"], back.next) if back.begins else (back.last, back.after)
+        back = Backward(e["head"], begun[e["part"]], last, after)
+    return {p: (onward[p], backward[p]) for p in onward}
 
+
+def differences(lines: DataFrame) -> DataFrame:
+    """(page_id, key, shared) for the pages that share lines with their nearest neighbour of the host, from `line_keys`.
+
+    The pages are sorted over ranges once.  A pass along each range and one back meet a page's neighbours on either side and hold a few pages; of each
+    range, only its edges (six pages) are gathered, to go on from in the next one.
+    """
+    spark = lines.sparkSession
+    site, order = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", [F.col(c) for c in ("host", "path", "page_id", "key")]
+    sited = lines.withColumns({"host": F.lower(F.regexp_extract("url", site, 1)), "path": F.regexp_extract("url", site, 2)}).filter("host <> ''")
+    ranges = sited.select(*[c for c, _ in _PAGE]).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    placed = cut(ranges.withColumn("part", F.spark_partition_id()))  # its rows keep their parts and their order
+    sides = spark.sparkContext.broadcast(across([r.asDict(recursive=True) for r in sorted(edges(placed).collect(), key=lambda r: r["part"])]))
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, place = None, 0
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                at = at or copy.copy(sides.value[row["part"]][0])
+                page, place = _page(row), place + 1
+                begins = at.step(page)
+                like, number, shared = likest(page, [(0, at.before), (2, at.first)]) or (None, None, None)
+                out.append(row | {"place": place, "begins": begins, "like": like, "number": number, "shared": shared})
+            yield pa.RecordBatch.from_pylist(out, _ONWARD)
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
         for batch in batches:
-            ids, keys, shared = [], [], []
-            for r in batch.to_pylist():
-                near = [o for o in (r["before"], r["after"], r["first"], r["last"]) if o and o["rank"] != r["rank"]]
-                for o in sorted(near, key=lambda o: -alike(o["path"], r["path"])):  # noqa: B023
-                    found = shared_lines(r["lines"], o["lines"])
-                    if not _copies(r, o, found):
-                        if found:
-                            ids.append(r["page_id"])
-                            keys.append(r["key"])
-                            shared.append(found)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], ["page_id", "key", "shared"])
-
-    out = mapped(joined.select("page_id", "key", "rank", "path", "lines", "chars", "before", "after", "first", "last"), align, "page_id long, key long, shared array<int>")
+            out = []
+            for row in batch.to_pylist():
+                at = at or copy.copy(sides.value[row["part"]][1])
+                page = _page(row)
+                at.step(page, row["begins"])
+                found = likest(page, [(1, at.after), (3, at.last)], None if row["shared"] is None else (row["like"], row["number"], row["shared"]))
+                if found and found[2]:
+                    out.append({"page_id": row["page_id"], "key": row["key"], "shared": found[2]})
+            yield pa.RecordBatch.from_pylist(out, _SHARED)
+
+    onward = mapped(placed, along, ", ".join([*[f"{c} {k}" for c, k in placed.dtypes], "place long, begins boolean, like long, number int, shared array<int>"]))
+    out = mapped(onward.sortWithinPartitions(F.desc("place")), back, "page_id long, key long, shared array<int>")
     return cut(out.dropDuplicates(["page_id", "key"]))
 
 
-def main_text(found: list[Block], shared: list[int] | None) -> str:
+def left_lines(found: list[Block], shared: list[int] | None) -> tuple[list[int], int]:
+    """Places of the lines that stay, and how many shared ones an article took back."""
     gone = set(shared or ())
+    left = [k for k in range(len(found)) if k not in gone]
+    # the check by markup: an article takes back its own lines, and what is away or outside of it goes
+    back = [k for k in gone if found[k][1] and not found[k][2]]
     article = any(claimed and not away for _, claimed, away in found)
-    return "\n".join(t for k, (t, claimed, away) in enumerate(found) if not away and (claimed if article else k not in gone))
+    return sorted(k for k in left + back if not found[k][2] and (found[k][1] or not article)), len(back)
+
+
+def main_text(found: list[Block], shared: list[int] | None) -> str:
+    return "\n".join(found[k][0] for k in left_lines(found, shared)[0])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars), a row for each row of pages (page_id, url, html).
+    """(page_id, url, text, n_chars, n_shared, n_taken_back), a row for each row of pages (page_id, url, html).
 
-    Pages are parsed once, into a Parquet folder beside the checkpoints.  Differences are only looked for on hosts with a page that no article or
-    main element claims, since they decide nothing elsewhere.
+    n_shared: lines that differencing deletes; n_taken_back: those of them that the page's article takes back.  Pages are parsed twice, for the
+    narrow keys of the lines that are sorted and compared, and for the texts, so that no copy of these is held meanwhile.
     """
-    spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("key", F.xxhash64("url", "html"))
-    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
-    parsed(rows).write.option("compression", "zstd").parquet(folder)
-    found = spark.read.parquet(folder)
-    out = ["page_id", "url", "text", F.length("text").cast("long").alias("n_chars")]
-    claimed, open_ = found.filter("text IS NOT NULL"), found.filter("text IS NULL")
-    if open_.isEmpty():
-        return claimed.select(*out)
-    hosts = open_.select(_host().alias("host")).filter("host <> ''").distinct()
-    near = found.select("page_id", "key", "url", "lines", "chars").withColumn("at", _host()).join(hosts, F.col("at") == F.col("host"), "left_semi").drop("at")
-    apart = differences(near).select(F.col("page_id").alias("id"), F.col("key").alias("at"), "shared")
-    joined = open_.join(apart, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("at")), "left")
+    apart = differences(cut(line_keys(rows))).select(F.col("page_id").alias("id"), F.col("key").alias("at"), "shared")
+    tidy(rows.sparkSession)
+    joined = line_texts(rows).join(apart, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("at")), "left")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for listed, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                texts.append(main_text([(b["text"], False, b["away"]) for b in listed], gone))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    rest = mapped(joined.select("page_id", "url", "blocks", "shared"), emit, "page_id long, url string, text string")
-    return claimed.select(*out).unionByName(rest.select(*out))
+            texts, n_shared, n_back = [], [], []
+            for text, marks, shared in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True):
+                lines = text.split("\n")
+                left, back = left_lines([(t, m & 1 > 0, m & 2 > 0) for t, m in zip(lines, marks, strict=bool(marks))], shared)
+                texts.append("\n".join(lines[k] for k in left))
+                n_shared.append(len(shared or ()))
+                n_back.append(back)
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(n_shared, pa.int64()), pa.array(n_back, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_shared", "n_taken_back"])
+
+    out = mapped(joined.select("page_id", "url", "text", "marks", "shared"), emit, OUT)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_taken_back")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import os
 import random
 import re
 import time
@@ -545,6 +546,56 @@ def test_runs_of_copies_are_compared_beyond_the_run(spark):
     assert got == {k: text.replace("</div><div>", "\n") for k, (_, text) in enumerate(texts)}
 
 
+def test_pages_with_articles_are_differenced_too(spark):
+    """On a host where all pages have an article: their shared lines go, and the article takes back its own."""
+    page = "<div>Home of all things</div><div>{0} only here</div><article><p>{1}</p><p>A sentence that both articles have</p></article><div>Imprint of the host</div>"
+    own = ["The first report, with many words of its own that stand nowhere else", "Another text of quite other words, which is just as long as the first"]
+    pages = spark.createDataFrame([(k, f"http://h.example/a/{k}", page.format(k, t)) for k, t in enumerate(own)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text"], r["n_shared"], r["n_taken_back"]) for r in page_text.extract(pages).collect()}
+    assert got == {k: (f"{t}\nA sentence that both articles have", 3, 1) for k, t in enumerate(own)}
+    assert page_text.left_lines([("menu", False, False), ("ad", False, True), ("own", True, False), ("both", True, False)], [0, 3]) == ([2, 3], 1)
+
+
+@pytest.mark.parametrize("parts", ["1", "13", "60"])
+def test_runs_over_several_ranges_against_brute_force(spark, parts):
+    r = random.Random(21)
+    pages = []
+    for host in ("a.example", "b.example", "c.example"):
+        while len(pages) % 40 or not any(host in p[1] for p in pages):
+            body, frame = f"report {r.random()} of many words " * 4, [f"frame line {r.randint(0, 3)}" for _ in range(3)]
+            tag = r.choice(["div", "article"])
+            for _ in range(min(r.choice([1, 1, 2, 25]), 40 - len(pages) % 40)):
+                lines = [frame[0], f"row {r.randint(0, 9)}", body, *frame[1:]]
+                pages.append((len(pages), f"http://{host}/{len(pages):04}", f"<p>{lines[0]}</p><{tag}><p>{lines[1]}</p><p>{lines[2]}</p></{tag}><p>{lines[3]}</p><p>{lines[4]}</p>"))
+
+    found = [page_text.blocks(p[2]) for p in pages]
+    keys = [[page_text.line_key(t) for t, _, _ in f] for f in found]
+    shared = lambda i, j: page_text.shared_lines(keys[i], keys[j])
+    size = lambda i: sum(len(t) for t, _, _ in found[i])
+    copies = lambda i, j: sum(len(found[i][k][0]) for k in shared(i, j)) > page_text.COPY_SHARE * max(size(i), size(j))
+    runs = []
+    for i in range(len(pages)):
+        if i % 40 and copies(i, i - 1):
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    assert len(pages) == 120 and max(map(len, runs)) > 20 and len(runs) > 15
+    want = {}
+    for k, run in enumerate(runs):
+        for i in run:
+            near = [*(x[-1] for x in runs[k - 1 : k]), *(x[0] for x in runs[k + 1 : k + 2]), run[0], run[-1]]
+            near = sorted((j for j in near if j // 40 == i // 40 and j != i), key=lambda j: -len(os.path.commonprefix([f"/{i:04}", f"/{j:04}"])))
+            gone = next((shared(i, j) for j in near if not copies(i, j)), [])
+            want[i] = (page_text.main_text(found[i], gone), len(gone))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = page_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert {x["page_id"]: (x["text"], x["n_shared"]) for x in rows} == want
+
+
 def test_token_counts_against_the_library(docs, rows, empty):
     import sentencepiece
 
