@@ -425,3 +425,15 @@ def test_names_that_may_be_alike_all_meet_and_others_seldom(spark):
     assert alike <= got and len(got) < len(names) ** 2 / 20
     far = one.withColumn("x", F.when(F.col("x") == 10, 12).otherwise(F.col("x"))).withColumnRenamed("one", "other").filter("x = 12")
     assert reads.alike_nearby(one.filter("x = 10"), far, 1, 0.9).isEmpty() and not reads.alike_nearby(one.filter("x = 10"), far, 2, 0.9).isEmpty()
+
+
+def test_names_that_share_their_rarest_trigrams_only_do_not_meet(spark):
+    """Within each of 20 groups all names have the group's rare word; a pair that isn't alike isn't written, however rare what it shares is."""
+    rng, words = random.Random(5), ["alon", "brik", "cedu", "dorf", "ezgi", "fyop", "ghux", "hilt", "ivra", "jump", "kelb", "lnoq"]
+    names = sorted({f"{' '.join(rng.sample(words, 3))} w{g}" for g in range(20) for _ in range(30)})
+    one = spark.createDataFrame([(k, n, 1, 2, 3) for k, n in enumerate(names)], "one long, name string, x long, y long, z long")
+    got = {(names[r["one"]], names[r["other"]]) for r in reads.alike_nearby(one, None, 1, 0.9).collect()}
+    alike = {(a, b) for a in names for b in names if max(word_similarity(a, b), word_similarity(b, a)) > 0.9}
+    assert alike <= got and len(got) < 1.2 * len(alike)
+    pairs = reads.alike_nearby(one, one.withColumnRenamed("one", "other"), 1, 0.9).collect()  # the same rows as two tables
+    assert {(names[r["one"]], names[r["other"]]) for r in pairs} == got
